@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, simhash, urls
 from .common import prepare
 
 
@@ -15,6 +15,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    rules = spark.createDataFrame(urls.RULES, "rule_host string, rule_path string, verdict string")
+    listed = spark.createDataFrame(urls.LISTED, "rule_host string, rule_path string")
+    judged = urls.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
@@ -24,11 +37,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_url_filter": op3_url_filter,
+        "op4_simhash": op4_simhash,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_filter": urls.SQL,
         "op10_mixing": mixing.SQL,
     }
