@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, urls
+from . import mixing, quality, simhash, toxicity, urls
 from .common import prepare
 
 
@@ -28,6 +28,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.score_documents(docs, labels).withColumn("n_spans", F.size("toxic_spans")).drop("toxic_spans")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
@@ -39,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_url_filter": op3_url_filter,
         "op4_simhash": op4_simhash,
+        "op6_toxicity": op6_toxicity,
+        "op9_quality": op9_quality,
         "op10_mixing": op10_mixing,
     }
 
