@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash, toxicity, urls
+from . import mixing, pii, quality, simhash, topk, toxicity, urls
 from .common import prepare
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best matches of every 20th vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     rules = spark.createDataFrame(urls.RULES, "rule_host string, rule_path string, verdict string")
@@ -28,6 +33,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -48,8 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk": op1_topk,
         "op3_url_filter": op3_url_filter,
         "op4_simhash": op4_simhash,
+        "op5_pii": op5_pii,
         "op6_toxicity": op6_toxicity,
         "op9_quality": op9_quality,
         "op10_mixing": op10_mixing,
@@ -58,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk": topk.SQL,
         "op3_url_filter": urls.SQL,
         "op10_mixing": mixing.SQL,
     }
