@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, simhash, topk, toxicity, urls
+from . import hnsw, mixing, pii, quality, simhash, templates, topk, toxicity, urls
 from .common import prepare
 
 
@@ -20,6 +20,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return templates.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     rules = spark.createDataFrame(urls.RULES, "rule_host string, rule_path string, verdict string")
@@ -44,6 +49,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, labels).withColumn("n_spans", F.size("toxic_spans")).drop("toxic_spans")
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all vectors."""
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -59,10 +69,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
+        "op2_templates": op2_templates,
         "op3_url_filter": op3_url_filter,
         "op4_simhash": op4_simhash,
         "op5_pii": op5_pii,
         "op6_toxicity": op6_toxicity,
+        "op7_hnsw": op7_hnsw,
         "op9_quality": op9_quality,
         "op10_mixing": op10_mixing,
     }
