@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, mixing, pii, quality, simhash, templates, topk, toxicity, urls
+from . import hnsw, mixing, pieces, pii, quality, simhash, templates, topk, toxicity, urls
 from .common import prepare
 
 
@@ -54,6 +54,11 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled encodings of every document."""
+    return pieces.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_toxicity": op6_toxicity,
         "op7_hnsw": op7_hnsw,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_quality": op9_quality,
         "op10_mixing": op10_mixing,
     }
