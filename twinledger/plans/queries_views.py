@@ -32,17 +32,17 @@ RULES = """r AS (SELECT 'f' || (s_suppkey % 3) AS file, s_suppkey % 3 AS file_or
   CASE WHEN s_suppkey % 7 NOT BETWEEN 1 AND 5 THEN 'bad priority' END AS error FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0)"""
 
 
-@query(f"WITH {RULES} SELECT file, line_no, nickname, "glob", array_to_string(keys, ',') AS keys, ' | ' AS delim, 'old' AS source_a, 'B' AS source_b, CAST(priority AS INTEGER) AS priority, incremental, error FROM r")
+@query(f"""WITH {RULES} SELECT file, line_no, nickname, "glob", array_to_string(keys, ',') AS keys, ' | ' AS delim, 'old' AS source_a, 'B' AS source_b, CAST(priority AS INTEGER) AS priority, incremental, error FROM r""")
 def rules_from_lines(spark, sf_dir):
     return parsed(spark, sf_dir).select("file", "line_no", "nickname", "glob", joined("keys", ",").alias("keys"), "delim", "source_a", "source_b", "priority", joined("incremental", ",").alias("incremental"), "error")
 
 
-@query(f"WITH {RULES} SELECT nickname, "glob", file, line_no FROM r WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY nickname, "glob" ORDER BY file_order, line_no) = 1")
+@query(f"""WITH {RULES} SELECT nickname, "glob", file, line_no FROM r WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY nickname, "glob" ORDER BY file_order, line_no) = 1""")
 def effective_rules(spark, sf_dir):
     return rules.effective_rules(parsed(spark, sf_dir))[0].select("nickname", "glob", "file", "line_no")
 
 
-@query(f"WITH {RULES} SELECT nickname, "glob", count(*) AS n, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM r WHERE error IS NULL GROUP BY 1, 2 HAVING count(*) > 1")
+@query(f"""WITH {RULES} SELECT nickname, "glob", count(*) AS n, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM r WHERE error IS NULL GROUP BY 1, 2 HAVING count(*) > 1""")
 def repeated_rules(spark, sf_dir):
     return rules.effective_rules(parsed(spark, sf_dir))[1]
 
@@ -54,7 +54,7 @@ def groups(spark, sf_dir):
     return rules.load_compare_groups(rows)
 
 
-@query(f"WITH {RULES} SELECT nickname, "glob", line_no FROM r WHERE CAST(substr(nickname, 2) AS INTEGER) % 5 = 2")
+@query(f"""WITH {RULES} SELECT nickname, "glob", line_no FROM r WHERE CAST(substr(nickname, 2) AS INTEGER) % 5 = 2""")
 def scope_rules(spark, sf_dir):
     return rules.scope_rules(parsed(spark, sf_dir), groups(spark, sf_dir), "g2").select("nickname", "glob", "line_no")
 
