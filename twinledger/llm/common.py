@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -14,6 +17,8 @@ from pyspark.sql import types as T
 
 #: One word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that Python works on at a time.
+ROWS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,6 +56,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def give_back() -> None:
+    """Let a worker that other tasks will use again return its free memory to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -66,9 +78,12 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # what Python holds at a time stays small
+                batch = whole.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch)], names=names)
+        del work
+        give_back()
 
     prepare(df.sparkSession)
     return df.mapInArrow(run, schema)

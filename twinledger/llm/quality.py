@@ -29,7 +29,7 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 16, (3, 4)
 MODULUS, HELD = 3, 1
 #: Most labelled rows read for training.
 SAMPLE = 3000
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 #: Stands in a document's word list once for each word that repeats the one before it.

@@ -29,7 +29,7 @@ BUCKETS = 1 << 17
 MODULUS, HELD = 5, 0
 #: Most labelled rows read for training.
 SAMPLE = 4000
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 def tokenize(text: str) -> list[str]:
