@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import column_name, diff_label, display_key, excel_safe, is_blank, status_text
+from ..sources.settle import settle
 from .monitor import TYPES
 
 PART = 20_000
@@ -111,12 +112,8 @@ def export_parts(rows: DataFrame, *order: str, size: int = PART) -> DataFrame:
 
     Places are counted in ranges: each range of rows counts its own, and starts where the ranges before it end.
     """
-    cut = rows.repartitionByRange("pair_id", *order).withColumn("__part", F.spark_partition_id())
     # the ranges are written once, so that both uses see the same
-    if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        cut = cut.checkpoint()
-    else:
-        cut = cut.persist()
+    cut = settle(rows.repartitionByRange("pair_id", *order).withColumn("__part", F.spark_partition_id()))
     counts = cut.groupBy("pair_id", "__part").agg(F.count("*").alias("__n"))
     ahead = Window.partitionBy("pair_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("pair_id", "__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))

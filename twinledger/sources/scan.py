@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import is_blank, split_columns, unquote
+from .settle import settle
 
 #: Names of charsets here and in Java.
 CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp037": "IBM037", "cp500": "IBM500", "cp1047": "IBM1047", "gb18030": "GB18030", "latin-1": "ISO-8859-1", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
@@ -19,6 +20,7 @@ def number_lines(lines: DataFrame, by: list[str], block: str, place: str, name:
     Numbers run inside each block, and each block starts where the blocks before it end; so a
     large file is never in one task.  ``block`` orders the blocks of a file, ``place`` the lines of a block.
     """
+    lines = settle(lines)  # both uses must see the same places
     inside = Window.partitionBy(*by, block).orderBy(place)
     ahead = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     blocks = lines.groupBy(*by, block).agg(F.count("*").alias("__n"))
