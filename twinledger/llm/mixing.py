@@ -100,7 +100,8 @@ def mix(
         fresh(docs, *OUT)
         .withColumn("size", word_count(F.col("text")))
         .withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-        .withColumn("__cls", size_class(F.col("size")))
+        # never null, as it can't be: else the join's check for nulls counts the words again before the scan's projection
+        .withColumn("__cls", F.coalesce(size_class(F.col("size")), F.lit(0)))
         .withColumn("__slot", F.coalesce(F.floor(_fraction(F.col("doc_id").cast("string")) * slots), F.lit(0)).cast("int"))
     )
     # one row for each source, class and slot; everything below is of bounded size for each source
