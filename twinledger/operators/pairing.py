@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import glob_match, is_blank
@@ -74,11 +74,14 @@ def file_to_table(files: DataFrame, charset_map: DataFrame, types: DataFrame) ->
     return found.groupBy("name").agg(F.min_by("table_name", F.struct("tier", "table_name")).alias("table_name"))
 
 
-def load_report_fields(rows: DataFrame) -> DataFrame:
-    """``report_id, field_index, field_name, field_format, field_length`` with the index from 1; where it isn't a number, the
-    row's place in its report (by ``row_no``) stands for it."""
-    place = F.row_number().over(Window.partitionBy("report_id").orderBy("row_no"))
-    return rows.withColumn("field_index", F.coalesce(F.trim("field_index").try_cast("int"), place)).drop("row_no")
+def file_to_dynamic_report(files: DataFrame, applicability: DataFrame, types: DataFrame) -> DataFrame:
+    """``name, report_id``: as ``file_to_report``, among reports of kind ``CTS`` that have dynamic sub-fields.
+
+    ``applicability`` has ``text_name``, ``types`` also ``kind``.
+    """
+    wanted = applicability.select(F.lower("text_name").alias("__t")).distinct()
+    some = types.where("kind = 'CTS'").join(wanted, F.lower("report_id") == F.col("__t"), "left_semi")
+    return file_to_report(files, some)
 
 
 def name_columns(pairs: DataFrame, fields: DataFrame) -> DataFrame:

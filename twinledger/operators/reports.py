@@ -351,6 +351,14 @@ def report_summary(block_results: DataFrame, row_results: DataFrame, rows_a: Dat
     return out.fillna(0)
 
 
+def report_batch_detail(summary: DataFrame, results: DataFrame, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """The overview of a batch of reports, one row a report, and the first ``most`` lines of what isn't equal.
+
+    The limit is part of the report: it is a sheet for reading.
+    """
+    return summary.orderBy("pair_id"), export_report_diff(results).orderBy("pair_id", "key", "no").limit(most)
+
+
 def export_report_diff(results: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``pair_id, status, key, no, name, a, b``: differing fields; lines of blocks are called by their number; a row of one side is one
     line, its fields two spaces apart."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import export, features, filters, monitor, pairing, rules, summary
-from ..sources import scan
+from ..sources import lookups, scan
 from .pairs import NAMES, PAIR, RESULTS, order_pair, table
 from .queries import joined, order_results, query
 
@@ -318,3 +318,87 @@ def file_to_report(spark, sf_dir):
 def owner_group(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("report_id"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("team "), F.col("n_nationkey").cast("string"))).otherwise(" ").alias("ownership_group"), F.col("n_nationkey").alias("import_order"))
     return pairing.owner_group(table(spark, sf_dir, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("nickname")), n)
+
+
+# ---- lookup tables, made of nations, suppliers and customers ----
+
+
+def text(c):
+    return F.col(c).cast("string")
+
+
+@query("SELECT 'N' || (s_nationkey % 5) AS nickname, CAST(s_suppkey % 9 AS INTEGER) AS col_seq, CAST(CASE s_suppkey % 7 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 0 END AS INTEGER) AS field_type FROM supplier WHERE s_suppkey % 9 >= 1 QUALIFY row_number() OVER (PARTITION BY s_nationkey % 5, s_suppkey % 9 ORDER BY s_suppkey) = 1")
+def load_monitor_fields(spark, sf_dir):
+    k = F.col("s_suppkey")
+    words = F.when(k % 7 == 1, "废弃字段").when(k % 7 == 2, " 2 ").when(k % 7 == 3, "无法对比").when(k % 7 == 4, "4").when(k % 7 == 5, "9").otherwise("x")
+    # names differ by case only: they are the same
+    rows = table(spark, sf_dir, "supplier").select(k.alias("row_no"), F.concat(F.lit("N"), (F.col("s_nationkey") % 5).cast("string")).alias("nickname"), (k % 9).cast("string").alias("col_seq"), F.lit("f").alias("field_name"), F.lit("m").alias("field_meaning"), words.alias("field_type"))
+    return monitor.load_monitor_fields(rows).select("nickname", "col_seq", "field_type")
+
+
+@query("SELECT 'g' || (s_nationkey % 5) AS group_name, arg_max('a' || s_suppkey || '/b/c', s_suppkey) AS members FROM supplier GROUP BY 1")
+def load_compare_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_no"), F.concat(F.lit(" g"), (F.col("s_nationkey") % 5).cast("string")).alias("group_name"), F.concat(F.lit("a"), text("s_suppkey"), F.lit("、b，c;b|| ")).alias("members"))
+    return rules.load_compare_groups(rows).select("group_name", joined("members", "/").alias("members"))
+
+
+@query("SELECT 'R' || s_nationkey AS report_id, CAST(CASE WHEN s_suppkey % 4 = 0 THEN row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) ELSE s_suppkey END AS INTEGER) AS field_index, s_name AS field_name FROM supplier")
+def load_report_fields(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("row_no"), F.concat(F.lit("R"), text("s_nationkey")).alias("report_id"), F.when(k % 4 == 0, "n/a").otherwise(F.concat(F.lit(" "), text("s_suppkey"))).alias("field_index"), F.col("s_name").alias("field_name"), F.lit("X").alias("field_format"), F.lit("9").alias("field_length"))
+    return lookups.load_report_fields(rows).select("report_id", "field_index", "field_name")
+
+
+@query("SELECT 'T' || s_nationkey AS table_name, CAST(s_suppkey AS INTEGER) AS col_index, 'G' AS charset FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey >= 1")
+def load_charset_map(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("T"), text("s_nationkey")).alias("table_name"), text("s_suppkey").alias("col_index"), F.when(k % 3 == 0, "e").otherwise(" g").alias("charset"), F.lit("f").alias("field_name"), F.lit("4").alias("field_length"))
+    return lookups.load_charset_map(rows).select("table_name", "col_index", "charset")
+
+
+@query("SELECT 'D' || s_nationkey AS dyn_name, CAST(10 + s_suppkey % 7 AS VARCHAR) AS item_code, arg_min(s_name, s_suppkey) AS item_name FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1, 2")
+def load_dynamic_fields(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("row_no"), F.concat(F.lit("D"), text("s_nationkey")).alias("dyn_name"), F.when(k % 5 == 0, "123").otherwise((10 + k % 7).cast("string")).alias("item_code"), F.col("s_name").alias("item_name"))
+    return lookups.load_dynamic_fields(rows)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS pair_id, CASE WHEN c_custkey % 3 = 0 THEN 'own' ELSE 'f1/' || '/f3-' || c_nationkey END AS names FROM customer")
+def name_columns(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("R"), text("n_nationkey")).alias("report_id"), F.explode(F.array(F.struct(F.lit(1).alias("field_index"), F.lit("f1").alias("field_name")), F.struct(F.lit(3).alias("field_index"), F.concat(F.lit("f3-"), text("n_nationkey")).alias("field_name")))).alias("x")).select("report_id", "x.*")
+    pairs = table(spark, sf_dir, "customer").select(text("c_custkey").alias("pair_id"), F.concat(F.lit("R"), text("c_nationkey")).alias("report_id"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("own"))).alias("names"))
+    return pairing.name_columns(pairs, n).select("pair_id", joined("names", "/").alias("names"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS pair_id, CASE c_custkey % 4 WHEN 0 THEN 'b' WHEN 1 THEN '3' WHEN 2 THEN 'zz' ELSE 'A ' END AS col_ref, CAST(CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 0 END AS INTEGER) AS col FROM customer")
+def dynamic_columns_for(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(text("c_custkey").alias("pair_id"), F.when(k % 4 == 0, "b").when(k % 4 == 1, "3").when(k % 4 == 2, "zz").otherwise("A ").alias("col_ref"), F.lit("d").alias("dyn_name"))
+    names = c.select("pair_id", F.array(F.lit("a"), F.lit("B"), F.lit("c")).alias("names"))
+    return pairing.dynamic_columns_for(c, names).select("pair_id", "col_ref", "col")
+
+
+@query("SELECT 'x_T' || c_nationkey || '_' || c_custkey || '.txt' AS name, 'T' || c_nationkey AS table_name FROM customer WHERE c_nationkey < 20")
+def file_to_table(spark, sf_dir):
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("x_T"), text("c_nationkey"), F.lit("_"), text("c_custkey"), F.lit(".txt")).alias("name"))
+    tables = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.concat(F.lit("T"), text("n_nationkey")).alias("table_name"))
+    return pairing.file_to_table(files, tables, report_types(spark))
+
+
+@query("SELECT 'r' || c_custkey || '.txt' AS name, '/a/r' || c_custkey AS path_a, '/b/r' || c_custkey AS path_b, CASE c_custkey % 3 WHEN 0 THEN '/t/' || c_custkey WHEN 1 THEN '/a/h' || c_custkey END AS template FROM customer WHERE c_custkey % 5 <> 0")
+def pair_report_files(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    side = lambda x, on: c.where(on).select(F.concat(F.lit("r"), text("c_custkey"), F.lit(".txt")).alias("name"), F.concat(F.lit(f"/{x}/r"), text("c_custkey")).alias("path"))
+    head = lambda on, p, rank: c.where(on).select(F.concat(F.lit("r"), text("c_custkey"), F.lit(".header")).alias("name"), F.concat(F.lit(p), text("c_custkey")).alias("path"), F.lit(rank).alias("rank"))
+    templates = head(k % 3 != 2, "/a/h", 1).unionByName(head(k % 3 == 0, "/t/", 0))
+    return pairing.pair_report_files(side("a", F.lit(True)).unionByName(templates.select("name", "path")), side("b", k % 5 != 0), templates)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS pair_id, CASE WHEN c_custkey % 4 = 0 THEN 'failed' ELSE 'done' END AS state, n.col AS col, CASE WHEN c_custkey % 4 = 0 THEN '—' ELSE '新线输出正常' END AS verdict FROM customer, (VALUES (1), (2)) n(col) WHERE c_nationkey = 3")
+def monitor_coverage(spark, sf_dir):
+    k = F.col("c_custkey")
+    pairs = table(spark, sf_dir, "customer").select(text("c_custkey").alias("pair_id"), F.concat(F.lit("N"), text("c_nationkey")).alias("nickname"), F.when(k % 4 == 0, "failed").otherwise("done").alias("state"))
+    fields = spark.createDataFrame([("n3", 2, 1), ("N3", 3, 4)], "nickname string, col_seq int, field_type int")
+    verdict = pairs.where("state = 'done'").select("pair_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("col"), F.lit(True).alias("matched"), F.lit("新线输出正常").alias("verdict"))
+    return monitor.monitor_coverage(pairs, fields, verdict).select("pair_id", "state", "col", "verdict")
