@@ -41,6 +41,7 @@ def test_extract(spark):
     rows += [(100 + i, f"http://b.example.com/{i}", f"<body><article><div><p>Copy</p></div><p>same line everywhere</p></article></body>", "x") for i in range(30)]
     rows += [(200, None, None, None), (None, "no host", "", "x"), (201, "http://c.org", f"<body>{menu}<p>x</p></body>", "x")] + rows[:1]
     df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(str, extract(df, small=0).collect())) == sorted(map(str, extract(df).collect()))
     out = extract(df)
     assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
     got = {r.page_id: r for r in out.collect()}

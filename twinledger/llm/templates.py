@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, fresh, prepare
+from .common import add_columns, checkpoint, fresh, prepare
 from .urls import host_and_path
 
 _TAG = re.compile(
@@ -44,6 +44,8 @@ DROP_WORDS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply respond share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget complementary contentinfo alert".split()
 )
+#: Parts into which the pages of a host are dealt.
+SALTS = 16
 CLOSED_BY_BLOCK = frozenset(["p"])
 #: Elements whose end a sibling of the same kind implies, and what keeps them apart.
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")), "option": ("option", ("select", "datalist"))}
@@ -198,9 +200,10 @@ def site_templates(pages: DataFrame, share: float = 0.2, least: int = 5) -> Data
     return trees.join(hosts, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("template"))
 
 
-def extract(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.2, least: int = 5, small: int = 8 << 20) -> DataFrame:
     """``pages`` with ``text`` (empty if there is none) and ``n_chars``, its code points.
 
+    The table of templates is broadcast if it is no larger than ``small`` bytes, else joined in salted parts of hosts.
     Null html counts as empty, and pages without a readable host share the empty host.  Rows are extracted each on
     their own, so repeated rows don't matter; input columns named like an output are replaced.
     """
@@ -208,8 +211,15 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
     pages = fresh(pages, "text", "n_chars")
     names = pages.columns
     rows = pages.withColumn("__host", host_and_path(F.col("url"))[0])
-    known = site_templates(pages, share, least).select(F.col("host").alias("__host"), F.col("template").alias("__template"))
-    rows = rows.join(known, "__host", "left")
+    known = checkpoint(site_templates(pages, share, least).select(F.col("host").alias("__host"), F.col("template").alias("__template")))
+    hosts, hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("__template")), F.lit(0))).first()
+    if 200 * hosts + 8 * hashes <= small:
+        rows = rows.join(F.broadcast(known), "__host", "left")  # its size is known by now
+    else:
+        # a host's pages are dealt over many tasks, each with the host's templates
+        salt = F.pmod(F.xxhash64("html", "url"), F.lit(SALTS)).cast("int")
+        known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__salt", salt).join(known, ["__host", "__salt"], "left").drop("__salt")
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
