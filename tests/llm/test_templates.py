@@ -27,7 +27,7 @@ def test_what_is_left_out():
     assert text(page) == "Title\nOne\nTwo"
     assert text("<body><div class=menu>M</div><div><p>Body text</p></div><div hidden>x</div></body>") == "Body text"
     assert text("<main><p>M</p></main><p>outside</p>") == "M"
-    assert text("<div class='adorable'>kept</div>") == "kept"
+    assert text("<div class='adorable'>kept</div>") == "kept" and text("<div class='page no-sidebar has_ads'>kept</div>") == "kept"
 
 
 def test_long_and_hostile_pages():

@@ -28,6 +28,8 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([A-Za-z_:][^\s=/>]*)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _PART = re.compile(r"[a-z]+")
+#: Names that say what a page has or lacks, not what the element is.
+_ABOUT = re.compile(r"(?<!\S)(?:no|has|with|without|hide|show)[-_]\S*")
 
 # Element names by their part in a page.
 BLOCK = frozenset(
@@ -138,7 +140,7 @@ class Page:
         mark = " ".join(own.get(k, "") for k in ("class", "id", "role"))
         dropped = top.dropped or name in DROP or (name == "header" and not top.article)
         if not dropped and own:
-            words = set(_PART.findall(mark.lower()))
+            words = set(_PART.findall(_ABOUT.sub(" ", mark.lower())))
             hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
             dropped = hidden or (name not in ("html", "body", "main") and bool(words & DROP_WORDS))
         self._stack.append(Frame(name, dropped, top.article or (name == "article" and not dropped), top.main or name == "main" or own.get("role") == "main", len(self.blocks), mark))
