@@ -60,3 +60,9 @@ def test_pages_of_the_table(spark):
         body = re.search("<article>(.*?)</article>", r.html, re.S).group(1)
         want = [" ".join(H.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"<p>|</p>|<h1>|</h1>", body)]
         assert r.text == "\n".join(b for b in want if b) and r.n_chars == len(r.text)
+
+
+def test_large_host_with_many_layouts(spark):
+    # eight layouts, each with its own menu on an eighth of the host's pages, and no article
+    rows = [(i, f"http://a.example.com/{i}", f"<body><div><p>Menu {i % 8}</p></div><div><p>Story {i}</p></div></body>", "x") for i in range(960)]
+    assert all(r.text == f"Story {r.page_id}" for r in extract(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -185,11 +185,11 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def site_templates(pages: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
+def site_templates(pages: DataFrame, share: float = 0.2, least: int = 5, many: int = 100) -> DataFrame:
     """``host, template``: hashes of the subtrees that recur on many different pages of their host.
 
-    Many is ``least`` pages or more, and ``share`` of the host's pages; so a host has at most
-    1 / share times the subtrees of one page.  Pages with the same html count as one page.
+    Many is ``least`` pages or more that are ``share`` of the host's, or ``many`` pages however large the
+    host, which may have several layouts.  Pages with the same html count as one page.
     """
 
     def make():
@@ -199,10 +199,10 @@ def site_templates(pages: DataFrame, share: float = 0.2, least: int = 5) -> Data
     seen = add_columns(own, [T.StructField("trees", T.ArrayType(T.LongType()))], make).select("host", "page", "trees")
     trees = seen.select("host", "page", F.explode("trees").alias("tree")).distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     hosts = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return trees.join(hosts, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("template"))
+    return trees.join(hosts, "host").where((F.col("n") >= many) | (F.col("n") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list("tree").alias("template"))
 
 
-def extract(pages: DataFrame, share: float = 0.2, least: int = 5, small: int = 8 << 20) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.2, least: int = 5, small: int = 8 << 20, many: int = 100) -> DataFrame:
     """``pages`` with ``text`` (empty if there is none) and ``n_chars``, its code points.
 
     The table of templates is broadcast if it is no larger than ``small`` bytes, else joined in salted parts of hosts.
@@ -213,7 +213,7 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 5, small: int = 8
     pages = fresh(pages, "text", "n_chars")
     names = pages.columns
     rows = pages.withColumn("__host", host_and_path(F.col("url"))[0])
-    known = checkpoint(site_templates(pages, share, least).select(F.col("host").alias("__host"), F.col("template").alias("__template")))
+    known = checkpoint(site_templates(pages, share, least, many).select(F.col("host").alias("__host"), F.col("template").alias("__template")))
     hosts, hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("__template")), F.lit(0))).first()
     if 200 * hosts + 8 * hashes <= small:
         rows = rows.join(F.broadcast(known), "__host", "left")  # its size is known by now
