@@ -51,6 +51,15 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A working name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with internal ones."""
     return df.select(*[F.col(f"`{n}`") for n in names])
