@@ -25,8 +25,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure checkpoints have a folder.
 
-    The checkpoint folder is the one that ``spark.checkpoint.dir`` names.  Only a
-    session without that setting (tests on one machine) gets a temporary one.
+    The checkpoint folder is the one that ``spark.checkpoint.dir`` names.  Only a local
+    session without that setting (tests on one machine) gets a temporary one; on a cluster
+    the setting is required, as executors don't share local folders.
     """
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parents[2])
@@ -35,6 +36,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return spark
 
@@ -51,6 +54,11 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one column ``row``, so that none can clash with an operator's own names."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A working name that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -9,12 +9,13 @@ from .common import checkpoint
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``links`` (two long columns ``a, b``).
+    """``node, root`` for every node of ``links`` (columns ``a, b`` of one type with an order, e.g. longs or structs).
 
     ``root`` is the smallest node reachable.  Alternating large-star and small-star steps: the
     first hangs each larger neighbour of a node on the smallest one, the second each
     smaller.  Both keep the components, the number of links never grows, and the
-    rounds needed follow the logarithm of the longest path.  Every round is written to
+    rounds needed follow the logarithm of the longest path.  A centre with very many neighbours makes a
+    join's key common on one side only, which adaptive execution splits.  Every round is written to
     the checkpoint folder, and ends when a round leaves the links as they were.
     """
     down = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))

@@ -15,6 +15,8 @@ blocks is a unit of work of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, add_columns, checkpoint, fresh, pick, texts_of
+from .common import LOWER, UPPER, add_columns, checkpoint, pick, texts_of, unused
 from .components import components
+from .pigeonring import SEGMENTS, budgets, chains, majority, mask, ring, signed, votes
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Words in a shingle, differing bits that still link, segments on the ring.
-SHINGLE, BITS, SEGMENTS = 4, 4, 5
+#: Words in a shingle, differing bits that still link.
+SHINGLE, BITS = 4, 4
 _CHUNK = 1 << 16
 
 
@@ -42,11 +45,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) > shingle else ends[-1:]).tolist()
     h = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
+    count = np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
         hashes = np.array([h(joined[s:e], 42) for s, e in zip(first[at : at + _CHUNK], last[at : at + _CHUNK], strict=True)], np.uint64)
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+        count += votes(hashes)
+    return majority(count, n)
 
 
 def add_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
@@ -61,43 +64,21 @@ def add_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
     return add_columns(docs, [T.StructField(name, T.LongType())], make)
 
 
-def _ring(segments: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment, and with them all 64 bits."""
-    edges = [round(64 * i / segments) for i in range(segments + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def _mask(first: int, width: int) -> int:
-    return ((1 << width) - 1) << first
-
-
 def _keys() -> list[tuple[int, int]]:
     """(start on the ring, mask of the bits that must agree), one for each key."""
-    ring, out = _ring(SEGMENTS), []
+    parts, out = ring(), []
     for i in range(SEGMENTS):
-        first, width = ring[(i + 1) % SEGMENTS]
+        first, width = parts[(i + 1) % SEGMENTS]
         cuts = [round(width * j / 3) for j in range(4)]
         for j in range(3):  # one of the three parts may hold the one difference
-            free = _mask(first + cuts[j], cuts[j + 1] - cuts[j])
-            out.append((i, _mask(*ring[i]) | (_mask(first, width) & ~free)))
+            free = mask(first + cuts[j], cuts[j + 1] - cuts[j])
+            out.append((i, mask(*parts[i]) | (mask(first, width) & ~free)))
     return out
 
 
 KEYS = _keys()
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _chains() -> np.ndarray:
-    """For each start: masks of the chains of 2, 3 and 4 segments."""
-    ring = _ring(SEGMENTS)
-    return np.array([[sum(_mask(*ring[(i + k) % SEGMENTS]) for k in range(n)) for n in range(2, SEGMENTS)] for i in range(SEGMENTS)], np.uint64)
-
-
-CHAINS = _chains()
-BUDGETS = [BITS * n // SEGMENTS for n in range(2, SEGMENTS)]
+#: Chains of 2, 3 and 4 segments; the key has seen to the first.
+CHAINS, BUDGETS = chains()[:, 1:-1], budgets(BITS)[1:-1]
 
 
 def _linked(x: np.ndarray, start: int) -> np.ndarray:
@@ -109,39 +90,41 @@ def _linked(x: np.ndarray, start: int) -> np.ndarray:
     return ok
 
 
-def _forest(fps: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join everything which is joined inside one bucket, each newly reached fingerprint once."""
-    out, rest = [], fps
+def _forest(fps: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places) that join everything which is joined inside one bucket, each newly reached fingerprint once."""
+    rest = np.arange(len(fps))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            ok = _linked(rest ^ x, start)
+            ok = _linked(fps[rest] ^ fps[x], start)
             if ok.any():
                 new, rest = rest[ok], rest[~ok]
-                out.append((np.full(len(new), x), new))
+                yield np.full(len(new), x), new
                 queue.extend(new)
-    return out
 
 
 def links(fps: DataFrame, block: int = 2048) -> DataFrame:
     """Links ``a, b`` that have the components of the graph of all pairs within 4 bits.
 
-    ``fps`` has one column ``fp`` of distinct longs.
+    ``fps`` has one column ``fp`` of distinct longs, and perhaps ``node``, a different value of any type for each; the
+    links are between nodes, or else between fingerprints.
     """
-    key = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(KEYS)]))
-    keyed = fps.select("fp", key.alias("key")).select("key.k", "key.v", "fp")
+    fps = fps.select("fp", F.col("node" if "node" in fps.columns else "fp").alias("node"))
+    kind = fps.schema["node"].dataType
+    key = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, (_, m) in enumerate(KEYS)]))
+    keyed = fps.select("fp", "node", key.alias("key")).select("key.k", "key.v", "fp", "node")
     shared = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(shared, ["k", "v"]).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    unit = met.select("k", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    unit = met.select("k", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
 
-    def work(batches):
-        held: list[np.ndarray] = []
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
 
-        def done(cols: list[np.ndarray]):
-            k, v, lo, hi, fp = cols
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            k, v, lo, hi, fp = (rows.column(i).to_numpy() for i in range(5))
             new = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             first = np.concatenate(([0], new))
             size = np.diff(np.concatenate((first, [len(k)])))
@@ -151,35 +134,31 @@ def links(fps: DataFrame, block: int = 2048) -> DataFrame:
             for start in range(SEGMENTS):
                 at = two[(k[two] // 3) == start]
                 at = at[_linked(fp[at] ^ fp[at + 1], start)]
-                found.append((fp[at], fp[at + 1]))
+                found.append((at, at + 1))
             for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                found += _forest(fp[at : at + n], int(k[at]) // 3)
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                found += [(a + at, b + at) for a, b in _forest(fp[at : at + n], int(k[at]) // 3)]
+            nodes = rows.column(5).combine_chunks()
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(np.concatenate(x))) for x in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            same = np.ones(len(cols[0]), bool)
-            for c in cols[:4]:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None and held.num_rows else rows
+            same = np.ones(rows.num_rows, bool)
+            for i in range(4):
+                c = rows.column(i).to_numpy()
                 same &= c == c[-1]
             cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = [c[cut:] for c in cols]
+            held = rows.slice(cut)
             if cut:
-                yield done([c[:cut] for c in cols])
-        if held and len(held[0]):
+                yield done(rows.slice(0, cut))
+        if held is not None and held.num_rows:
             yield done(held)
 
     at = ["k", "v", "lo", "hi"]
-    return unit.repartition(*at).sortWithinPartitions(*at).mapInArrow(work, "a long, b long").distinct()
-
-
-def fingerprint_roots(fps: DataFrame) -> DataFrame:
-    """``fp, root`` for every linked one of the distinct longs ``fp``."""
-    return components(links(fps)).select(F.col("node").alias("fp"), "root")
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return unit.repartition(*at).sortWithinPartitions(*at).mapInArrow(work, out).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,11 +169,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component like any other row, and is never the smallest unless all are null.
     """
     marked = checkpoint(add_fingerprint(pick(docs, "doc_id", "text")).select("doc_id", "fp"))
-    own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = fingerprint_roots(own.select("fp"))
-    joined = own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    by_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = joined.join(by_root, "root").select("fp", "component_id")
+    # a node carries its smallest id and sorts by it, so a component's root tells the component's smallest id
+    node = F.struct(F.min("doc_id").isNull().alias("none"), F.min("doc_id").alias("id"), F.col("fp"))
+    own = checkpoint(marked.groupBy("fp").agg(node.alias("node")))
+    roots = components(links(own)).select(F.col("node.fp").alias("fp"), F.col("root.id").alias("root"), F.lit(True).alias("linked"))
+    known = own.join(roots, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root")).otherwise(F.col("node.id")).alias("component_id"))
     out = marked.join(known, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -202,11 +181,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component with the columns of ``docs``: the one with the smallest id,
     of several such rows the one with the smallest hash of all its columns."""
-    names = docs.columns
-    marked = add_fingerprint(fresh(docs, "__fp"), "__fp")
-    roots = fingerprint_roots(marked.select(F.col("__fp").alias("fp")).distinct())
-    joined = marked.join(roots.withColumnRenamed("fp", "__fp"), "__fp", "left")
-    joined = joined.withColumn("__root", F.coalesce("root", "__fp"))
+    names, fp = docs.columns, unused(docs, "fp")
+    marked = add_fingerprint(docs, fp)
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    return joined.groupBy("__root").agg(F.min_by(row, rank).alias("__row")).select("__row.*")
+    best = marked.groupBy(F.col(fp).alias("fp")).agg(F.min_by(F.struct(rank.alias("rank"), row.alias("row")), rank).alias("best"))
+    roots = components(links(marked.select(F.col(fp).alias("fp")).distinct())).toDF("fp", "root")
+    joined = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min_by("best.row", "best.rank").alias("row"))
+    return joined.select("row.*")
