@@ -5,8 +5,8 @@ import corpus_pipeline
 from twinledger.llm import pieces, pii, quality
 from twinledger.llm.common import labelled_sample
 
+from .test_jaccard import brute_kept
 from .test_mixing_urls import fill
-from .test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,12 +27,7 @@ def test_stages_on_their_own(spark):
 
     one = dedup(spark, docs, SF)
     assert one.columns == docs.columns
-    fp = {r.doc_id: brute_fingerprint(r.text) for r in rows}
-    least = {}
-    for i, f in fp.items():
-        least[f] = min(least.get(f, i), i)
-    component = brute_components(least)
-    assert sorted(r.doc_id for r in one.collect()) == sorted(set(component.values()))
+    assert sorted(r.doc_id for r in one.collect()) == brute_kept([(r.doc_id, r.text) for r in rows])
 
     safe = clean(spark, docs, SF)
     assert safe.columns == docs.columns
