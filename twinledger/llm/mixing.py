@@ -7,8 +7,9 @@ fixed order; ``rank * rate`` is the prefix sum of their expected copies.  One of
 that its step crosses.  The order goes by size class first, so the words taken
 follow the target as closely as the number of documents does.
 
-The prefix sum is built in three levels (size class, hash slot, row), so no task ever
-needs a whole source: a source may hold most of the rows.
+The prefix sum is built in three levels (size class, slot, row), so no task ever
+needs a whole source: a source may hold most of the rows.  A slot is a range of the ids' hashes, by which the rows of
+a class are ordered, so the number of slots can follow that of the rows.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, fresh, prepare
+from .common import WORD, checkpoint, fresh, packed, prepare
 
 OUT = ("size", "source_size", "target", "copies", "taken")
+_SLOT = 65536  # rows of the table for each slot
 
 
 def word_count(text: Column) -> Column:
@@ -76,13 +78,50 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     return full.select("source", "source_size", held.alias("target"))
 
 
+def _taken(docs: DataFrame, weights: tuple[int, ...], share: float, ceiling: float, seed: int, slots: int | None) -> DataFrame:
+    """``row`` (all columns of ``docs``) with the columns of OUT."""
+    prepare(docs.sparkSession)
+    if slots is None:
+        slots = max(64, -(-docs.count() // _SLOT))
+    key = ["src", "cls", "slot"]
+    place_of = _fraction(F.col("row.doc_id").cast("string"))
+    rows = (
+        packed(docs)
+        .withColumn("size", word_count(F.col("row.text")))
+        .withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("row.source")), F.lit("")))
+        # never null, as it can't be: else the join's check for nulls counts the words again before the scan's projection
+        .withColumn("cls", F.coalesce(size_class(F.col("size")), F.lit(0)))
+        .withColumn("slot", F.coalesce(F.floor(place_of * slots), F.lit(0)).cast("int"))
+    )
+    # one row for each source, class and slot
+    groups = checkpoint(rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    classes = groups.groupBy("src", "cls").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    by_source = classes.groupBy("src").agg(F.sum("words").alias("source_size"))
+    named = by_source.select(F.when(F.col("src") != "", F.substring(F.col("src"), 2, 2**30)).alias("source"), "source_size")
+    goal = targets(named, weights, share, ceiling).select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), "source_size", "target")
+
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    nth = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    at_class = classes.select("src", "cls", nth(before("src", "cls")).alias("at_class"))
+    at_slot = groups.select(*key, nth(before("src", "cls", "slot")).alias("at_slot"))
+    starts = at_slot.join(at_class, ["src", "cls"]).join(goal, "src")
+
+    order = [F.coalesce(place_of, F.lit(0.0)), F.col("row.doc_id").asc_nulls_first(), F.col("size")]
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).join(starts, key)
+    rank = F.col("at_class") + F.col("at_slot") + F.col("place")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    start = _fraction(F.concat(F.lit(f"offset {seed} "), F.col("src")))
+    copies = F.floor(rank * rate + start) - F.floor((rank - 1) * rate + start)
+    return rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", *OUT)
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     ceiling: float = 2.0,
     seed: int = 0,
-    slots: int = 64,
+    slots: int | None = None,
 ) -> DataFrame:
     """All rows of ``docs`` with ``size, source_size, target, copies, taken``.
 
@@ -92,49 +131,18 @@ def mix(
     their own; which of several rows that are alike is taken makes no difference.  A source without
     words has target 0 and takes nothing.  Input columns named like an output are replaced.
     An empty table gives an empty result.  ``slots`` sets how many ways the rows of one source
-    and size class are split; raise it with the cluster.
+    and size class are split, by default one for each 65,536 rows of ``docs``, 64 at least; it changes no result.
     """
-    prepare(docs.sparkSession)
-    key = ["__src", "__cls", "__slot"]
-    rows = (
-        fresh(docs, *OUT)
-        .withColumn("size", word_count(F.col("text")))
-        .withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-        # never null, as it can't be: else the join's check for nulls counts the words again before the scan's projection
-        .withColumn("__cls", F.coalesce(size_class(F.col("size")), F.lit(0)))
-        .withColumn("__slot", F.coalesce(F.floor(_fraction(F.col("doc_id").cast("string")) * slots), F.lit(0)).cast("int"))
-    )
-    # one row for each source, class and slot; everything below is of bounded size for each source
-    groups = checkpoint(rows.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("size").alias("__words")))
-    classes = groups.groupBy("__src", "__cls").agg(F.sum("__n").alias("__n"), F.sum("__words").alias("__words"))
-    by_source = classes.groupBy("__src").agg(F.sum("__words").alias("source_size"))
-    named = by_source.select(F.when(F.col("__src") != "", F.substring(F.col("__src"), 2, 2**30)).alias("source"), "source_size")
-    goal = targets(named, weights, share, ceiling).select(
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__src"), "source_size", "target"
-    )
+    out = _taken(docs, weights, share, ceiling, seed, slots)
+    return out.select(*[F.col(f"row.`{c}`") for c in fresh(docs, *OUT).columns], *OUT)
 
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    nth = lambda w: F.coalesce(F.sum("__n").over(w), F.lit(0))
-    at_class = classes.select("__src", "__cls", nth(before("__src", "__cls")).alias("__at_class"))
-    at_slot = groups.select(*key, nth(before("__src", "__cls", "__slot")).alias("__at_slot"))
-    starts = at_slot.join(at_class, ["__src", "__cls"]).join(goal, "__src")
-
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("doc_id").asc_nulls_first(), "size"))
-    rows = rows.withColumn("__place", place).join(starts, key)
-    rank = F.col("__at_class") + F.col("__at_slot") + F.col("__place")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = _fraction(F.concat(F.lit(f"offset {seed} "), F.col("__src")))
-    copies = F.floor(rank * rate + start) - F.floor((rank - 1) * rate + start)
-    out = rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    kept = [F.col(f"`{c}`") for c in fresh(docs, *OUT).columns]
-    return out.select(*kept, *OUT)
 
-
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, **options)
-    rows = taken.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in fresh(docs, *OUT).columns])
+def mixed_rows(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: int = 0, slots: int | None = None
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all columns of ``docs``."""
+    taken = _taken(docs, weights, share, ceiling, seed, slots).where(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 #: The same result in DuckDB's SQL.
@@ -147,7 +155,7 @@ WITH base AS (
   SELECT *, coalesce('=' || source, '') AS src,
     CASE WHEN size < 8 THEN size
          ELSE (length(bin(size)) - 4) * 8 + CAST(floor(size / pow(2.0, length(bin(size)) - 4)) AS BIGINT) END AS cls,
-    coalesce(CAST(floor(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 64) AS BIGINT), 0) AS slot
+    coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT), 0) AS place
   FROM base
 ), sources AS (
   SELECT src, source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -167,7 +175,7 @@ WITH base AS (
   FROM levels
 ), ranked AS (
   SELECT doc_id, size, source_size, target, src,
-    row_number() OVER (PARTITION BY src ORDER BY cls, slot, doc_id NULLS FIRST, size) AS rank,
+    row_number() OVER (PARTITION BY src ORDER BY cls, place, doc_id NULLS FIRST, size) AS rank,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
     CAST('0x' || substr(md5('offset 0 ' || src), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
   FROM keyed JOIN goal USING (src)
