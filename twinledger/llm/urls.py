@@ -3,19 +3,21 @@
 A list entry is a canonical URL prefix: a host, which stands for itself and all its
 subdomains, and the beginning of a path.  A URL is probed with each of its host suffixes
 and path beginnings that have a length found in the list.  The Bloom filter, whose size
-is fixed by a parameter, throws out almost all probes where the data lie; what is left
-meets the list in an exact join, so false positives never show in the result.
+is fixed by a parameter, throws out almost all probes where the pages lie: a page without a
+possible hit is judged without leaving its task.  The other pages' URLs meet the list in an exact
+join, so false positives never show in the result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, add_columns, fresh, pick
+from .common import LOWER, UPPER, add_columns, fresh, packed, pick, prepare
 
 BITS_PER_KEY = 6
 _STEP = 0x9E3779B97F4A7C15
@@ -69,11 +71,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: in
     path starts with the rule's; the longest rule wins, of equally long ones that with
     the longer host, then a block.  Without a rule, a URL that fits a listed entry is
     blocked and any other allowed; ``rule`` is then null.  Null or unreadable URLs have
-    an empty host and path and fit nothing.  Repeated pages and rules change nothing; input columns
+    an empty host and path and fit nothing.  Of a rule given twice with different verdicts, block wins.  Repeated pages and rules change nothing; input columns
     named like an output are replaced.  ``blocks`` fixes the filter's size at 64 bytes each.
     """
-    host, path = host_and_path(F.col(f"`{url}`"))
-    pages = fresh(pages, "host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    prepare(pages.sparkSession)
+    host, path = host_and_path(F.col(f"row.`{url}`"))
+    names = fresh(pages, "host", "path", "rule", "verdict").columns
+    rows = packed(pages).withColumns({"host": host, "path": path})
     entries = (
         pick(rules, "rule_host", "rule_path", "verdict").withColumn("ruled", F.lit(True))
         .unionByName(pick(listed, "rule_host", "rule_path").withColumns({"verdict": F.lit("block"), "ruled": F.lit(False)}))
@@ -83,35 +87,39 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: in
     keyed = entries.withColumn("h", F.xxhash64("rule_host", "rule_path"))
     filter_words = bloom(keyed, blocks)
     labels = F.size(F.split("rule_host", r"\.")).alias("labels")
-    shapes = entries.select(labels, F.length("rule_path").alias("length")).agg(F.collect_set("labels"), F.collect_set("length")).first()
-    probes = F.flatten(F.array(*[
-        F.array(*[
-            F.when(
-                (F.size(F.split("host", r"\.")) >= k) & (F.length("path") >= n),
-                F.struct(F.substring_index("host", ".", -k).alias("rule_host"), F.substring("path", 1, n).alias("rule_path")),
-            )
-            for n in sorted(shapes[1])
-        ])
-        for k in sorted(shapes[0])
-    ])) if shapes[0] else F.array().cast("array<struct<rule_host:string,rule_path:string>>")
+    shapes = entries.select(labels, F.length("rule_path").alias("length")).agg(F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("length"))).first()
+    longs = lambda x: F.array(*[F.lit(n) for n in x]).cast("array<int>")
+    parts = F.split("host", r"\.")
+    hosts = F.transform(F.filter(longs(shapes[0]), lambda k: k <= F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+    paths = F.transform(F.filter(longs(shapes[1]), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    probes = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path")))))
+    rows = rows.withColumn("probes", F.when(F.col("host") != "", probes))
 
     def make():
-        def test(batch: pa.RecordBatch) -> list[pa.Array]:
-            block, bits = _places(batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False), blocks)
+        def maybe(batch: pa.RecordBatch) -> list[pa.Array]:
+            """Places of the probes that the filter lets pass."""
+            hashes = batch.column(batch.schema.get_field_index("hashes"))
+            cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy())))
+            block, bits = _places(hashes.flatten().to_numpy(), blocks)
             words = filter_words[block[:, None] * 8 + (bits >> 6)]
-            return [pa.array(((words >> (bits & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1))]
-
-        return test
-
-    urls = pages.select("host", "path").where("host <> ''").distinct()
-    tried = urls.withColumn("probe", F.explode(probes)).where("probe is not null").select("host", "path", "probe.*")
-    tried = tried.withColumn("h", F.xxhash64("rule_host", "rule_path"))
-    hits = add_columns(tried, [T.StructField("maybe", T.BooleanType())], make).where("maybe").drop("h", "maybe")
+            hit = np.flatnonzero(((words >> (bits & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1))
+            owner = np.searchsorted(cuts, hit, "right") - 1
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(hashes)))))
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hit - cuts[owner], pa.int32()))]
+
+        return maybe
+
+    # pages without a possible hit are judged where they lie; only the others' urls meet the list
+    hashed = rows.withColumn("hashes", F.transform("probes", lambda p: F.xxhash64(p["rule_host"], p["rule_path"])))
+    tested = add_columns(hashed, [T.StructField("hits", T.ArrayType(T.IntegerType()))], make)
+    clear = tested.where(F.size("hits") == 0).select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    hits = tested.where(F.size("hits") > 0).select("row", "host", "path", F.transform("hits", lambda i: F.get("probes", i)).alias("probes"))
+    tried = hits.select("host", "path", "probes").dropDuplicates(["host", "path"]).select("host", "path", F.explode("probes").alias("probe")).select("host", "path", "probe.*")
     best = F.struct("ruled", (F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), "verdict", "rule_host", "rule_path")
-    found = hits.join(entries, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(best).alias("best"))
-    out = pages.join(found, ["host", "path"], "left")
+    found = tried.join(entries, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(best).alias("best"))
     rule = F.when(F.col("best.ruled"), F.concat("best.rule_host", "best.rule_path"))
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], rule.alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    sure = hits.join(found, ["host", "path"], "left").select("row", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    return clear.unionByName(sure).select(*[F.col(f"row.`{c}`") for c in names], "host", "path", "rule", "verdict")
 
 
 #: The rules of the registered query (host, path, verdict) and its list of blocked sites.
