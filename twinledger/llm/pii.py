@@ -29,6 +29,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -183,7 +184,7 @@ def _table(copies: int = 12, seed: int = 11) -> list[tuple[list[str], list[int]]
 def shapes(token: str) -> tuple[str, str]:
     """The token's shape with its letter runs shortened, and one with all runs shortened."""
     core = token.strip("\"'.,;:!?*%#$&|<>")
-    exact = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() else "a", re.sub("[0-9]", "9", core[:40]))
+    exact = _LETTERS.sub(lambda m: "A" if m.group().isupper() else "a", _DIGIT.sub("9", core))
     return exact, re.sub(r"9+", "9", exact)
 
 
