@@ -44,9 +44,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document."""
+    """Toxicity score of every document, and its toxic spans as start:end in code points, comma-joined."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return toxicity.score_documents(docs, labels).withColumn("n_spans", F.size("toxic_spans")).drop("toxic_spans")
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return toxicity.score_documents(docs, labels).withColumns({"n_spans": F.size("toxic_spans"), "toxic_spans": spans})
 
 
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
