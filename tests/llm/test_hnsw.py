@@ -75,6 +75,23 @@ def test_links_and_components(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_on_a_dense_group(spark):
+    """10,200 vectors, 600 of them one dense group, dealt over shards of which some are asked in several groups."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(9600, 24))
+    v[4800:5400] = v[:600] + rng.normal(0, 0.15, (600, 24))  # single links
+    dense = rng.normal(size=24) + rng.normal(0, 0.1, (600, 24))
+    v = np.concatenate([v, dense]).astype(np.float32)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(8)
+    got = sorted(tuple(r) for r in hnsw.near_duplicates(frame, shards=3, asked_together=4000).collect())
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    links = np.concatenate([(u[i : i + 1000] @ u.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(u), 1000)])
+    found = np.array([r[1] for r in got])
+    assert (found <= links).all() and found.sum() >= 0.999 * links.sum() > 300000
+    few = (links > 0) & (links < 20)
+    assert few.sum() > 300 and found[few].sum() >= 0.98 * links[few].sum()
+
+
 @pytest.mark.skipif(not os.path.exists(TABLE), reason="needs a table with near copies")
 def test_recall_on_the_table(spark):
     e = spark.read.parquet(TABLE)

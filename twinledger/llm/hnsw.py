@@ -1,24 +1,26 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one for each shard.
 
 Equal vectors count as one node of several rows.  Nodes are dealt to shards, each small
-enough for one task.  A task builds its shard's graph and asks it for every vector of a group of
-queries; every group asks every shard.  Beams widen for a query while all that its beam holds
+enough for one task.  A task builds its shard's graph, then the queries stream by; of every two
+shards one asks the other, so every pair of vectors is looked for once.  Beams widen for a query while all that its beam holds
 is near enough, and for a batch while an audit by brute force on some of its queries shows too low a
-recall.  Every link is verified by its cosine in double precision.  A task returns for each
-query a number of links, and only a spanning forest of the links themselves, so
-dense groups don't become pairs.
+recall.  Every link is verified by its cosine in double precision.  A task returns numbers of
+links for both ends, and only a spanning forest of the links themselves, so dense groups don't become
+pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint, pick, prepare
+from .common import checkpoint, give_back, pick, prepare
 from .components import components
 
 #: Neighbours of a node above the ground (twice as many on it), beam while building.
@@ -27,6 +29,7 @@ LINKS, BUILD_BEAM = 12, 40
 BEAMS = (32, 128, 512)
 AUDIT, RECALL = 64, 0.99
 _BATCH, _EXPAND = 512, 4
+_ASKED = 8192  # queries that a task holds at a time
 
 
 class Graph:
@@ -210,41 +213,81 @@ def near_in_shard(graph: Graph, raw: np.ndarray, queries: np.ndarray, least: flo
                 wide.append(part[sims[:, -1] >= least])
             full = np.concatenate(wide)  # they go on whatever the audit says
             told = set(truth) - set(full.tolist())
-            want = sum(len(truth[k]) for k in told)
-            got = sum(len(np.intersect1d(links[k], truth[k])) for k in told)
-            todo = todo if got < RECALL * want else full
+            want = np.array([len(truth[k]) for k in sorted(told)])
+            got = np.array([len(np.intersect1d(links[k], truth[k])) for k in sorted(told)])
+            some = want > 0
+            # by links and by queries, so that neither dense nor lone ones hide the others' misses
+            low = some.any() and min(got.sum() / want.sum(), (got[some] / want[some]).mean()) < RECALL
+            todo = todo if low else full
             if not len(todo):
                 break
         yield from sorted(links.items())
 
 
-def _forest(pairs: Iterator[tuple[int, np.ndarray]], nodes: int, query_at: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, np.ndarray]]:
-    """A spanning forest of the links (query's node, shard's node), and the links of each query."""
-    root = np.arange(nodes)
+class Shard:
+    """The graph of a shard, and what is joined among its nodes so far."""
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def __init__(self, rows: pa.Table):
+        order = np.argsort(rows.column("node").to_numpy(), kind="stable")
+        self.ids, self.least, self.weight = (rows.column(c).to_numpy()[order] for c in ("node", "least", "n"))
+        self.raw = _matrix(rows.column("embedding"))[order]
+        self.graph = Graph(self.raw / np.sqrt((self.raw * self.raw).sum(axis=1))[:, None])
+        self.root = np.arange(len(self.ids))
 
-    forest, links = [], {}
-    for k, ids in pairs:
-        links[k] = ids
-        if len(ids):
-            up = root[ids]
+    def answer(self, rows: pa.Table, limit: float) -> pa.RecordBatch:
+        """Links of some queries: numbers of links for each end, and links that join what isn't joined yet."""
+        ids, least, weight, own = (rows.column(c).to_numpy() for c in ("node", "least", "n", "own"))
+        n = len(self.ids)
+        place = np.minimum(np.searchsorted(self.ids, ids), n - 1)
+        at = np.where(self.ids[place] == ids, place, n + np.arange(len(ids)))
+        root = np.concatenate([self.root, n + np.arange(len(ids))])
+        counted, edges, seen = np.zeros(len(ids), np.int64), [], np.zeros(n, np.int64)
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for k, found in near_in_shard(self.graph, self.raw, _matrix(rows.column("embedding")), limit):
+            found = found[found != at[k]]
+            if not len(found):
+                continue
+            counted[k] = self.weight[found].sum()
+            if not own[k]:  # the shard's nodes don't ask the query's shard
+                seen[found] += weight[k]
+            up = root[found]
             while (root[up] != up).any():
                 up = root[up]
-            root[ids] = up
+            root[found] = up
             for u, i in zip(*np.unique(up, return_index=True), strict=True):
-                a, b = top(int(query_at[k])), top(int(u))
+                a, b = top(int(at[k])), top(int(u))
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    forest.append((int(query_at[k]), int(ids[i])))
-    return forest, links
+                    edges.append((k, int(found[i])))
+        self.root = root[:n].copy()  # the smaller place is the root, so these lie among the nodes
+        asked, near = np.flatnonzero(counted), np.flatnonzero(seen)
+        k, i = (np.array(x, np.int64) for x in (zip(*edges, strict=True) if edges else ((), ())))
+        columns = (
+            (least[asked], self.least[near], least[k]), (ids[asked], self.ids[near], ids[k]),
+            (least[asked], self.least[near], self.least[i]), (ids[asked], self.ids[near], self.ids[i]),
+            (counted[asked], seen[near], np.zeros(len(k), np.int64)),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=OUT.names)
+
+
+OUT = T.StructType([T.StructField(c, T.LongType()) for c in ("a_least", "a", "b_least", "b", "links")])
+
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of doubles, each by its largest component: squares of others could overflow or vanish, and the cosine doesn't change."""
+    out = column.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    return out / np.abs(out).max(axis=1, keepdims=True)
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = 6, shard_size: int = 32768, queries_a_shard: int = 4) -> DataFrame:
+
+def near_duplicates(
+    vectors: DataFrame, least: float = 0.95, shards: int = 12, shard_size: int = 32768, shard_bytes: int = 1 << 24, asked_together: int = 1 << 20
+) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors``.
 
     A link joins rows whose vectors have a cosine of ``least`` or more.  ``n_links`` counts the other rows
@@ -252,54 +295,77 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = 6, sh
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows
     without an id (component null, kept).  Rows that repeat are rows of their own that link with each
     other.  Vectors of different lengths don't link.
+
+    There are ``shards`` shards or more, of ``shard_size`` vectors and ``shard_bytes`` of doubles at most on average.
+    Of two shards one asks the other, each asks itself.  A shard's graph is built once for each ``asked_together`` vectors of
+    the table (building costs about as much as 50,000 queries); queries stream by it.
     """
     spark = prepare(vectors.sparkSession)
     x = F.col("embedding")
     finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
     rows = pick(vectors, "vec_id", "embedding")
     sound = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists(x, lambda c: c != 0), F.lit(False))
-    reps = rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    reps = rows.where(sound).groupBy("embedding").agg(F.min(F.col("vec_id").cast("long")).alias("least"), F.count("*").alias("n"))
     reps = checkpoint(reps.withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("embedding")))
-    total = reps.count()
-    s = max(shards, -(-total // shard_size))
-    groups = -(-s // queries_a_shard)
+    total, widest = reps.agg(F.count("*"), F.coalesce(F.max("width"), F.lit(1))).first()
+    s = max(shards, -(-total // shard_size), -(-total * 8 * widest // shard_bytes))
+    groups = -(-total // asked_together) or 1
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = reps.withColumn("s", F.pmod(F.xxhash64("node"), F.lit(s)).cast("int")).withColumn("g", each(groups)).withColumn("q", F.lit(False))
-    asked = reps.withColumn("g", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(groups)).cast("int")).withColumn("s", each(s)).withColumn("q", F.lit(True))
-    cols = ["width", "s", "g", "q", "node", "n", "embedding"]
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["q", "node"])
-        own, ask = pdf[~pdf["q"]], pdf[pdf["q"]]
-        if not len(own) or not len(ask):
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        raw, q = np.stack(own["embedding"]).astype(np.float64), np.stack(ask["embedding"]).astype(np.float64)
-        # far from 1 in size, squares could overflow or vanish; the cosine doesn't change
-        raw, q = (v / np.abs(v).max(axis=1, keepdims=True) for v in (raw, q))
-        ids, weight, q_ids = own["node"].to_numpy(), own["n"].to_numpy(), ask["node"].to_numpy()
-        graph = Graph(raw / np.sqrt((raw * raw).sum(axis=1))[:, None])
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        at = np.array([place.get(v, len(ids) + k) for k, v in enumerate(q_ids.tolist())])
-        found = ((k, i[i != at[k]]) for k, i in near_in_shard(graph, raw, q, least))
-        forest, links = _forest(found, len(ids) + len(q_ids), at)
-        name = np.concatenate([ids, q_ids])
-        out = [(int(q_ids[k]), int(q_ids[k]), int(weight[i].sum())) for k, i in links.items() if len(i)]
-        out += [(int(name[a]), int(name[b]), 0) for a, b in forest]
-        return pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
-
-    found = stored.select(cols).unionByName(asked.select(cols)).groupBy("width", "s", "g").applyInPandas(work, "a long, b long, links long")
+    home = F.pmod(F.xxhash64("node"), F.lit(s)).cast("int")
+    stored = reps.withColumn("s", home).withColumn("g", each(groups)).withColumns({"q": F.lit(False), "own": F.lit(True)})
+    # half of the ring of shards behind the query's own; of two shards that face each other the first half asks
+    asked = reps.withColumn("home", home).withColumn("step", each(s // 2 + 1)).where((F.col("step") < s - s // 2) | (F.col("home") < s // 2))
+    asked = asked.withColumn("s", F.pmod(F.col("home") + F.col("step"), F.lit(s)).cast("int")).withColumn("own", F.col("step") == 0)
+    asked = asked.withColumn("g", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(groups)).cast("int")).withColumn("q", F.lit(True))
+    at = ["width", "s", "g", "q"]
+    cols = [*at, "own", "node", "least", "n", "embedding"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, shard = None, [], None
+
+        def flush() -> pa.RecordBatch | None:
+            """Build the shard of what is held, or ask it."""
+            nonlocal shard
+            table = pa.Table.from_batches(held)
+            held.clear()
+            if not key[3]:
+                shard = (key[:3], Shard(table))
+            elif shard and shard[0] == key[:3]:  # a shard without vectors answers nothing
+                return shard[1].answer(table, least)
+            return None
+
+        for batch in batches:
+            marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1 if len(marks) else []
+            for a, b in pairwise([0, *cuts, len(marks)] if len(marks) else []):
+                now = tuple(marks[a].tolist())
+                if held and (now != key or (key[3] and sum(x.num_rows for x in held) >= _ASKED)):
+                    out = flush()
+                    if out is not None:
+                        yield out
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            out = flush()
+            if out is not None:
+                yield out
+        shard = None
+        give_back()
+
+    both = stored.select(cols).unionByName(asked.select(cols))
+    found = both.repartition(min(s * groups, 1 << 15), "width", "s", "g").sortWithinPartitions(*at, "node").mapInArrow(work, OUT)
     found = checkpoint(found)
-    edges = found.where("a <> b").select("a", "b")
+    # a node carries its smallest id and sorts by it, so a component's root tells the component's smallest id
+    ends = [F.struct(F.col(f"{c}_least").alias("least"), F.col(c).alias("node")).alias(c) for c in "ab"]
+    edges = found.where("a <> b").select(*ends)
     counted = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("found"))
     # a link found from one end only also counts at the other
-    ends = edges.union(edges.select("b", "a")).distinct().toDF("node", "other")
-    ends = ends.join(reps.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("sure"))
-    roots = components(edges)
-    known = reps.join(roots, "node", "left").join(counted, "node", "left").join(ends, "node", "left")
-    known = known.withColumn("root", F.coalesce("root", "node"))
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(ids, "root").select(
-        "embedding", "component_id", (F.coalesce(F.greatest("found", "sure"), F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")
+    pairs = edges.select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+    pairs = pairs.union(pairs.select("other", "node")).distinct()
+    sure = pairs.join(reps.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("sure"))
+    roots = components(edges).select("node.node", F.col("root.least").alias("component_id"))
+    known = reps.join(roots, "node", "left").join(counted, "node", "left").join(sure, "node", "left").select(
+        "embedding", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce(F.greatest("found", "sure"), F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")
     )
     linked = rows.where(sound).join(known, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
