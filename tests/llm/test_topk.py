@@ -13,7 +13,7 @@ def brute(rows, k, every):
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             ok.append((i, tuple(math.floor(64 * float(np.float32(x))) for x in v)))
-    ok = sorted(set(ok))
+    ok = sorted(ok)
     out, done = [], set()
     for i, q in ok:
         if i % every == 0 and i not in done:
@@ -29,8 +29,8 @@ def test_top_k(spark):
     rows += [(i, [0.5, -0.5, 0.25, 0.0, 0.1, 0.1], 1, 1) for i in range(600, 760)]  # ties
     rows += [rows[20], rows[40], rows[600]] + [(800, None, 1, 1), (820, [1.0, None], 1, 1), (840, [float("nan")] * 6, 1, 1), (860, [float("inf")] * 6, 1, 1), (None, [9.0] * 6, 1, 1), (880, [], 1, 1), (900, [0.3, 0.2], 1, 1), (-20, [0.1] * 9, 1, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for shard, block in ((64, 9), (5000, 5000)):
-        got = topk.top_k(df, shard=shard, block=block)
+    for shards, shard, block in ((5, 64, 9), (1, 5000, 5000), (12, 8192, 32768)):
+        got = topk.top_k(df, shards=shards, shard=shard, block=block)
         assert got.columns == ["query_id", "rank", "vec_id", "score"]
         assert sorted(tuple(r) for r in got.collect()) == brute(rows, 20, 20)
     few = rows[:8]
