@@ -30,6 +30,27 @@ def test_what_is_left_out():
     assert text("<div class='adorable'>kept</div>") == "kept" and text("<div class='page no-sidebar has_ads'>kept</div>") == "kept"
 
 
+def test_inline_and_form_elements():
+    assert text("<article><p>x</p><button>Subscribe</button></article>") == "x"
+    assert text("<p>a <span class='ad'>AD <span>in</span> ad</span>b<label>L</label> <span hidden>h</span>c <a class='share'>S</a><ins class=adsbygoogle>G</ins>d</p>") == "a b c d"
+    assert text("<div class='adbox'>AD</div><p>t <b class='note'>kept</b></p><datalist><option>o</datalist>") == "t kept"
+    assert text("<div>a <span class=ad><div>x</div>y</span>b</div>") == "a\nb"
+    assert text("<p>a<span class=ad>AD</p><p>b</p>") == "a\nb" and text("<p><span class=ad><i>x</i><br>y</span>z</p>") == "z"
+
+
+def test_articles_are_never_lost():
+    for page in ("<article class='post ad-free'><p>x</p></article>", "<article class='post comments-open'><p>x</p></article>", "<div class='social-science'><article><p>x</p></article></div>",
+                 "<div id='widget-area'><article><p>x</p></article></div>", "<div id='widget-area'><main><p>x</p></main></div>", "<div class='widgetArea'><div><article><p>x</p><div class='share-bar'>s</div></article></div></div>"):
+        assert text(page) == "x", page
+    assert text("<article><p>x</p></article><div id='widget-area'><article><p>teaser</p></article></div>") == "x"
+    assert text("<p>x</p><div class='comment-list'><article><p>Me first</p></article></div>") == "x"
+
+
+def test_headers_of_articles():
+    page = "<article><header><h1>Title</h1><p>By A. Writer</p><nav>n</nav><hgroup><h2>Sub</h2></hgroup></header><p>x</p></article>"
+    assert text(page) == "Title\nSub\nx"
+
+
 def test_long_and_hostile_pages():
     for page in ("<p>" * 50000 + "x", "<div>" * 3000 + "x", '<a "' * 3000, "<" * 100000, "<!--" * 20000, "<p>" + "word " * 200000, "<li>" * 3000 + "y", "<svg>" * 100000, "<script>a</script>" * 3000):
         text(page)

@@ -4,7 +4,9 @@ Spark counts on how many different pages of a host each element subtree occurs,
 hash.  Subtrees that recur across many pages of their host are its template and are deleted; what is
 left of the page outside menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles is its text.  Inside a page's article only containers can be template: a
-paragraph, a heading or an item there is text however often it recurs.
+paragraph, a heading or an item there is text however often it recurs, and so is what stands in
+inline elements, unless their names or marks say otherwise.  Of a header inside an article
+only the headings stay.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ import re
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, checkpoint, fresh, prepare
+from .common import add_columns, checkpoint, fresh, packed, prepare
 from .urls import host_and_path
 
 _TAG = re.compile(
@@ -27,9 +30,7 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([A-Za-z_:][^\s=/>]*)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_PART = re.compile(r"[a-z]+")
-#: Names that say what a page has or lacks, not what the element is.
-_ABOUT = re.compile(r"(?<!\S)(?:no|has|with|without|hide|show)[-_]\S*")
+_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 # Element names by their part in a page.
 BLOCK = frozenset(
@@ -40,12 +41,18 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th tr tb
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes svg math template object canvas audio video".split())
 DROP = frozenset("head nav footer aside form button select option datalist dialog menu search fieldset label".split())
-#: A class, id or role with one of these words marks an element that isn't main text.
+#: A class, id or role that is one of these words, or is put together from them and JOINS only, marks an element that isn't main text.
 DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
-    "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply respond share sharing sidebar "
-    "signup social sponsor sponsored subscribe toolbar widget complementary contentinfo alert".split()
+    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
+    "cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply respond "
+    "share sharing sharebar sidebar signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert".split()
 )
+JOINS = frozenset(
+    "article area bar block bottom box button buttons card column container content form global header holder icon icons inner item items left link links list main "
+    "media message page panel post posts primary right section secondary site slot top unit wrap wrapper".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts into which the pages of a host are dealt.
 SALTS = 16
 CLOSED_BY_BLOCK = frozenset(["p"])
@@ -53,35 +60,52 @@ CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")), "option": ("option", ("select", "datalist"))}
 
 
+def marked(mark: str) -> set[str]:
+    """The words by which a class, id or role marks an element as no main text."""
+    out: set[str] = set()
+    for token in mark.split():
+        parts = [p.lower() for p in _PART.findall(token)]
+        parts = [p for p in parts if len(p) > 1] or parts
+        words = DROP_WORDS.intersection([*parts, token.lower()])
+        if words and (token.lower() in DROP_WORDS or all(p in DROP_WORDS or p in JOINS for p in parts)):
+            out |= words
+    return out
+
+
 class Frame:
-    __slots__ = ("name", "dropped", "article", "main", "content", "first", "mark")
+    """An open element: what of it is left out (``dropped`` for good, ``soft`` by its marks only), and where it stands."""
+
+    __slots__ = ("name", "dropped", "soft", "comments", "outer", "byline", "article", "main", "inline", "depth", "content", "first", "mark")
 
-    def __init__(self, name: str, dropped: bool, article: bool, main: bool, first: int, mark: str):
-        self.name, self.dropped, self.article, self.main, self.first, self.mark = name, dropped, article, main, first, mark
+    def __init__(self, name: str, above: Frame | None, first: int, mark: str):
+        self.name, self.first, self.mark, self.inline, self.depth = name, first, mark, False, 0
         self.content: list[str] = []
+        for k in ("dropped", "soft", "comments", "outer", "byline", "article", "main"):
+            setattr(self, k, bool(above and getattr(above, k)))
 
 
 class Page:
     """Blocks of a page and the hashed subtrees around them.
 
-    ``blocks`` has (text, dropped, in article, in main); ``subtrees`` has (hash, first block, end, text
-    container inside an article or any block element outside).
+    ``blocks`` has (text, left out, in article, in main, outer): outer is what stands in an article or main element inside an
+    element that its marks leave out.  ``subtrees`` has (hash, first block, end, text container inside an
+    article or any block element outside).
     """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool, bool, bool]] = []
+        self.blocks: list[tuple[str, bool, bool, bool, bool]] = []
         self.subtrees: list[tuple[int, int, int]] = []
         self._text: list[str] = []
-        self._stack = [Frame("", False, False, False, 0, "")]
+        self._stack = [Frame("", None, 0, "")]
         at, n = 0, len(html)
         open_raw: set[str] = set()  # names of which no end follows
         while at < n:
             m = _TAG.search(html, at)
             if not m:
-                self._text.append(html[at:])
+                self._add(html[at:])
                 break
             if m.start() > at:
-                self._text.append(html[at : m.start()])
+                self._add(html[at : m.start()])
             at = m.end()
             name = m["name"]
             if name is None:
@@ -99,64 +123,99 @@ class Page:
                     open_raw.add(name)
                 if not end and not single and name in ("script", "style", "textarea", "title", "xmp"):
                     at = n
-                self._text.append(" ")
+                self._add(" ")
             else:
                 self._open(name, m["attrs"])
         self._flush()
         while len(self._stack) > 1:
             self._pop()
 
+    def _add(self, raw: str) -> None:
+        if not self._stack[-1].inline:  # what an inline element leaves out doesn't cut the block around it
+            self._text.append(raw)
+
     def _flush(self) -> None:
         if self._text:
-            top = self._stack[-1]
+            # text inside an inline element that is left out isn't kept, so what is kept belongs to the element around it
+            top = next(f for f in reversed(self._stack) if not f.inline)
             raw = "".join(self._text)
             self._text.clear()
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                self.blocks.append((text, top.dropped, top.article, top.main))
+                self.blocks.append((text, top.dropped or top.soft or top.byline, top.article, top.main, top.outer))
                 top.content.append(text)
 
     def _open(self, name: str, attrs: str) -> None:
+        own = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if len(attrs) > 1 else {}
+        hidden = bool(own) and ("hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", ""))
+        mark = " ".join(filter(None, (own.get(k) for k in ("class", "id", "role"))))
+        words = marked(mark) if mark and name not in ("html", "body", "main") else set()
         if name not in BLOCK:
-            self._text.append(" " if name in ("br", "wbr", "img") else "")
+            top = self._stack[-1]
+            if top.inline:
+                top.depth += name == top.name and not attrs.endswith("/>")
+            elif name in ("br", "wbr", "img"):
+                self._text.append(" ")
+            elif name not in VOID and not attrs.endswith("/>") and (name in DROP or hidden or words):
+                frame = Frame(name, top, len(self.blocks), mark)
+                frame.inline, frame.dropped, frame.depth = True, True, 1
+                self._stack.append(frame)
             return
         self._flush()
         if name == "hr":
             return
-        if self._stack[-1].name in CLOSED_BY_BLOCK:
-            self._pop()
+        i = len(self._stack) - 1
+        while self._stack[i].inline:
+            i -= 1
+        if self._stack[i].name in CLOSED_BY_BLOCK:
+            self._pop_to(i)
         if name in SIBLINGS:
             ends, walls = SIBLINGS[name]
             for i in range(len(self._stack) - 1, 0, -1):
                 if self._stack[i].name in walls:
                     break
                 if self._stack[i].name in ends.split():
-                    while len(self._stack) > i:
-                        self._pop()
+                    self._pop_to(i)
                     break
-        top, own = self._stack[-1], {}
-        if len(attrs) > 1:
-            own = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-        mark = " ".join(own.get(k, "") for k in ("class", "id", "role"))
-        dropped = top.dropped or name in DROP or (name == "header" and not top.article)
-        if not dropped and own:
-            words = set(_PART.findall(_ABOUT.sub(" ", mark.lower())))
-            hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
-            dropped = hidden or (name not in ("html", "body", "main") and bool(words & DROP_WORDS))
-        self._stack.append(Frame(name, dropped, top.article or (name == "article" and not dropped), top.main or name == "main" or own.get("role") == "main", len(self.blocks), mark))
+        top = self._stack[-1]
+        f = Frame(name, top, len(self.blocks), mark)
+        if name in ("article", "main") and f.soft and not f.comments and not f.dropped:
+            f.soft, f.outer = False, True  # it may be what the page is about, if nothing else is
+        f.dropped |= name in DROP or hidden or (name == "header" and not f.article)
+        f.soft |= bool(words)
+        f.comments |= bool(words & COMMENTS)
+        f.byline = name not in HEADINGS and (f.byline or (name == "header" and f.article))
+        gone = f.dropped or f.soft
+        f.article |= name == "article" and not gone
+        f.main |= (name == "main" or own.get("role") == "main") and not gone
+        self._stack.append(f)
 
     def _close(self, name: str) -> None:
         if name not in BLOCK:
+            for i in range(len(self._stack) - 1, max(0, len(self._stack) - 4), -1):
+                f = self._stack[i]
+                if f.inline and f.name == name:
+                    f.depth -= 1
+                    if f.depth <= 0:
+                        if i < len(self._stack) - 1:
+                            self._flush()
+                        self._pop_to(i)
+                    break
             return
         self._flush()
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i].name == name:
-                while len(self._stack) > i:
-                    self._pop()
+                self._pop_to(i)
                 break
 
+    def _pop_to(self, i: int) -> None:
+        while len(self._stack) > i:
+            self._pop()
+
     def _pop(self) -> None:
         f = self._stack.pop()
+        if f.inline:
+            return
         top = self._stack[-1]
         known = "\x1f".join((f.name, f.mark, *f.content))
         digest = xxhash.xxh64_intdigest(known.encode("utf-8", "surrogatepass"))
@@ -173,12 +232,10 @@ class Page:
             if h in template:
                 gone.update(range(first, end))
         left = [b for i, b in enumerate(self.blocks) if i not in gone and not b[1]]
-        for place in (2, 3):  # an article, else a main element, else the whole page
-            inside = [b for b in self.blocks if b[place] and not b[1]]
-            if inside:
-                left = [b for b in left if b[place]]
-                break
-        return "\n".join(b[0] for b in left)
+        for place, outer in ((2, False), (3, False), (2, True), (3, True)):  # an article, else a main element, else the whole page
+            if any(b[place] and b[4] == outer and not b[1] for b in self.blocks):
+                return "\n".join(b[0] for b in left if b[place] and b[4] == outer)
+        return "\n".join(b[0] for b in left if not b[4])
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
@@ -210,25 +267,24 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 5, small: int = 8
     their own, so repeated rows don't matter; input columns named like an output are replaced.
     """
     prepare(pages.sparkSession)
-    pages = fresh(pages, "text", "n_chars")
-    names = pages.columns
-    rows = pages.withColumn("__host", host_and_path(F.col("url"))[0])
-    known = checkpoint(site_templates(pages, share, least, many).select(F.col("host").alias("__host"), F.col("template").alias("__template")))
-    hosts, hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("__template")), F.lit(0))).first()
+    names = fresh(pages, "text", "n_chars").columns
+    rows = packed(pages).withColumn("host", host_and_path(F.col("row.url"))[0])
+    known = checkpoint(site_templates(pages, share, least, many))
+    hosts, hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("template")), F.lit(0))).first()
     if 200 * hosts + 8 * hashes <= small:
-        rows = rows.join(F.broadcast(known), "__host", "left")  # its size is known by now
+        rows = rows.join(F.broadcast(known), "host", "left")  # its size is known by now
     else:
-        # a host's pages are dealt over many tasks, each with the host's templates
-        salt = F.pmod(F.xxhash64("html", "url"), F.lit(SALTS)).cast("int")
-        known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__salt", salt).join(known, ["__host", "__salt"], "left").drop("__salt")
+        # a host's pages are dealt over some tasks, each with the host's templates; adaptive execution splits what is still large
+        salt = F.pmod(F.xxhash64("row.html", "row.url"), F.lit(SALTS)).cast("int")
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", salt).join(known, ["host", "salt"], "left").drop("salt")
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = [Page(h or "").main_text(set(t or ())) for h, t in zip(_column(batch, "html"), _column(batch, "__template"), strict=True)]
-            return [pa.array(texts, pa.string())]
+            html = pc.struct_field(batch.column(batch.schema.get_field_index("row")), "html").to_pylist()
+            return [pa.array([Page(h or "").main_text(set(t or ())) for h, t in zip(html, _column(batch, "template"), strict=True)], pa.string())]
 
         return work
 
     out = add_columns(rows, [T.StructField("text", T.StringType())], make)
-    return out.select(*[F.col(f"`{c}`") for c in names], "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select(*[F.col(f"row.`{c}`") for c in names], "text", F.length("text").cast("long").alias("n_chars"))
