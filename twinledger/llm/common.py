@@ -42,6 +42,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared checkpoint folder."""
     prepare(df.sparkSession)

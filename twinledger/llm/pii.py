@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, pick, texts_of
+from .common import add_columns, pick, texts_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -446,16 +446,16 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans go as one, under the first one's name.  Texts without spans stay as they are.
     """
-    names = docs.columns
-    found = find(docs, "__pii")
+    names, spans, clean = docs.columns, unused(docs, "pii"), unused(docs, "clean")
+    found = find(docs, spans)
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             out = []
-            for text, spans in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("__pii")).to_pylist(), strict=True):
-                if spans:
+            for text, own in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", spans)), strict=True):
+                if own:
                     parts, at = [], 0
-                    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+                    for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
                         if s["start"] >= at:
                             parts += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
                         at = max(at, s["end"])
@@ -465,6 +465,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return work
 
-    done = add_columns(found, [T.StructField("__clean", T.StringType())], make)
-    columns = {"text": F.col("__clean"), "n_chars": F.when(F.size("__pii") > 0, F.length("__clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None}
-    return done.select(*[(columns[c] if columns.get(c) is not None else F.col(f"`{c}`")).alias(c) for c in names])
+    done = add_columns(found, [T.StructField(clean, T.StringType())], make)
+    length = F.when(F.size(spans) > 0, F.length(clean).cast("long"))
+    new = {"text": F.col(clean), "n_chars": F.coalesce(length, F.col("n_chars")) if "n_chars" in names else None}
+    return done.select(*[(F.col(f"`{c}`") if new.get(c) is None else new[c]).alias(c) for c in names])
