@@ -19,11 +19,12 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that Python works on at a time.
 ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and make sure checkpoints have a folder.
+    """Let Python workers import this package, hold batches to ROWS rows, and make sure checkpoints have a folder.
 
     The checkpoint folder is the one that ``spark.checkpoint.dir`` names.  Only a local
     session without that setting (tests on one machine) gets a temporary one; on a cluster
@@ -34,6 +35,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    if int(spark.conf.get(_BATCH)) > ROWS:  # texts can be long, so what goes to Python at a time stays small
+        spark.conf.set(_BATCH, str(ROWS))
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
