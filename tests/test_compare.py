@@ -3,9 +3,10 @@ import random
 from pyspark.sql import functions as F
 
 from twinledger.functions.strings import UNIT
-from twinledger.operators import compare, export, filters, monitor, rules, summary
+from twinledger.operators import compare, export, features, filters, monitor, rules, summary
 from twinledger.sources import charset, scan
 
+# The small files of this module's first tests are examples whose expected results must match.
 LINES = "pair_id string, seq long, value string"
 
 
@@ -183,8 +184,8 @@ def test_scan_lines_over_many_blocks(spark, tmp_path):
 
 
 def test_versions_and_mixed_charset(spark):
-    files = spark.createDataFrame([("/d/x.gz.000000001",), ("/d/x.gz.000000002",), ("/d/y.gz",), ("/d/y",)], "path string")
-    assert {(r.logical_name, r.path, r.plain) for r in scan.scan_versions(files).collect()} == {("x", "/d/x.gz.000000002", False), ("y", "/d/y", True)}
+    files = spark.createDataFrame([("/d/x.gz.000000001",), ("/d/x.gz.000000002",), ("/d/y.gz",), ("/d/y",), ("/d/z.GZ",)], "path string")
+    assert {(r.logical_name, r.path, r.plain) for r in scan.scan_versions(files).collect()} == {("x", "/d/x.gz.000000002", False), ("y", "/d/y", True), ("z", "/d/z.GZ", False)}
     content = b"a | " + "中文".encode("utf-16-be") + b" | c\nd | plain | e\n"
     out = charset.normalize_mixed_charset(spark.createDataFrame([("f", bytearray(content))], "file_path string, content binary"), "gb18030", " | ", {1: 2}).collect()
     assert [r.value for r in out] == ["a | 中文 | c", "d | plain | e"]
@@ -194,5 +195,50 @@ def test_versions_and_mixed_charset(spark):
     assert {(r.file_path, bytes(r.content)) for r in z} == {("f", b"hi"), ("g", b"raw")}
 
 
+def test_labels_and_cases(spark):
+    a, ta, _ = records(spark, "k1 | x | 1.00\nk2 | y\nk5 | v | 3\n|||||DataStartDate=\"20250916\"")
+    b, tb, _ = records(spark, "k1 | z | 2.00\nk3 | w | 0\nk5 | v | 4\n|||||DataStartDate=20250917")
+    r = compare.keyed_compare(a, b, [0])
+    label = {x.key: x.diff for x in export.export_full_csv(r, ["KEY", "NAME"]).collect()}
+    assert label == {"k1": "2-NAME；3-栏位3；", "k2": "", "k3": "", "k5": "3-栏位3；"}
+    pairs = spark.createDataFrame([("p", "b1", 1, "N", "f_#BANKNO_*.v01", "f", "g", "team", "T")], "pair_id string, batch string, round int, nickname string, glob string, file_a string, file_b string, team string, type string")
+    cases = export.export_cases(r.unionByName(compare.trailer_compare(ta, tb)), pairs)
+    got = {(c.key, c.column_no): c for c in cases.collect()}
+    assert {k: c.content for k, c in got.items()} == {("k1", 2): "A:'x' B:'z'", ("k1", 3): "A:'1.00' B:'2.00'", ("k2", 0): "A:'k2 | y'", ("k3", 0): "B:'k3 | w | 0'", ("k5", 3): "A:'3' B:'4'"}
+    assert {(c.date, c.wildcard, c.extension, c.type) for c in got.values()} == {("20250916", "#BANKNO", "v01", "T")}
+    sheet = export.case_table(cases).where("`问题状态` = '' and `栏位索引` = '0'").collect()
+    assert len(sheet) == 2 and sheet[0].asDict().keys() == dict.fromkeys(export.CASE_COLUMNS).keys() and sheet[0]["分析团队"] == "team"
+    names = spark.createDataFrame([("a_20260231_20269999.dat",), ("120250101",), ("x_20240101_20250202",)], "n string")
+    assert [x.d for x in names.select(export.file_date(F.col("n")).alias("d")).collect()] == ["20260231", None, "20250202"]
+    # 1.00 and 1 are different differences, so neither is the rule
+    assert features.numeric_delta_mode(r).collect() == []
+    more, *_ = records(spark, "k1 | z | 2.00\nk5 | v | 4.00")
+    assert [(x.delta, x.n) for x in features.numeric_delta_mode(compare.keyed_compare(a, more, [0])).collect()] == [("+1.00", 2)]
+
+
+def test_cell_spans():
+    tags = lambda a, b, most=40_000: [(x["tag"], x["i1"], x["i2"], x["j1"], x["j2"]) for x in features._opcodes(a, b, most)]
+    assert tags("", "") == [("equal", 0, 0, 0, 0)] and tags("ab", "") == [("delete", 0, 2, 0, 0)] and tags("", "é") == [("insert", 0, 0, 0, 1)]
+    assert tags("abc", "axc") == [("equal", 0, 1, 0, 1), ("delete", 1, 2, 1, 1), ("insert", 2, 2, 1, 2), ("equal", 2, 3, 2, 3)]
+    assert tags("aab", "ab") == [("equal", 0, 1, 0, 1), ("delete", 1, 2, 1, 1), ("equal", 2, 3, 1, 2)]
+    assert tags("xaby", "xbay", 1) == [("equal", 0, 1, 0, 1), ("delete", 1, 3, 1, 1), ("insert", 3, 3, 1, 3), ("equal", 3, 4, 3, 4)]
+    assert tags("aaa", "aa", 1) == [("equal", 0, 2, 0, 2), ("delete", 2, 3, 2, 2)]
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab1") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        for most in (0, 40_000):
+            spans = features._opcodes(a, b, most)
+            assert "".join(a[x["i1"] : x["i2"]] for x in spans if x["tag"] != "insert") == a and "".join(b[x["j1"] : x["j2"]] for x in spans if x["tag"] != "delete") == b
+            assert all(a[x["i1"] : x["i2"]] == b[x["j1"] : x["j2"]] for x in spans if x["tag"] == "equal")
+
+
+def test_monitor_of_an_empty_side(spark):
+    fields = spark.createDataFrame([("p", 0, 1), ("p", 1, 2), ("p", 2, 3)], "pair_id string, col int, field_type int")
+    a, *_ = records(spark, "x | y")
+    none = spark.createDataFrame([], "pair_id string, seq long, cols array<string>")
+    told = lambda x, y: {r.col: r.matched for r in monitor.monitor_verdict(fields, monitor.monitor_values(x, fields), monitor.monitor_values(y, fields)).collect()}
+    assert told(a, none) == {0: True, 1: False, 2: None} and told(none, a) == {0: False, 1: False, 2: None} and told(none, none) == {0: True, 1: True, 2: None}
+
+
 def test_key_label():
     assert UNIT == "\x1f"

@@ -87,8 +87,8 @@ def column_name(names: Column, i: Column) -> Column:
 
 
 def diff_label(diff_cols: Column, names: Column) -> Column:
-    """The differing columns by number and name."""
-    return F.array_join(F.transform(diff_cols, lambda i: F.concat(F.lit("@"), (i + 1).cast("string"), F.lit(" "), column_name(names, i))), "; ")
+    """The differing columns as ``number-name；`` each."""
+    return F.array_join(F.transform(diff_cols, lambda i: F.concat((i + 1).cast("string"), F.lit("-"), column_name(names, i), F.lit("；"))), "")
 
 
 def glob_regex(glob: str) -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import diff_columns, key_of
+from ..sources.settle import settle
 
 #: Virtual columns of dynamic sub-fields are numbered above this.
 VIRTUAL = 1_000_000
@@ -93,15 +94,13 @@ def sub_fields(text: Column) -> Column:
     parts = F.split(text, "~~", -1)
     raw = F.filter(F.transform(parts, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"] != "")
     coded = F.transform(raw, lambda x: F.struct(F.when((x["i"] > 0) & x["s"].rlike(r"^[\p{L}\p{Nd}]{2}"), F.substring(x["s"], 1, 2)).alias("c"), x["s"].alias("s")))
-    zero = F.struct(F.array().cast("array<struct<c:string,s:string>>").alias("seen"), F.array().cast("array<struct<k:string,v:string>>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        nth = F.size(F.filter(acc["seen"], lambda y: y["c"].eqNullSafe(x["c"]))) + 1
+    def named(x: Column, i: Column) -> Column:
+        nth = F.size(F.filter(F.slice(coded, F.lit(1), i + 1), lambda y: y["c"].eqNullSafe(x["c"])))
         name = F.when(x["c"].isNull(), F.concat(F.lit("#"), nth.cast("string"))).when(nth == 1, x["c"]).otherwise(F.concat(x["c"], F.lit("*"), nth.cast("string")))
-        value = F.when(x["c"].isNull(), x["s"]).otherwise(F.substring(x["s"], F.lit(3), F.length(x["s"])))
-        return F.struct(F.concat(acc["seen"], F.array(x)).alias("seen"), F.concat(acc["out"], F.array(F.struct(name.alias("k"), value.alias("v")))).alias("out"))
+        return F.struct(name.alias("k"), F.when(x["c"].isNull(), x["s"]).otherwise(F.substring(x["s"], F.lit(3), F.length(x["s"]))).alias("v"))
 
-    return F.coalesce(F.aggregate(coded, zero, add)["out"], F.array().cast("array<struct<k:string,v:string>>"))
+    return F.coalesce(F.transform(coded, named), F.array().cast("array<struct<k:string,v:string>>"))
 
 
 def expand_dynamic(data: DataFrame, col: int, items: DataFrame | None = None) -> DataFrame:
@@ -125,18 +124,21 @@ def keyed_compare_dynamic(a: DataFrame, b: DataFrame, keys: list[int] | None, dy
     from an empty one.  Records of one side carry their own values.
     """
     dynamic = sorted(set(dynamic) - set(skip))
+    fields = lambda x, c: sub_fields(F.coalesce(F.get(x, F.lit(c)), F.lit("")))
     rows = keyed_compare(a, b, keys, [*skip, *dynamic])
-
-    def values(c: int) -> Column:
-        side = lambda x: F.map_from_entries(sub_fields(F.coalesce(F.get(x, F.lit(c)), F.lit(""))))
-        left, right = side("a_cols"), side("b_cols")
-        names = F.array_union(F.map_keys(left), F.map_keys(right))
-        return F.transform(names, lambda k: F.struct(F.lit(c).alias("c"), k.alias("k"), F.try_element_at(left, k).alias("a"), F.try_element_at(right, k).alias("b")))
-
-    rows = rows.withColumn("__vals", F.concat(*[values(c) for c in dynamic]))
+    # both sides' sub-fields are cut once and written, as the registry and the rows need them
+    for x in "ab":
+        rows = rows.withColumn(f"__{x}", F.array(*[fields(f"{x}_cols", c) for c in dynamic]))
+    rows = settle(rows)
+
+    def values(n: int, c: int) -> Column:
+        left, right = F.get("__a", F.lit(n)), F.get("__b", F.lit(n))
+        names = F.array_union(F.transform(left, lambda x: x["k"]), F.transform(right, lambda x: x["k"]))
+        at = lambda side, k: F.get(F.filter(side, lambda x: x["k"] == k), F.lit(0))["v"]
+        return F.transform(names, lambda k: F.struct(F.lit(c).alias("c"), k.alias("k"), at(left, k).alias("a"), at(right, k).alias("b")))
+
+    rows = rows.withColumn("__vals", F.concat(*[values(n, c) for n, c in enumerate(dynamic)]))
     first = rows.select("pair_id", "seq", F.posexplode("__vals").alias("pos", "x")).groupBy("pair_id", F.col("x.c").alias("c"), F.col("x.k").alias("k")).agg(F.min(F.struct("seq", "pos")).alias("at"))
-    from pyspark.sql import Window
-
     # one row for each column and code of a pair, few by nature
     registry = first.select("pair_id", "c", "k", (F.lit(VIRTUAL) + F.row_number().over(Window.partitionBy("pair_id").orderBy("at"))).cast("int").alias("idx"))
     named = registry.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", F.col("c").cast("string"), "k"), "idx"))).alias("__names"))

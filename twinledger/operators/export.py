@@ -76,35 +76,61 @@ def export_diff_fields(results: DataFrame, names: list[str] | None = None) -> Da
     return rows.select("pair_id", "seq", display_key(F.col("key")).alias("key"), (F.col("i") + 1).alias("no"), column_name(_names(names), F.col("i")).alias("name"), value("a_cols").alias("a"), value("b_cols").alias("b"))
 
 
+# Dates in file names, the variable part of a pattern, and the columns of the case table.
+FILE_DATE = r"(?<![0-9])((?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))(?![0-9])"
+TRAILER_DATE = "^((?:19|20)[0-9]{6})"
+NAMED = "#[A-Za-z0-9_]*[A-Za-z0-9]"
+CASE_COLUMNS = [
+    "采集日期", "批次", "轮次", "银行号", "表类型", "表名", "文件名", "栏位索引", "错误类型", "存在问题",
+    "分析人", "分析说明", "分析团队", "问题结论大类", "问题结论小类", "修改方案", "问题状态", "备注", "修改时间", "主键id",
+]
+
+
 def file_date(name: Column) -> Column:
-    """The last valid date (eight digits) in a file name."""
-    found = F.regexp_extract_all(name, F.lit(r"(?<![0-9])((?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))(?![0-9])"), F.lit(1))
-    valid = F.filter(found, lambda d: F.try_to_timestamp(d, F.lit("yyyyMMdd")).isNotNull())
-    return F.try_element_at(valid, F.lit(-1))
+    """The last run of eight digits in a file name that looks like a date; days aren't held against the month's length."""
+    return F.try_element_at(F.regexp_extract_all(name, F.lit(FILE_DATE), F.lit(1)), F.lit(-1))
 
 
 def wildcard(glob: Column) -> Column:
-    """The variable part of a pattern: ``#NAME``, else its stars."""
-    tag, stars = F.regexp_extract(glob, r"#[A-Za-z0-9_]+", 0), F.regexp_extract(glob, r"\*+", 0)
+    """The variable part of a pattern: ``#NAME`` without underscores at its end, else its stars."""
+    tag, stars = F.regexp_extract(glob, NAMED, 0), F.regexp_extract(glob, r"\*+", 0)
     return F.when(tag != "", tag).otherwise(stars)
 
 
+def extension(name: Column, glob: Column) -> Column:
+    """What stands behind the last dot of a file's name, else of its pattern."""
+    part = lambda c: F.nullif(F.trim(F.regexp_extract(c, r"\.([^./\\]+)$", 1)), F.lit(""))
+    return F.coalesce(part(name), part(glob), F.lit(""))
+
+
 def export_cases(results: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A case for each differing column of each data record that isn't equal; column 0 stands for a record of one side.
+    """A case for each differing column of each data record that isn't equal; column 0 stands for a record of one side,
+    whose content is its whole line.
 
-    ``pairs`` has ``pair_id, batch, round, nickname, glob, file_a, file_b, team``; the date comes from A's name, else B's.
+    ``pairs`` has ``pair_id, batch, round, nickname, glob, file_a, file_b, team``, and perhaps ``type`` and ``delim`` (else " | ").  The
+    date comes from A's name, else B's, else from the trailer's DataStartDate.
     """
     rows = results.where("section = 'data' and status <> 'equal'")
     rows = rows.select("pair_id", "seq", "key", "status", "a_cols", "b_cols", F.explode(F.when(F.col("status") == "diff", F.col("diff_cols")).otherwise(F.array(F.lit(-1)))).alias("i"))
+    said = results.where("section = 'trailer' and key = 'DataStartDate'")
+    said = said.groupBy("pair_id").agg(F.max(F.coalesce(*[F.nullif(F.regexp_extract(F.trim(F.replace(F.get(c, F.lit(0)), F.lit('"'), F.lit(""))), TRAILER_DATE, 1), F.lit("")) for c in ("a_cols", "b_cols")])).alias("trailer_date"))
+    given = lambda c, other: F.col(c) if c in pairs.columns else F.lit(other)
+    about = pairs.join(said, "pair_id", "left").select(
+        "pair_id", "batch", "round", "nickname", "team", F.coalesce(file_date(F.col("file_a")), file_date(F.col("file_b")), "trailer_date", F.lit("")).alias("date"),
+        wildcard(F.col("glob")).alias("wildcard"), extension(F.col("file_a"), F.col("glob")).alias("extension"), given("type", "").alias("type"), given("delim", " | ").alias("delim"),
+    )
     value = lambda x: F.coalesce(F.get(x, F.col("i")), F.lit(""))
-    text = F.when(F.col("i") >= 0, F.concat(F.lit("A:'"), value("a_cols"), F.lit("' B:'"), value("b_cols"), F.lit("'"))).when(F.col("status") == "unmatched_a", F.concat(F.lit("A:'"), display_key(F.col("key")), F.lit("' B:''"))).otherwise(F.concat(F.lit("A:'' B:'"), display_key(F.col("key")), F.lit("'")))
+    line = lambda x: F.concat(F.lit(f"{x.upper()}:'"), F.coalesce(F.expr(f"array_join({x}_cols, delim)"), F.lit("")), F.lit("'"))
+    text = F.when(F.col("i") >= 0, F.concat(F.lit("A:'"), value("a_cols"), F.lit("' B:'"), value("b_cols"), F.lit("'"))).when(F.col("status") == "unmatched_a", line("a")).otherwise(line("b"))
     kind = F.when(F.col("status") == "diff", "栏位不一致").when(F.col("status") == "unmatched_a", "仅A存在").otherwise("仅B存在")
-    rows = rows.select("pair_id", "seq", display_key(F.col("key")).alias("key"), kind.alias("kind"), (F.col("i") + 1).alias("column_no"), text.alias("content"))
-    about = pairs.select(
-        "pair_id", "batch", "round", "nickname", "team", F.coalesce(file_date(F.col("file_a")), file_date(F.col("file_b")), F.lit("")).alias("date"),
-        wildcard(F.col("glob")).alias("wildcard"), F.regexp_extract("file_a", r"\.([^.]*)$", 1).alias("extension"),
-    )
-    return rows.join(about, "pair_id")
+    found = rows.join(about, "pair_id").select("*", display_key(F.col("key")).alias("shown"), kind.alias("kind"), (F.col("i") + 1).alias("column_no"), text.alias("content"))
+    return found.select("pair_id", "seq", F.col("shown").alias("key"), "kind", "column_no", "content", "batch", "round", "nickname", "team", "date", "wildcard", "extension", "type")
+
+
+def case_table(cases: DataFrame) -> DataFrame:
+    """Cases under the 20 headers of the collection table; what analysts fill in is empty."""
+    filled = dict(zip(CASE_COLUMNS, ("date", "batch", "round", "wildcard", "type", "nickname", "extension", "column_no", "content"), strict=False)) | {"分析团队": "team"}
+    return cases.select(*[(F.coalesce(F.col(filled[c]).cast("string"), F.lit("")) if c in filled else F.lit("")).alias(c) for c in CASE_COLUMNS])
 
 
 def export_parts(rows: DataFrame, *order: str, size: int = PART) -> DataFrame:

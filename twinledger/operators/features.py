@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,14 +71,21 @@ def diff_features(results: DataFrame, sample_cap: int = 30, top: int = 8) -> Dat
 
 
 def numeric_delta_mode(results: DataFrame, sample_cap: int = 30) -> DataFrame:
-    """``pair_id, col, delta, n``: the difference B - A of more than half of a column's sampled pairs of numbers, of two at least."""
-    number = lambda c: F.trim(c).try_cast("decimal(38,10)")
-    rows = samples(results, sample_cap).where(F.col("a").rlike(_NUMBER) & F.col("b").rlike(_NUMBER)).withColumn("d", number("b") - number("a")).where("d is not null")
+    """``pair_id, col, delta, n``: the difference B - A of more than half of a column's sampled pairs of numbers, of two at least.
+
+    Differences are told apart as plain text with as many decimals as the longer of both has (18 at most), so 1 and 1.00 are two.
+    """
+    number = lambda c: F.trim(c).try_cast("decimal(38,18)")
+    decimals = lambda c: F.length(F.regexp_extract(F.trim(c), r"\.([0-9]*)$", 1))
+    rows = samples(results, sample_cap).where(F.col("a").rlike(_NUMBER) & F.col("b").rlike(_NUMBER)).withColumn("x", number("b") - number("a")).where("x is not null")
+    scale = F.least(F.greatest(decimals("a"), decimals("b")), F.lit(18))
+    plain = F.col("x").cast("decimal(38,18)").cast("string")
+    plain = F.substring(plain, F.lit(1), F.length(plain) - 18 + scale - F.when(scale == 0, 1).otherwise(0))
+    rows = rows.withColumn("d", F.concat(F.when(F.col("x") >= 0, "+").otherwise(""), plain))
     n = rows.groupBy("pair_id", "col", "d").agg(F.count("*").alias("n"), F.min("n").alias("first"))
     best = n.groupBy("pair_id", "col").agg(F.sum("n").alias("all"), F.max_by(F.struct("d", "n"), F.struct("n", -F.col("first"))).alias("m"))
     best = best.where((F.col("all") >= 2) & (F.col("m.n") * 2 > F.col("all")))
-    plain = F.regexp_replace(F.regexp_replace(F.col("m.d").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return best.select("pair_id", "col", F.concat(F.when(F.col("m.d") >= 0, "+").otherwise(""), plain).alias("delta"), F.col("m.n").alias("n"))
+    return best.select("pair_id", "col", F.col("m.d").alias("delta"), F.col("m.n").alias("n"))
 
 
 def diff_column_overview(freq: DataFrame, summary: DataFrame) -> DataFrame:
@@ -91,52 +99,56 @@ SPANS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *[T.Stru
 
 
 def _opcodes(a: str, b: str, most: int = 40_000) -> list[dict]:
-    """Equal, replaced, deleted and inserted spans of two texts by their longest common subsequence; if the part
-    between common beginning and end is too large for that, it is one replaced span."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    pairs = [(i, i) for i in range(lo)]
-    if len(a) * len(b) <= most and x and y:
-        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                t[i][j] = t[i + 1][j + 1] + 1 if x[i] == y[j] else max(t[i + 1][j], t[i][j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                pairs.append((lo + i, lo + j))
-                i, j = i + 1, j + 1
-            elif t[i + 1][j] >= t[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    pairs += [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
-    out, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a), len(b))]:
-        if i < p or j < q:
-            out.append({"tag": "replace" if i < p and j < q else "delete" if i < p else "insert", "i1": i, "i2": p, "j1": j, "j2": q})
-        if p < len(a) or q < len(b):
-            if out and out[-1]["tag"] == "equal" and out[-1]["i2"] == p and out[-1]["j2"] == q:
-                out[-1].update(i2=p + 1, j2=q + 1)
-            else:
-                out.append({"tag": "equal", "i1": p, "i2": p + 1, "j1": q, "j2": q + 1})
-        i, j = p + 1, q + 1
-    return out
-
-
-def cell_diff_spans(results: DataFrame) -> DataFrame:
-    """``pair_id, col, a, b, n, spans``: how each different pair of cell values differs, and how often it occurs."""
+    """Equal, deleted and inserted spans of two texts in order, by a longest common subsequence.
+
+    Where both a deletion and an insertion keep the longest, the deletion comes first.  If the product of the lengths is
+    above ``most``, only what both have in common at their beginning and end is equal, and the rest deleted and inserted.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    n, m = len(x), len(y)
+    if n * m > most:
+        k = min(n, m)
+        differ = np.flatnonzero(x[:k] != y[:k])
+        lo = int(differ[0]) if len(differ) else k
+        k -= lo
+        differ = np.flatnonzero(x[n - k :][::-1] != y[m - k :][::-1])
+        hi = int(differ[0]) if len(differ) else k
+        tags = [("equal", lo), ("delete", n - lo - hi), ("insert", m - lo - hi), ("equal", hi)]
+    else:
+        # left[i, j]: length of the longest common subsequence of x[i:] and y[j:]
+        left = np.zeros((n + 1, m + 1), np.int32)
+        for i in range(n - 1, -1, -1):
+            row = np.where(x[i] == y, left[i + 1, 1:] + 1, left[i + 1, :-1])
+            left[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+        tags, i, j = [], 0, 0
+        while i < n and j < m:
+            tag = "equal" if x[i] == y[j] else "delete" if left[i + 1, j] >= left[i, j + 1] else "insert"
+            tags.append((tag, 1))
+            i, j = i + (tag != "insert"), j + (tag != "delete")
+        tags += [("delete", n - i), ("insert", m - j)]
+    out: list[dict] = []
+    i = j = 0
+    for tag, size in tags:
+        if not size:
+            continue
+        if not out or out[-1]["tag"] != tag:
+            out.append({"tag": tag, "i1": i, "i2": i, "j1": j, "j2": j})
+        i, j = i + size * (tag != "insert"), j + size * (tag != "delete")
+        out[-1].update(i2=i, j2=j)
+    return out or [{"tag": "equal", "i1": 0, "i2": 0, "j1": 0, "j2": 0}]
+
+
+def cell_diff_spans(results: DataFrame, most: int = 40_000) -> DataFrame:
+    """``pair_id, col, a, b, n, spans``: how each different pair of cell values differs, and how often it occurs.
+
+    Places count code points.  Pairs whose lengths multiply to more than ``most`` are compared at both ends only.
+    """
     pairs = diff_cells(results).groupBy("pair_id", "col", "a", "b").agg(F.count("*").alias("n"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("tag", pa.string()), *[(n, pa.int32()) for n in ("i1", "i2", "j1", "j2")]]))
         for batch in batches:
-            spans = [_opcodes(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            spans = [_opcodes(a, b, most) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
 
     return pairs.mapInArrow(work, T.StructType([*pairs.schema.fields, T.StructField("spans", SPANS)]))

@@ -43,14 +43,14 @@ def monitor_verdict(fields: DataFrame, values_a: DataFrame, values_b: DataFrame)
     """``fields`` (``pair_id, col, field_type``) with both sides' values, ``matched`` and its text.
 
     Types 1, 4 and 0 want B's values among A's, type 2 the same values, type 3 is not monitored.  A side without
-    data leaves it open.
+    data has no values; a pair that failed leaves it open (``monitor_coverage``).
     """
     side = lambda v, x: v.select("pair_id", "col", F.col("values").alias(f"values_{x}"), F.col("truncated").alias(f"truncated_{x}"))
     out = fields.join(side(values_a, "a"), ["pair_id", "col"], "left").join(side(values_b, "b"), ["pair_id", "col"], "left")
-    inside = F.size(F.array_except("values_b", "values_a")) == 0
-    same = inside & (F.size(F.array_except("values_a", "values_b")) == 0)
-    there = F.col("values_a").isNotNull() & F.col("values_b").isNotNull()
-    matched = F.when((F.col("field_type") != 3) & there, F.when(F.col("field_type") == 2, same).otherwise(inside))
+    a, b = (F.coalesce(x, F.array().cast("array<string>")) for x in ("values_a", "values_b"))
+    inside = F.size(F.array_except(b, a)) == 0
+    same = inside & (F.size(F.array_except(a, b)) == 0)
+    matched = F.when(F.col("field_type") != 3, F.when(F.col("field_type") == 2, same).otherwise(inside))
     out = out.withColumn("matched", matched)
     text = (
         F.when(F.col("field_type") == 3, "不监控").when(F.col("matched").isNull(), "—")

@@ -25,6 +25,8 @@ COLUMN_NAME = r"^\s*[A-Za-z][^\s0-9|]*(\s[^|]*)?$"
 RULE_LINE = r"^\s*[-=+_][-=+_ ]{4,}[-=+_]\s*$"
 MAIN_LINE = r"^\s*[^\s0-9]*[0-9]"
 MASKED = r"^\s*\*+(\s|$)"
+COUNT_LABEL = r"(?is)(?:TOTAL[-_]?COUNT|COUNT)\s*[:=]?.{0,79}?([0-9][0-9,]*)"
+QUANTITY_LABEL = r"(?i)(?:PG[ _-]?QTY|QUANTITY|QTY)\s*[:=]?[^\n]*?([0-9][0-9,]*)"
 
 
 def split_report_fields(raw: Column) -> Column:
@@ -39,6 +41,21 @@ def is_main_line(line: Column) -> Column:
     return F.when(line.rlike(MASKED), ~line.rlike("[A-Za-z]{3}")).otherwise(line.rlike(MAIN_LINE))
 
 
+def report_format(pairs: DataFrame, templates: DataFrame, lines_a: DataFrame, lines_b: DataFrame) -> DataFrame:
+    """``pair_id, format, error``: how the reports of each pair are to be cut.
+
+    ``zoned`` if the pair's template has five blank lines or more in a row with skeleton behind them, else ``control`` if a line of
+    either side is a control line, else ``template`` if there is one; without, the format is null and ``error`` says so.
+    ``pairs`` has ``pair_id``, the others ``pair_id, seq, value``.  Only templates, which are a page or two, are put together.
+    """
+    skeleton = templates.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: F.when(is_blank(x["value"]), "").otherwise("x")), "\n").alias("t"))
+    marks = lines_a.select("pair_id", "value").unionByName(lines_b.select("pair_id", "value")).groupBy("pair_id").agg(F.max(F.col("value").rlike(CONTROL)).alias("marked"))
+    both = pairs.select("pair_id").distinct().join(skeleton, "pair_id", "left").join(marks, "pair_id", "left")
+    # five blank lines are five line feeds at the beginning, six behind a line
+    kind = F.when(F.col("t").rlike("(^\n{5}|\n{6})\n*x"), "zoned").when(F.col("marked"), "control").when(F.col("t").isNotNull(), "template")
+    return both.select("pair_id", kind.alias("format"), F.when(kind.isNull(), "no template").alias("error"))
+
+
 def filled_like_regex(template: str) -> str:
     """A pattern for lines that have the template's words in order among theirs; words of three characters or more may go on."""
     words = template.split()
@@ -328,8 +345,8 @@ def count_checks(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     A count label has its number within 80 characters, on the next line perhaps; else a quantity label on its own line.
     """
     text = F.array_join("lines", "\n")
-    count = F.regexp_extract(text, r"(?is)(?:TOTAL[-_]?COUNT|COUNT)\s*[:=]?.{0,79}?([0-9][0-9,]*)", 1)
-    quantity = F.regexp_extract(text, r"(?i)(?:PG[ _-]?QTY|QUANTITY|QTY)\s*[:=]?[^\n]*?([0-9][0-9,]*)", 1)
+    count = F.regexp_extract(text, COUNT_LABEL, 1)
+    quantity = F.regexp_extract(text, QUANTITY_LABEL, 1)
     said = blocks.where("kind = 'footer'").select("pair_id", "section", F.replace(F.coalesce(F.nullif(count, F.lit("")), F.nullif(quantity, F.lit(""))), F.lit(","), F.lit("")).alias("declared")).where("declared is not null")
     n = rows.groupBy("pair_id", "section").agg(F.count("*").alias("n"))
     out = said.join(n, ["pair_id", "section"], "left").select("pair_id", "section", "declared", F.coalesce("n", F.lit(0)).cast("long").alias("counted"))

@@ -19,7 +19,11 @@ def _numbers(text: Column, sep: str) -> Column:
     return F.array_distinct(F.transform(n, lambda x: F.when(x >= 1, x - 1)))
 
 
-def rules_from_lines(lines: DataFrame, delim: str = " | ", trailer: str = "|||||") -> DataFrame:
+# The delimiter and the trailer's mark of a rule that names none.
+DELIM, TRAILER = " | ", "|||||"
+
+
+def rules_from_lines(lines: DataFrame, delim: str = DELIM, trailer: str = TRAILER) -> DataFrame:
     """Rules of text lines ``value``; other columns pass through.
 
     A line is ``NICK:GLOB`` and tokens ``:NAME=value``; a colon begins a token only before a known name.  Blank lines and

@@ -115,9 +115,9 @@ def segment_summary(results: DataFrame, segments_a: DataFrame, segments_b: DataF
 
 
 def export_segment_diff(results: DataFrame) -> DataFrame:
-    """``pair_id, status, key, line_no, a, b``: differing lines of segments, all lines of those on one side; lines count from 1."""
-    rows = results.where("status <> 'equal'")
-    all_lines = F.sequence(F.lit(0), F.greatest(F.coalesce(F.size("a_cols"), F.lit(0)), F.coalesce(F.size("b_cols"), F.lit(0))) - 1)
-    rows = rows.withColumn("i", F.explode(F.when(F.col("status") == "diff", F.col("diff_cols")).otherwise(all_lines)))
-    value = lambda x: F.coalesce(F.get(x, F.col("i")), F.lit(""))
+    """``pair_id, status, key, line_no, a, b``: a row for each differing line, numbered from 1; a segment of one side is one row
+    without a number, its lines joined by line feeds."""
+    rows = results.where("section = 'segment' and status <> 'equal'")
+    rows = rows.withColumn("i", F.explode(F.when(F.col("status") == "diff", F.col("diff_cols")).otherwise(F.array(F.lit(None).cast("int")))))
+    value = lambda x: F.coalesce(F.when(F.col("i").isNull(), F.array_join(x, "\n")).otherwise(F.get(x, F.col("i"))), F.lit(""))
     return rows.select("pair_id", "status", "key", (F.col("i") + 1).alias("line_no"), value("a_cols").alias("a"), value("b_cols").alias("b"))

@@ -95,12 +95,12 @@ def volume_grade(a: Column, b: Column) -> Column:
 
 
 def deviation_report(summary: DataFrame) -> DataFrame:
-    """Deviations of each pair, the largest first, pairs without any last."""
+    """Deviations of each pair, the largest first, pairs without any last; numbers of records are totals with trailers."""
     content = content_deviation(F.col("diff"), F.col("equal"))
-    count = count_deviation(F.col("data_rows_a"), F.col("data_rows_b"))
+    count = count_deviation(F.col("total_a"), F.col("total_b"))
     out = summary.select(
         "pair_id", "equal", "diff", F.round(content, 4).alias("content_deviation"), F.round(count, 4).alias("count_deviation"), grade(content).alias("content_grade"), grade(count).alias("count_grade"),
-        volume_grade(F.col("data_rows_a"), F.col("data_rows_b")).alias("volume_grade"),
+        volume_grade(F.col("total_a"), F.col("total_b")).alias("volume_grade"),
     )
     worst = F.when(F.col("content_deviation").isNotNull(), F.greatest("content_deviation", "count_deviation"))
     return out.orderBy(worst.desc_nulls_last(), F.desc("diff"), "pair_id")
@@ -126,5 +126,5 @@ def batch_detail(summary: DataFrame, freq: DataFrame) -> DataFrame:
     """Counts and grade of each pair, with its differing columns (from 1) as a list."""
     cols = freq.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("col")), lambda c: (c + 1).cast("string")), ",").alias("columns"))
     return summary.join(cols, "pair_id", "left").select(
-        "pair_id", "equal", "diff", "only_a", "only_b", "total_a", "total_b", volume_grade(F.col("data_rows_a"), F.col("data_rows_b")).alias("volume_grade"), F.coalesce("columns", F.lit("")).alias("columns")
+        "pair_id", "equal", "diff", "only_a", "only_b", "total_a", "total_b", volume_grade(F.col("total_a"), F.col("total_b")).alias("volume_grade"), F.coalesce("columns", F.lit("")).alias("columns")
     )

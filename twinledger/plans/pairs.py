@@ -6,13 +6,23 @@ has other prices (83), empty states (79) and other priorities (89), copies under
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.settle import settle
+
 NEW_KEY = 10_000_000
 NAMES = ["ORDERKEY", "CUSTKEY", "STATUS", "TOTALPRICE", "ORDERDATE", "PRIORITY"]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files beside the checkpoints, which all executors share."""
+    settle(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4()}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..operators import compare, summary
 from ..sources import scan
+from ..sources.settle import settle
 from .pairs import PAIR, RESULTS, lines_of, order_pair, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,8 +38,9 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned(spark: SparkSession, sf_dir: str):
+    """Both files: their lines are made and written once."""
     a, b = order_pair(spark, sf_dir)
-    return scan.scan_delimited(lines_of(a, "AAA")), scan.scan_delimited(lines_of(b, "BBB"))
+    return scan.scan_delimited(settle(lines_of(a, "AAA"))), scan.scan_delimited(settle(lines_of(b, "BBB")))
 
 
 @query(f"""WITH {RESULTS} SELECT 'orders' AS pair_id,
@@ -103,9 +105,11 @@ def scan_delimited(spark, sf_dir):
     return da.select("seq", joined("cols", "~").alias("cols"), F.size("cols").cast("long").alias("width"))
 
 
-@query("SELECT 6 AS width, count(*) AS n FROM orders")
+@query(f"WITH {PAIR} SELECT CAST(len(c) - seq % 3 AS INTEGER) AS width, count(*) AS n FROM a GROUP BY 1")
 def column_count_dist(spark, sf_dir):
-    return scan.column_count_dist(order_pair(spark, sf_dir)[0].where("seq % 4 = 0")).drop("pair_id")
+    """All records of A, some cut short."""
+    a = order_pair(spark, sf_dir)[0]
+    return scan.column_count_dist(a.withColumn("cols", F.slice("cols", F.lit(1), (F.size("cols") - F.col("seq") % 3).cast("int")))).drop("pair_id")
 
 
 @query(f"WITH {RESULTS} SELECT CAST(col AS INTEGER) AS col, count(*) AS n FROM (SELECT unnest(diff) AS col FROM res) GROUP BY 1")
@@ -177,21 +181,22 @@ def expand_dynamic(spark, sf_dir):
 
 # ---- grades: two halves of each customer's year of orders as counts of a pair ----
 
-COUNTS = "s AS (SELECT CAST(o_custkey AS VARCHAR) AS pair_id, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS diff, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS equal, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS na, count(*) FILTER (WHERE o_orderkey % 2 <> 0) AS nb FROM orders GROUP BY 1)"
+COUNTS = "s AS (SELECT CAST(o_custkey AS VARCHAR) AS pair_id, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS diff, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS equal, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS na, count(*) FILTER (WHERE o_orderkey % 2 <> 0) AS nb, na + 4 AS ta, nb + 2 AS tb FROM orders GROUP BY 1)"
 
 
 def counts(spark, sf_dir):
     when = lambda c, n: F.count_if(c).alias(n)
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("pair_id")).agg(
+    out = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("pair_id")).agg(
         when(k % 3 == 0, "diff"), when(k % 3 != 0, "equal"), when(k % 2 == 0, "data_rows_a"), when(k % 2 != 0, "data_rows_b"), F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"))
+    return out.withColumns({"total_a": F.col("data_rows_a") + 4, "total_b": F.col("data_rows_b") + 2})
 
 
 GRADE = "CASE WHEN {0} >= 0.5 THEN '严重问题' WHEN {0} >= 0.2 THEN '务必关注' WHEN {0} >= 0.1 THEN '微量偏移' ELSE '正常' END"
-VOLUME = "CASE WHEN 2000 * abs(na - nb) // (na + nb) >= 500 THEN '严重问题' WHEN 2000 * abs(na - nb) // (na + nb) >= 200 THEN '差异明显' WHEN 2000 * abs(na - nb) // (na + nb) >= 100 THEN '保持关注' ELSE '正常' END"
+VOLUME = "CASE WHEN 2000 * abs(ta - tb) // (ta + tb) >= 500 THEN '严重问题' WHEN 2000 * abs(ta - tb) // (ta + tb) >= 200 THEN '差异明显' WHEN 2000 * abs(ta - tb) // (ta + tb) >= 100 THEN '保持关注' ELSE '正常' END"
 
 
-@query(f"""WITH {COUNTS}, r AS (SELECT *, diff::DOUBLE / (diff + equal) AS c, abs(nb - na)::DOUBLE / greatest(1, na) AS n FROM s)
+@query(f"""WITH {COUNTS}, r AS (SELECT *, diff::DOUBLE / (diff + equal) AS c, abs(tb - ta)::DOUBLE / greatest(1, ta) AS n FROM s)
   SELECT pair_id, equal, diff, round(c, 4) AS content_deviation, round(n, 4) AS count_deviation, {GRADE.format('c')} AS content_grade, {GRADE.format('n')} AS count_grade, {VOLUME} AS volume_grade FROM r""")
 def deviation_report(spark, sf_dir):
     return summary.deviation_report(counts(spark, sf_dir))
@@ -207,9 +212,9 @@ def batch_overview(spark, sf_dir):
     return summary.batch_overview(pairs, s)
 
 
-@query(f"""WITH {RESULTS}, na AS (SELECT count(*) AS na FROM a), nb AS (SELECT count(*) AS nb FROM b) SELECT 'orders' AS pair_id,
+@query(f"""WITH {RESULTS}, na AS (SELECT count(*) + 4 AS ta FROM a), nb AS (SELECT count(*) + 4 AS tb FROM b) SELECT 'orders' AS pair_id,
   (SELECT count(*) FROM res WHERE status = 'equal') AS equal, (SELECT count(*) FROM res WHERE status = 'diff') AS diff, (SELECT count(*) FROM res WHERE status = 'unmatched_a') AS only_a,
-  (SELECT count(*) FROM res WHERE status = 'unmatched_b') AS only_b, na + 4 AS total_a, nb + 4 AS total_b, {VOLUME} AS volume_grade, '3,4,6' AS columns FROM na, nb""")
+  (SELECT count(*) FROM res WHERE status = 'unmatched_b') AS only_b, ta AS total_a, tb AS total_b, {VOLUME} AS volume_grade, '3,4,6' AS columns FROM na, nb""")
 def batch_detail(spark, sf_dir):
     (da, _, sa), (db, _, sb) = scanned(spark, sf_dir)
     r = compare.keyed_compare(da, db, [0])

@@ -17,7 +17,7 @@ STEP = 100_000
 
 
 def chat_lines(spark, sf_dir, changed: bool):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max(F.concat(F.col("role"), F.lit(" "), F.length("text").cast("string"))).alias("value"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max(F.concat(F.col("role"), F.lit(" "), F.regexp_replace("text", "[\\r\\n]+", " "))).alias("value"))
     if changed:
         c = c.where("conv_id % 11 <> 0").withColumn("value", F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") % 3 == 0), F.concat("value", F.lit("!"))).otherwise(F.col("value")))
     pair = F.concat(F.lit("c"), (F.col("conv_id") % 8).cast("string")).alias("pair_id")
@@ -31,7 +31,7 @@ def chats(spark, sf_dir):
     return tuple(segments.scan_segments(chat_lines(spark, sf_dir, x), "^##", None, r"^##([0-9]+)") for x in (False, True))
 
 
-CHATS = """t AS (SELECT conv_id, turn, max(role || ' ' || length(text)) AS value FROM conversations GROUP BY 1, 2),
+CHATS = """t AS (SELECT conv_id, turn, max(role || ' ' || regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS value FROM conversations GROUP BY 1, 2),
 u AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 AND turn % 3 = 0 THEN value || '!' ELSE value END AS value FROM t WHERE conv_id % 11 <> 0),
 sa AS (SELECT conv_id, ['##' || conv_id] || list(value ORDER BY turn) AS l FROM t GROUP BY 1), sb AS (SELECT conv_id, ['##' || conv_id] || list(value ORDER BY turn) AS l FROM u GROUP BY 1)"""
 
@@ -74,8 +74,8 @@ def segment_summary(spark, sf_dir):
     return segments.segment_summary(segments.segment_compare(a, b), a, b, la, lb).select("pair_id", "segments_a", "segments_b", "equal", "diff", "only_a", "head_a", "head_b")
 
 
-@query(f"""WITH {CHATS}, d AS (SELECT CAST(conv_id AS VARCHAR) AS key, sa.l AS a, sb.l AS b, unnest(CASE WHEN sb.l IS NULL THEN range(0, len(sa.l)) ELSE list_filter(range(0, len(sa.l)), lambda i: sa.l[i + 1] <> sb.l[i + 1]) END) AS i FROM sa LEFT JOIN sb USING (conv_id))
-  SELECT key, CAST(i + 1 AS INTEGER) AS line_no, a[i + 1] AS a, coalesce(b[i + 1], '') AS b FROM d""")
+@query(f"""WITH {CHATS}, d AS (SELECT CAST(conv_id AS VARCHAR) AS key, sa.l AS a, sb.l AS b, unnest(CASE WHEN sb.l IS NULL THEN [NULL] ELSE list_filter(range(0, len(sa.l)), lambda i: sa.l[i + 1] <> sb.l[i + 1]) END) AS i FROM sa LEFT JOIN sb USING (conv_id))
+  SELECT key, CAST(i + 1 AS INTEGER) AS line_no, CASE WHEN i IS NULL THEN array_to_string(a, chr(10)) ELSE a[i + 1] END AS a, coalesce(b[i + 1], '') AS b FROM d""")
 def export_segment_diff(spark, sf_dir):
     (a, _), (b, _) = chats(spark, sf_dir)
     return segments.export_segment_diff(segments.segment_compare(a, b)).select("key", "line_no", "a", "b")
@@ -151,13 +151,20 @@ def report_match_whole_row(spark, sf_dir):
 
 
 def similar_names(spark, sf_dir):
-    """Suppliers against their copies with one letter changed: their numbers are the values they share."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 5")
-    side = lambda name: s.select(F.lit("s").alias("pair_id"), F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"), F.array(F.col("s_suppkey").cast("string"), name).alias("fields")).withColumn("raw", F.array_join("fields", "|"))
-    return side(F.col("s_name")), side(F.concat(F.col("s_name"), F.lit("~"))).where("id % 6 <> 4")
+    """All suppliers against B's: names are a letter longer, a sixth are others under other numbers.
 
+    Numbers and names are hashed, so that different suppliers aren't similar; all of a nation share its name, so they
+    are candidates of each other."""
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    number, name = F.col("s_suppkey").cast("string"), F.col("s_name")
+    side = lambda number, name: s.select(F.lit("s").alias("pair_id"), F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"), F.array(F.md5(number.cast("binary")), name, "n_name").alias("fields")).withColumn("raw", F.array_join("fields", "|"))
+    hashed = lambda c: F.md5(c.cast("binary"))
+    other = F.col("s_suppkey") % 6 == 4
+    return side(number, hashed(name)), side(F.when(other, F.concat(F.lit("x"), number)).otherwise(number), F.when(other, hashed(F.concat(F.lit("y"), name))).otherwise(F.concat(hashed(name), F.lit("~"))))
 
-@query("SELECT s_suppkey || '|' || s_name AS key, CASE WHEN s_suppkey % 6 = 4 THEN 'unmatched_a' ELSE 'diff' END AS status, CASE WHEN s_suppkey % 6 = 4 THEN '' ELSE '1' END AS diff FROM supplier WHERE s_suppkey % 6 <> 5")
+
+@query("""WITH s AS (SELECT s_suppkey AS k, md5(CAST(s_suppkey AS VARCHAR)) || '|' || md5(s_name) || '|' || n_name AS a, md5('x' || s_suppkey) || '|' || md5('y' || s_name) || '|' || n_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+  SELECT a AS key, CASE WHEN k % 6 = 4 THEN 'unmatched_a' ELSE 'diff' END AS status, CASE WHEN k % 6 = 4 THEN '' ELSE '1' END AS diff FROM s UNION ALL SELECT b, 'unmatched_b', '' FROM s WHERE k % 6 = 4""")
 def partial_match(spark, sf_dir):
     return partial.partial_match(*similar_names(spark, sf_dir)).select("key", "status", joined("diff_cols", ",").alias("diff"))
 
@@ -179,20 +186,21 @@ def export_report_diff(spark, sf_dir):
     return reports.export_report_diff(r).select("key", "no", "name", "a", "b")
 
 
-def control_lines(spark, sf_dir):
-    """A section for each nation with records of two lines."""
+def control_lines(spark, sf_dir, changed: bool = False):
+    """A section for each nation with records of two lines; the changed side has other products and totals for some."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     c = table(spark, sf_dir, "customer")
     at = lambda place: (n.cast("long") * GAP + place).alias("seq")
     line = lambda p, v: F.struct(F.lit(p).cast("long").alias("p"), v.alias("value"))
-    head = [F.concat((n + 1).cast("string"), F.lit("@OD@|PRODUCT:P"), n.cast("string"), F.lit("|")), F.lit("  LIST"), F.concat(F.lit("BRCH : "), n.cast("string")), F.lit(""), F.lit("ACCOUNT  NAME"), F.lit("SEGMENT"), F.lit("---------------")]
+    product = F.when(F.lit(changed) & (n % 5 == 0), "Q").otherwise("P")
+    head = [F.concat((n + 1).cast("string"), F.lit("@OD@|PRODUCT:"), product, n.cast("string"), F.lit("|")), F.lit("  LIST"), F.concat(F.lit("BRCH : "), n.cast("string")), F.lit(""), F.lit("ACCOUNT  NAME"), F.lit("SEGMENT"), F.lit("---------------")]
     heads = c.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(*[line(i, v) for i, v in enumerate(head)])).alias("x"))
     from pyspark.sql import Window
 
     # a section's records stand close together, so they are numbered within their nation
     nth = (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).cast("long")
     rows = c.withColumn("i", nth).select("c_nationkey", F.explode(F.array(F.struct((F.col("i") * 2 + 7).alias("p"), F.concat(k.cast("string"), F.lit("  "), "c_name").alias("value")), F.struct((F.col("i") * 2 + 8).alias("p"), F.concat(F.lit("    "), "c_mktsegment").alias("value")))).alias("x"))
-    end = c.groupBy("c_nationkey").agg(F.count("*").alias("m")).select("c_nationkey", F.struct((F.col("m") * 2 + 7).alias("p"), F.concat(F.lit("Total QTY: "), F.col("m").cast("string")).alias("value")).alias("x"))
+    end = c.groupBy("c_nationkey").agg(F.count("*").alias("m")).select("c_nationkey", F.struct((F.col("m") * 2 + 7).alias("p"), F.concat(F.lit("Total QTY: "), (F.col("m") + F.when(F.lit(changed) & (n % 4 == 1), 1).otherwise(0)).cast("string")).alias("value")).alias("x"))
     return heads.unionByName(rows).unionByName(end).select(F.lit("r").alias("pair_id"), at(F.col("x.p")), "x.value")
 
 
@@ -201,10 +209,34 @@ def scan_report_control(spark, sf_dir):
     return reports.scan_report_control(control_lines(spark, sf_dir))[0].select("section", joined("fields").alias("fields"), F.size("display").alias("fold"))
 
 
-@query(f"""WITH {REPORTS} SELECT 'P' || n || '·' || (section + 1) AS key, kind, 'equal' AS status FROM na, (VALUES ('header'), ('footer')) t(kind)""")
+@query(f"""WITH {REPORTS}, k AS (SELECT *, unnest(['header', 'footer']) AS kind FROM na)
+  SELECT 'P' || n || '·' || (section + 1) AS key, kind, CASE WHEN n % 5 = 0 THEN 'unmatched_a' WHEN kind = 'footer' AND n % 4 = 1 THEN 'diff' ELSE 'equal' END AS status FROM k
+  UNION ALL SELECT 'Q' || n || '·' || (section + 1) || 'B', kind, 'unmatched_b' FROM k WHERE n % 5 = 0""")
 def block_compare_signature(spark, sf_dir):
-    _, blocks, _ = reports.scan_report_control(control_lines(spark, sf_dir))
-    return reports.block_compare_signature(blocks, blocks).select("key", F.col("section").alias("kind"), "status")
+    a, b = (reports.scan_report_control(control_lines(spark, sf_dir, x))[1] for x in (False, True))
+    return reports.block_compare_signature(a, b).select("key", F.col("section").alias("kind"), "status")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS pair_id, CASE c_custkey % 5 WHEN 0 THEN 'zoned' WHEN 1 THEN 'control' WHEN 2 THEN 'control' WHEN 3 THEN 'template' END AS format, CASE WHEN c_custkey % 5 = 4 THEN 'no template' END AS error FROM customer")
+def report_format(spark, sf_dir):
+    """A pair for each customer, with templates, control lines or neither."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", k.cast("string").alias("pair_id"))
+    lines = lambda on, values: c.where(on).select("pair_id", F.posexplode(values).alias("seq", "value"))
+    text = lambda *x: F.array(*[F.lit(v) for v in x])
+    templates = lines((k % 5).isin(0, 1, 3), F.when(k % 5 == 0, text("HEAD", "", " ", "", "", "", "FOOT")).otherwise(text("HEAD", "", "", "", "", "FOOT", "", "", "", "", "")))
+    marked = text(" 12@OD@|RPT-ID:X|", "row")
+    a, b = lines(k % 5 != 2, F.when(k % 5 < 2, marked).otherwise(text("row"))), lines(k % 5 == 2, marked)
+    return reports.report_format(c, templates, a, b)
+
+
+@query(f"""WITH {REPORTS}, d AS (SELECT k, ca.name AS an, cb.name AS bn, ca.seg AS sa, cb.seg AS sb FROM ca JOIN cb USING (k)),
+  x AS (SELECT CAST(k AS VARCHAR) AS key, 2 AS no, an AS a, bn AS b FROM d WHERE an <> bn UNION ALL SELECT CAST(k AS VARCHAR), 3, sa, sb FROM d WHERE sa <> sb)
+  SELECT * FROM x ORDER BY key, no LIMIT 5000""")
+def report_batch_detail(spark, sf_dir):
+    """The first 5,000 lines are the feature: a sheet for reading."""
+    r, _, _ = reports.report_match_keyed(report(spark, sf_dir, False)[0], report(spark, sf_dir, True)[0], [0])
+    return reports.report_batch_detail(r.groupBy("pair_id").count(), r)[1].select("key", "no", "a", "b")
 
 
 # ---- charsets: a part's lines as a small file in one of several ----

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import export, features, filters, monitor, pairing, rules, summary
+from ..functions import strings as S
 from ..sources import lookups, scan
-from .pairs import NAMES, PAIR, RESULTS, order_pair, table
+from .pairs import NAMES, PAIR, RESULTS, order_pair, scratch, table
 from .queries import joined, order_results, query
 
 # ---- rules: a line for each supplier ----
@@ -193,9 +194,16 @@ def monitor_verdict(spark, sf_dir):
     return verdicts(spark, sf_dir).select("col", "field_type", "matched", "verdict")
 
 
-@query()
+def _cell(x: str) -> str:
+    shown = f"array_to_string(list_transform({x}v.values[:1000], lambda v: CASE WHEN v = '' THEN '（空）' WHEN regexp_full_match(v, '[0-9]{{16,}}') THEN '=\"' || v || '\"' ELSE v END), '、')"
+    return f"CASE WHEN field_type = 3 THEN '（不监控：无法对比，仅报表展示）' ELSE {shown} || CASE WHEN {x}v.n > 1000 THEN '…（超出 1000 个已截断）' ELSE '' END END AS values_{x}"
+
+
+@query(f"""WITH {PAIR}, {_values('a')}, {_values('b')}, t(col, field_type) AS (VALUES (2, 1), (5, 2), (0, 4), (3, 3), (9, 2)),
+  m AS (SELECT t.col, field_type, {_cell('a')}, {_cell('b')}, len(list_filter(bv.values[:1000], lambda x: NOT list_contains(av.values[:1000], x))) = 0 AS inside, len(list_filter(av.values[:1000], lambda x: NOT list_contains(bv.values[:1000], x))) = 0 AS back FROM t JOIN av USING (col) JOIN bv USING (col))
+  SELECT col, field_type, values_a, values_b, CASE WHEN field_type = 3 THEN '不监控' WHEN field_type = 2 THEN CASE WHEN inside AND back THEN '新旧线一致' ELSE '新旧线不一致' END WHEN inside THEN '新线输出正常' ELSE '新线不为旧线子集' END AS verdict FROM m""")
 def export_monitor(spark, sf_dir):
-    return export.export_monitor(verdicts(spark, sf_dir))
+    return export.export_monitor(verdicts(spark, sf_dir)).drop("pair_id")
 
 
 # ---- features ----
@@ -213,7 +221,7 @@ def diff_features(spark, sf_dir):
 
 
 @query(f"""WITH {CELLS}, d AS (SELECT col, CAST(b AS DECIMAL(18,2)) - CAST(a AS DECIMAL(18,2)) AS d, count(*) AS n, min(n) AS first FROM smp WHERE regexp_full_match(a, '[0-9]+(\\.[0-9]+)?') AND regexp_full_match(b, '[0-9]+(\\.[0-9]+)?') GROUP BY 1, 2)
-  SELECT CAST(col AS INTEGER) AS col, CASE WHEN d = 1 THEN '+1' END AS delta, n FROM d QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, first) = 1 AND n * 2 > sum(n) OVER (PARTITION BY col) AND sum(n) OVER (PARTITION BY col) >= 2""")
+  SELECT CAST(col AS INTEGER) AS col, CASE WHEN d >= 0 THEN '+' ELSE '' END || CAST(d AS VARCHAR) AS delta, n FROM d QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, first) = 1 AND n * 2 > sum(n) OVER (PARTITION BY col) AND sum(n) OVER (PARTITION BY col) >= 2""")
 def numeric_delta_mode(spark, sf_dir):
     return features.numeric_delta_mode(order_results(spark, sf_dir)).drop("pair_id")
 
@@ -233,7 +241,7 @@ def cell_diff_spans(spark, sf_dir):
 
 # ---- exports ----
 
-LABEL = "array_to_string(list_transform(diff, lambda i: '@' || (i + 1) || ' ' || [" + ", ".join(f"'{n}'" for n in NAMES) + "][i + 1]), '; ')"
+LABEL = "array_to_string(list_transform(diff, lambda i: (i + 1) || '-' || [" + ", ".join(f"'{n}'" for n in NAMES) + "][i + 1] || '；'), '')"
 
 
 @query(f"""WITH {RESULTS} SELECT key, CASE status WHEN 'equal' THEN '完全匹配' WHEN 'unmatched_a' THEN '仅old存在' ELSE '仅new存在' END AS status, '' AS diff, 0 AS line, array_to_string(coalesce(ac, bc), '|') AS row FROM res WHERE status <> 'diff'
@@ -258,10 +266,10 @@ def export_diff_fields(spark, sf_dir):
 
 @query(f"""WITH {RESULTS}, x AS (SELECT key, status, ac, bc, unnest(CASE WHEN status = 'diff' THEN diff ELSE [-1] END) AS i FROM res WHERE status <> 'equal')
   SELECT key, CASE status WHEN 'diff' THEN '栏位不一致' WHEN 'unmatched_a' THEN '仅A存在' ELSE '仅B存在' END AS kind, CAST(i + 1 AS INTEGER) AS column_no,
-    CASE WHEN status = 'diff' THEN 'A:''' || ac[i + 1] || ''' B:''' || bc[i + 1] || '''' WHEN status = 'unmatched_a' THEN 'A:''' || key || ''' B:''''' ELSE 'A:'''' B:''' || key || '''' END AS content,
-    '20261017' AS date, '#DATE' AS wildcard, 'txt' AS extension, 'ORD' AS nickname, 'team 1' AS team FROM x""")
+    CASE WHEN status = 'diff' THEN 'A:''' || ac[i + 1] || ''' B:''' || bc[i + 1] || '''' WHEN status = 'unmatched_a' THEN 'A:''' || array_to_string(ac, ' | ') || '''' ELSE 'B:''' || array_to_string(bc, ' | ') || '''' END AS content,
+    '20260231' AS date, '#DATE' AS wildcard, 'txt' AS extension, 'ORD' AS nickname, 'team 1' AS team, 'CTS' AS type FROM x""")
 def export_cases(spark, sf_dir):
-    pairs = spark.createDataFrame([("orders", "b1", 1, "ORD", "orders_#DATE.txt", "orders_20269999_20261017.txt", "orders.txt", "team 1")], "pair_id string, batch string, round int, nickname string, glob string, file_a string, file_b string, team string")
+    pairs = spark.createDataFrame([("orders", "b1", 1, "ORD", "orders_#DATE_.txt", "orders_20260231_20269999", "orders.txt", "team 1", "CTS")], "pair_id string, batch string, round int, nickname string, glob string, file_a string, file_b string, team string, type string")
     return export.export_cases(order_results(spark, sf_dir), pairs).drop("pair_id", "seq", "batch", "round")
 
 
@@ -295,11 +303,11 @@ def unpaired_files(spark, sf_dir):
     return pairing.unpaired_files(*listings(spark, sf_dir))
 
 
-@query(f"WITH {FILES} SELECT name, CASE WHEN k % 2 = 0 THEN '/b/' || name ELSE '/a/' || name || '.gz.000000009' END AS path, k % 2 = 0 AS plain, name AS logical_name FROM f")
+@query(f"WITH {FILES} SELECT name, CASE WHEN k % 2 = 0 THEN '/b/' || name ELSE '/a/' || name || '.GZ.000000009' END AS path, k % 2 = 0 AS plain, name AS logical_name FROM f")
 def scan_versions(spark, sf_dir):
     a, b, _ = listings(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit(".txt")).alias("n"))
-    files = c.select(F.explode(F.filter(F.array(F.concat(F.lit("/a/"), "n", F.lit(".gz")), F.concat(F.lit("/a/"), "n", F.lit(".gz.000000001")), F.concat(F.lit("/a/"), "n", F.lit(".gz.000000009")), F.when(F.col("k") % 2 == 0, F.concat(F.lit("/b/"), "n"))), lambda x: x.isNotNull())).alias("path"))
+    files = c.select(F.explode(F.filter(F.array(F.concat(F.lit("/a/"), "n", F.lit(".GZ")), F.concat(F.lit("/a/"), "n", F.lit(".GZ.000000001")), F.concat(F.lit("/a/"), "n", F.lit(".GZ.000000009")), F.when(F.col("k") % 2 == 0, F.concat(F.lit("/b/"), "n"))), lambda x: x.isNotNull())).alias("path"))
     return scan.scan_versions(files).withColumn("name", F.col("logical_name"))
 
 
@@ -402,3 +410,80 @@ def monitor_coverage(spark, sf_dir):
     fields = spark.createDataFrame([("n3", 2, 1), ("N3", 3, 4)], "nickname string, col_seq int, field_type int")
     verdict = pairs.where("state = 'done'").select("pair_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("col"), F.lit(True).alias("matched"), F.lit("新线输出正常").alias("verdict"))
     return monitor.monitor_coverage(pairs, fields, verdict).select("pair_id", "state", "col", "verdict")
+
+
+@query("""SELECT 'R' || s_suppkey AS report_id, 'r' || s_nationkey || '_*.txt' AS pattern, CASE WHEN s_suppkey % 2 = 0 THEN 'CTS' ELSE 'RPT' END AS kind, 'g' || s_nationkey AS ownership_group FROM supplier WHERE s_suppkey % 10 <> 0""")
+def load_report_types(spark, sf_dir):
+    return report_dictionary(spark, sf_dir).select("report_id", "pattern", "kind", "ownership_group")
+
+
+def report_dictionary(spark, sf_dir):
+    k = F.col("s_suppkey")
+    cells = table(spark, sf_dir, "supplier").select(F.concat(F.lit(" R"), text("s_suppkey")).alias("report_id"), F.when(k % 10 == 0, " ").otherwise(F.concat(F.lit("r"), text("s_nationkey"), F.lit("_*.txt "))).alias("report_file_name"), F.when(k % 2 == 0, "cts").otherwise("Rpt ").alias("parm_report_type"), F.concat(F.lit("g"), text("s_nationkey")).alias("ownership_group"), k.alias("row_no"))
+    return lookups.load_report_types(cells)
+
+
+@query("""WITH t AS (SELECT s_nationkey AS n, arg_min('R' || s_suppkey, s_suppkey) AS report_id FROM supplier WHERE s_suppkey % 10 <> 0 AND s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 GROUP BY 1)
+  SELECT 'R' || c_nationkey || '_' || c_custkey || '.TXT' AS name, report_id FROM customer JOIN t ON c_nationkey = n""")
+def file_to_dynamic_report(spark, sf_dir):
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("R"), text("c_nationkey"), F.lit("_"), text("c_custkey"), F.lit(".TXT")).alias("name"))
+    applicable = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("r"), text("s_suppkey")).alias("text_name"))
+    return pairing.file_to_dynamic_report(files, applicable, report_dictionary(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS k, regexp_matches(lower(p_name), '^part#0.*' || (p_partkey % 10) || '$') AS fits, regexp_matches(lower(p_name), '^.a.t.*$') AS other FROM part")
+def glob_match(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    digit = (F.col("p_partkey") % 10).cast("string")
+    return p.select(F.col("p_partkey").alias("k"), S.glob_match(F.col("p_name"), F.concat(F.lit("PART?0***"), digit)).alias("fits"), S.glob_match(F.col("p_name"), F.lit("?A?T#REST")).alias("other"))
+
+
+@query("""SELECT 'N' || s_nationkey AS nickname, s_suppkey AS line_no, 'a|' || s_name AS names, '2:' || '^S(.*)' || '>' || '$1' || s_suppkey AS replace FROM supplier""")
+def rules_with_tables(spark, sf_dir):
+    """Rules whose column names and replacements stand in base64."""
+    code = lambda c: F.base64(F.encode(c, "UTF-8"))
+    names = F.to_json(F.array(F.lit("a"), F.col("s_name")))
+    replace = F.to_json(F.create_map(F.lit("2"), F.array(F.array(F.lit("^S(.*)"), F.concat(F.lit("$1"), text("s_suppkey"))))))
+    lines = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line_no"), F.concat(F.lit("N"), text("s_nationkey"), F.lit(":s*:KEYSEQ=1:COLS="), code(names), F.lit(":REPLACE="), code(replace)).alias("value"))
+    found = rules.rules_from_lines(lines)
+    return found.select("nickname", "line_no", joined("names").alias("names"), F.array_join(F.transform(F.map_entries("replace"), lambda e: F.concat(e["key"], F.lit(":"), e["value"][0][0], F.lit(">"), e["value"][0][1])), ";").alias("replace"))
+
+
+# ---- files that are written and read again ----
+
+
+@query(f"WITH {RESULTS} SELECT status, key, array_to_string(diff, ',') AS diff FROM res WHERE status <> 'equal'")
+def read_results(spark, sf_dir):
+    """Result rows through Parquet; only the folders of the wanted statuses are read."""
+    path = scratch(spark)
+    scan.write_results(order_results(spark, sf_dir).withColumn("seq", F.col("seq.seq")), path)
+    return scan.read_results(spark, path).where("status <> 'equal'").select("status", "key", joined("diff_cols", ",").alias("diff"))
+
+
+@query(f"WITH {ROUTE} SELECT grp, k || ' ' || n AS value FROM l")
+def split_files(spark, sf_dir):
+    """Lines in one folder a group, read back from there."""
+    path = scratch(spark)
+    filters.split_files(routed(spark, sf_dir).withColumn("value", F.concat_ws(" ", F.get("cols", F.lit(0)), text("l_linenumber"))), path)
+    return spark.read.text(path).select("grp", "value")
+
+
+@query(f"""WITH {CELLS} SELECT key, CAST(col + 1 AS VARCHAR) AS no, [{', '.join(f"'{n}'" for n in NAMES)}][col + 1] AS name, a, b FROM cells UNION ALL SELECT 'say "x", y', '0', '', ' ', '' """)
+def write_csv(spark, sf_dir):
+    """Differing fields in the exports' dialect, with a hard row, read back by its rules."""
+    path = scratch(spark)
+    rows = export.export_diff_fields(order_results(spark, sf_dir), NAMES).select("key", text("no").alias("no"), "name", "a", "b")
+    hard = spark.createDataFrame([('say "x", y', "0", "", " ", "")], rows.schema)
+    export.write_csv(rows.unionByName(hard), path, ["键值", "no", "name", "a", "b"])
+    back = spark.read.csv(path, header=True, quote='"', escape='"', lineSep="\r\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return back.toDF("key", "no", "name", "a", "b").fillna("")
+
+
+@query(f"WITH {PAIR} SELECT CAST(c[2] AS BIGINT) % 16 AS file, row_number() OVER (PARTITION BY CAST(c[2] AS BIGINT) % 16 ORDER BY seq) - 1 AS seq, array_to_string(c, ' | ') AS value FROM b")
+def scan_lines(spark, sf_dir):
+    """B's records as the lines of 16 files, numbered in the order of each file."""
+    path = scratch(spark)
+    rows = order_pair(spark, sf_dir)[1].select((F.get("cols", F.lit(1)).cast("long") % 16).alias("file"), "seq", F.array_join("cols", " | ").alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "seq").select("file", "value").write.partitionBy("file").text(path)
+    lines = scan.scan_lines(spark, [f"{path}/file={i}" for i in range(16)])
+    return lines.select(F.regexp_extract("file_path", "file=([0-9]+)/", 1).cast("long").alias("file"), "seq", "value")

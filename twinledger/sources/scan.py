@@ -88,7 +88,7 @@ def scan_versions(files: DataFrame) -> DataFrame:
     beats all archives.
     """
     name = F.regexp_extract("path", r"[^/]*$", 0)
-    logical = F.regexp_replace(name, r"\.gz(\.[0-9]{9})?$", "")
+    logical = F.regexp_replace(name, r"(?i)\.gz(\.[0-9]{9})?$", "")
     rows = files.select("path", name.alias("name"), logical.alias("logical_name"))
     best = F.max_by(F.col("path"), F.struct(F.col("name") == F.col("logical_name"), "name"))
     return rows.groupBy("logical_name").agg(best.alias("path"), F.max(F.col("name") == F.col("logical_name")).alias("plain"))

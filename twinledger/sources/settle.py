@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """``df`` from files in the shared checkpoint folder, so that what uses it several times doesn't work it out again.
 
-    The folder is the one ``spark.checkpoint.dir`` names; a session without that setting gets a temporary one.
+    The folder is the one ``spark.checkpoint.dir`` names; a local session without that setting gets a temporary one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
