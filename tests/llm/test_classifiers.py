@@ -78,6 +78,38 @@ def test_held_out_rows(spark, what, modulus, held):
     assert again == {i: r.score for i, r in got.items()}
 
 
+def test_quality_is_the_plain_definition(spark):
+    """Mean of a word's n-gram vectors, mean over the document's words, softmax: all written out, without the folding."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["dog", "Dog", "running", "naïve", "漢字", "x"]) + rng.choice(["", "s", "!!"]) for _ in range(rng.randint(1, 20))), "x") for i in range(60)]
+    rows += [(90, None, "x"), (91, " \t", "x"), (92, "same same same", "x")]
+    examples = [(t, i % 2) for i, t, _ in rows[:60]]
+    vectors, layer, bias = quality.learn(examples, epochs=3)
+
+    def bucket(name):
+        return zlib.crc32(name.encode()) % quality.BUCKETS
+
+    def plain(text):
+        words = (text or "").split()
+        parts = []
+        for w in words:
+            marked = f"<{w}>"
+            grams = sorted({marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)})
+            parts.append(np.mean([vectors[bucket("=" + w)], *[vectors[bucket(g)] for g in grams]], axis=0, dtype=np.float64))
+        same = "\x00same"
+        marked = f"<{same}>"
+        again = np.mean([vectors[bucket("=" + same)], *[vectors[bucket(g)] for g in sorted({marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)})]], axis=0, dtype=np.float64)
+        parts += [again] * sum(a == b for a, b in zip(words, words[1:]))
+        out = layer.astype(float) @ (np.mean(parts, axis=0) if parts else np.zeros(quality.DIM)) + bias
+        p = np.exp(out - out.max())
+        return p[1] / p.sum()
+
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, DOCS), quality.train(examples, epochs=3), "score").collect()}
+    for i, t, _ in rows:
+        assert abs(got[i] - plain(t)) < 1e-5, (i, t)
+    assert max(got.values()) - min(got.values()) > 0.01
+
+
 def test_quality_rows(spark):
     rng = random.Random(1)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randint(0, 9)) for _ in range(30)) for _ in range(80)]

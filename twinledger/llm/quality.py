@@ -56,7 +56,13 @@ class Model:
 
 
 def train(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 4.0, seed: int = 1) -> Model:
-    """Learn vectors and layer on labelled texts; without texts every score is one half."""
+    """Learn on labelled texts and fold what was learned to a number for each feature; without texts every score is one half."""
+    vectors, layer, bias = learn(rows, epochs, rate, seed)
+    return Model(vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0]))
+
+
+def learn(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 4.0, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the hashed features, weights and bias of the softmax layer."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2)
@@ -89,7 +95,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, rate: float = 4.0, seed
             bias -= now / 80 * p
             if len(ids):
                 vectors[ids] -= np.float32(now) * share[:, None] * back.astype(np.float32)
-    return Model(vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0]))
+    return vectors, layer, bias
 
 
 class Words(dict):
