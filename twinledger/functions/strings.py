@@ -117,6 +117,14 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)).otherwise(F.lit(0.0))
 
 
+def similarity_bound(a: Column, b: Column) -> Column:
+    """What ``similarity`` is at most, by the values' lengths alone."""
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
+    one = lambda x, y: F.when(size(x) == size(y), F.lit(1.0)).otherwise(1.0 - F.abs(size(x) - size(y)) / F.greatest(size(x), size(y)))
+    parts = F.zip_with(a, b, one)
+    return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)).otherwise(F.lit(0.0))
+
+
 def pipe_label_like(line: Column, template: Column) -> Column:
     """Equal numbers of pipes, and each part of the template that isn't empty begins the line's part."""
     mine, theirs = F.split(line, r"\|", -1), F.split(template, r"\|", -1)

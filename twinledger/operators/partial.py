@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import diff_columns, similarity
+from ..functions.strings import diff_columns, similarity, similarity_bound
 from ..sources.settle import settle
 
 
 def candidates(left_a: DataFrame, left_b: DataFrame, skip: list[int] = (), threshold: float = 0.6, max_value_len: int = 64) -> DataFrame:
     """``pair_id, a_id, b_id, score, first_col, a_ord, b_ord`` of rows that share a value in any column and are similar enough.
 
-    Values are at most ``max_value_len`` characters and not empty.  Rows have ``pair_id, id, ord, fields``; ``ord`` orders a side.
+    Values are at most ``max_value_len`` characters and not empty.  Rows have ``pair_id, id, ord, fields``; ``ord`` orders a side,
+    ``id`` is a row's own.  Rows meet at each value that they share, but count only where A's first shared column is.  Lengths and then
+    the similarity decide there, so of a value that many rows share only the similar pairs leave the join.
     """
     kept = F.filter("fields", lambda x, i: ~i.isin(*skip)) if skip else F.col("fields")
-    side = lambda d: d.select("pair_id", "id", "ord", kept.alias("f"))
-    a, b = side(left_a), side(left_b)
-    usable = (F.col("v") != "") & (F.length("v") <= max_value_len)
-    va = a.select("pair_id", F.col("id").alias("a_id"), F.posexplode("f").alias("col", "v")).where(usable)
-    vb = b.select("pair_id", F.col("id").alias("b_id"), F.explode("f").alias("v")).where(usable).distinct()
-    met = va.join(vb, ["pair_id", "v"]).groupBy("pair_id", "a_id", "b_id").agg(F.min("col").alias("first_col"))
-    met = met.join(a.toDF("pair_id", "a_id", "a_ord", "fa"), ["pair_id", "a_id"]).join(b.toDF("pair_id", "b_id", "b_ord", "fb"), ["pair_id", "b_id"])
-    scored = met.withColumn("score", similarity(F.col("fa"), F.col("fb"))).where(F.col("score") >= threshold)
-    return scored.select("pair_id", "a_id", "b_id", "score", "first_col", "a_ord", "b_ord")
+    usable = lambda v: (v != "") & (F.length(v) <= max_value_len)
+    side = lambda d, x: d.select("pair_id", F.col("id").alias(f"{x}_id"), F.col("ord").alias(f"{x}_ord"), kept.alias(f"{x}_f"), F.filter(kept, usable).alias(f"{x}_values"))
+    a = side(left_a, "a").select("pair_id", "a_id", "a_ord", "a_f", F.posexplode("a_f").alias("first_col", "v")).where(usable(F.col("v")))
+    b = side(left_b, "b").withColumn("v", F.explode(F.array_distinct("b_values")))
+    earlier = F.coalesce(F.arrays_overlap(F.slice("a_f", F.lit(1), F.col("first_col")), "b_values"), F.lit(False))
+    met = a.join(b, ["pair_id", "v"]).where(~earlier)
+    score = F.when(similarity_bound(F.col("a_f"), F.col("b_f")) >= threshold, similarity(F.col("a_f"), F.col("b_f")))
+    return met.withColumn("score", score).where(F.col("score") >= threshold).select("pair_id", "a_id", "b_id", "score", "first_col", "a_ord", "b_ord")
 
 
 def assign(cands: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def partial_match(left_a: DataFrame, left_b: DataFrame, skip: list[int] = (), th
     """Result rows of what similarity pairs (diff) and of what stays alone.
 
     Rows have ``pair_id, id, ord, fields, raw`` and perhaps ``display``, the lines of a folded record, which then are what
-    differs.  No pair is dropped for being one of many: common values cost time.
+    differs.  No pair is dropped for being one of many: common values cost comparisons, but
+    only similar pairs are written.
     """
     pairs = assign(candidates(left_a, left_b, skip, threshold, max_value_len))
     shown = lambda d: F.col("display") if "display" in d.columns else F.lit(None).cast("array<string>")
