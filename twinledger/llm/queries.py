@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, mixing, pieces, pii, quality, simhash, templates, topk, toxicity, urls
+from . import alignment, audit, hnsw, mixing, packing, pieces, pii, quality, simhash, templates, topk, toxicity, urls
 from .common import prepare
 
 
@@ -72,6 +72,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of every document, aligned."""
+    return alignment.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, step by step, for each language."""
+    return audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -84,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality": op9_quality,
         "op10_mixing": op10_mixing,
+        "op11_alignment": op11_alignment,
+        "op12_audit": op12_audit,
+        "op13_packing": op13_packing,
     }
 
 
@@ -92,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk": topk.SQL,
         "op3_url_filter": urls.SQL,
         "op10_mixing": mixing.SQL,
+        "op12_audit": audit.SQL,
     }
