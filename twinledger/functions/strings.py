@@ -18,9 +18,14 @@ def quoted(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def split_columns(line: Column, delim: str = " | ") -> Column:
-    """Columns of a line; trailing empty ones stay."""
-    return F.split(line, quoted(delim), -1)
+def quoted_column(text: Column) -> Column:
+    """As ``quoted``, of a column of literals."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def split_columns(line: Column, delim: str | Column = " | ") -> Column:
+    """Columns of a line; trailing empty ones stay.  The delimiter is a text, or a column of texts."""
+    return F.split(line, quoted(delim) if isinstance(delim, str) else quoted_column(delim), -1)
 
 
 def strip(text: Column) -> Column:
@@ -42,23 +47,30 @@ def column_at(cols: Column, i: int) -> Column:
     return F.coalesce(F.get(cols, F.lit(i)), F.lit(""))
 
 
-def key_of(cols: Column, keys: list[int] | None) -> Column:
+def key_of(cols: Column, keys: list[int] | Column | None) -> Column:
     """The record's key: its key columns in column order; null if the record is too short for them.
 
-    Without key columns the whole record is the key.
+    Without key columns the whole record is the key.  ``keys`` is a list, or a column of arrays.
     """
+    if isinstance(keys, Column):
+        wanted = F.array_sort(F.array_distinct(keys))
+        own = F.when(F.size(cols) > F.array_max(wanted), F.array_join(F.transform(wanted, lambda k: F.coalesce(F.get(cols, k), F.lit(""))), UNIT))
+        return F.when(F.size(keys) > 0, own).otherwise(F.array_join(cols, UNIT))
     if not keys:
         return F.array_join(cols, UNIT)
     keys = sorted(set(keys))
     return F.when(F.size(cols) > keys[-1], F.concat_ws(UNIT, *[F.get(cols, F.lit(k)) for k in keys]))
 
 
-def diff_columns(a: Column, b: Column, skip: list[int] = (), missing: str | None = "") -> Column:
-    """Places where two records differ.  What the shorter one lacks counts as ``missing``; with
-    ``missing=None`` it differs from everything but another lack."""
+def diff_columns(a: Column, b: Column, skip: list[int] | Column = (), missing: str | None = "") -> Column:
+    """Places where two records differ, but for those in ``skip`` (a list, or a column of arrays).  What the shorter one lacks
+    counts as ``missing``; with ``missing=None`` it differs from everything but another lack."""
     value = (lambda c, i: F.coalesce(F.get(c, i), F.lit(missing))) if missing is not None else F.get
     differs = lambda i: ~value(a, i).eqNullSafe(value(b, i))
-    wanted = (lambda i: differs(i) & ~i.isin(*sorted(skip))) if skip else differs
+    if isinstance(skip, Column):
+        wanted = lambda i: differs(i) & ~F.array_contains(skip, i)
+    else:
+        wanted = (lambda i: differs(i) & ~i.isin(*sorted(skip))) if skip else differs
     width = F.greatest(F.size(a), F.size(b))
     return F.when(width > 0, F.filter(F.sequence(F.lit(0), width - 1), wanted)).otherwise(F.array().cast("array<int>"))
 
@@ -86,11 +98,6 @@ def column_name(names: Column, i: Column) -> Column:
     return F.when(F.coalesce(~is_blank(name), F.lit(False)), name).otherwise(F.concat(F.lit("栏位"), (i + 1).cast("string")))
 
 
-def diff_label(diff_cols: Column, names: Column) -> Column:
-    """The differing columns as ``number-name；`` each."""
-    return F.array_join(F.transform(diff_cols, lambda i: F.concat((i + 1).cast("string"), F.lit("-"), column_name(names, i), F.lit("；"))), "")
-
-
 def glob_regex(glob: str) -> str:
     """A file name pattern as a regular expression: stars for any run, ``?`` for one character, ``#NAME`` for any run."""
     out = []

@@ -7,38 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import diff_columns, key_of
 from ..sources.settle import settle
+from .cells import VIRTUAL
 
-#: Virtual columns of dynamic sub-fields are numbered above this.
-VIRTUAL = 1_000_000
 RESULT = ("pair_id", "key", "status", "section", "a_cols", "b_cols", "diff_cols", "seq")
 TRAILER_FIELDS = ("RecNum", "SysID", "TabName", "Version", "GenTime", "CycFlag", "DataStartDate", "DataEndDate")
 
 
-def _keyed(data: DataFrame, keys: list[int] | None) -> DataFrame:
-    return data.select("pair_id", "seq", "cols", key_of(F.col("cols"), keys).alias("key"))
+def _keyed(data: DataFrame, keys: list[int] | Column | None, **more: Column) -> DataFrame:
+    return data.select("pair_id", "seq", "cols", key_of(F.col("cols"), keys).alias("key"), *[c.alias(n) for n, c in more.items()])
 
 
-def last_per_key(data: DataFrame, keys: list[int] | None) -> DataFrame:
+def last_per_key(data: DataFrame, keys: list[int] | Column | None) -> DataFrame:
     """``pair_id, key, cols, seq`` of the last record of each key."""
     rows = _keyed(data, keys).where("key is not null")
     return rows.groupBy("pair_id", "key").agg(F.max_by("cols", "seq").alias("cols"), F.max("seq").alias("seq"))
 
 
-def keyed_compare(a: DataFrame, b: DataFrame, keys: list[int] | None = None, skip: list[int] = ()) -> DataFrame:
+def keyed_compare(a: DataFrame, b: DataFrame, keys: list[int] | Column | None = None, skip: list[int] | Column = ()) -> DataFrame:
     """Result rows of two tables of records.
 
     Of the records of A with one key the last counts; every record of B is compared with it.  Keys of A that B
     lacks come once.  Records too short for the key are left out.  Without ``keys`` the whole record is the key.
-    Columns in ``skip`` don't count as different.  ``seq`` orders the rows: B's, then A's.
+    Columns in ``skip`` don't count as different.  Both are lists, or columns of arrays in the records' tables, so that pairs with
+    rules of their own are compared together.  ``seq`` orders the rows: B's, then A's.
 
     Rows of B keep their own side in a left join, which Spark can split where one key is common, instead
     of a full join, which it can't.
     """
     left = last_per_key(a, keys).withColumnsRenamed({"cols": "a_cols", "seq": "a_seq"})
-    right = _keyed(b, keys).where("key is not null").withColumnsRenamed({"cols": "b_cols"})
+    by_row = {"__skip": skip} if isinstance(skip, Column) else {}
+    right = _keyed(b, keys, **by_row).where("key is not null").withColumnsRenamed({"cols": "b_cols"})
+    left_out = F.col("__skip") if by_row else list(skip)
     both = right.join(left, ["pair_id", "key"], "left")
     none = F.array().cast("array<int>")
-    diff = F.when(F.col("a_cols").isNull(), none).otherwise(diff_columns(F.col("a_cols"), F.col("b_cols"), list(skip)))
+    diff = F.when(F.col("a_cols").isNull(), none).otherwise(diff_columns(F.col("a_cols"), F.col("b_cols"), left_out))
     met = both.withColumn("diff_cols", diff)
     status = F.when(F.col("a_cols").isNull(), "unmatched_b").when(F.size("diff_cols") > 0, "diff").otherwise("equal")
     met = met.select("pair_id", "key", status.alias("status"), F.lit("data").alias("section"), "a_cols", "b_cols", "diff_cols", F.struct(F.lit(0).alias("part"), "seq").alias("seq"))
@@ -116,37 +118,74 @@ def expand_dynamic(data: DataFrame, col: int, items: DataFrame | None = None) ->
     return rows.withColumn("item_code", base).join(items.select("item_code", F.col("item_name").alias("name")), "item_code", "left").drop("item_code")
 
 
-def keyed_compare_dynamic(a: DataFrame, b: DataFrame, keys: list[int] | None, dynamic: list[int], skip: list[int] = ()) -> tuple[DataFrame, DataFrame]:
+def keyed_compare_dynamic(
+    a: DataFrame, b: DataFrame, keys: list[int] | Column | None, dynamic: list[int], skip: list[int] = (), about: DataFrame | None = None, items: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``keyed_compare`` with some columns compared sub-field by sub-field, whatever their order.
 
-    Returns result rows with ``dyn``, an array of (idx, c, k, a, b), and the registry ``pair_id, c, k, idx`` of virtual
-    columns, numbered in the order of their first appearance.  A sub-field that one side lacks is different
-    from an empty one.  Records of one side carry their own values.
+    Returns result rows with ``dyn``, an array of (idx, c, k, a, b, label, name), and the registry ``pair_id, c, k, idx, label,
+    name`` of virtual columns, numbered in the order of their first appearance.  A sub-field that one side lacks is
+    different from an empty one.  Records of one side carry their own values.
+
+    ``about`` has ``pair_id, col, label, dyn_name``: how a dynamic column is called (else by its number from 1), and the list of its
+    sub-fields' names in ``items`` (``dyn_name, item_code, item_name``).  A virtual column's label is that of its column and
+    the code, without the mark of numbered ones; its name is the label with the sub-field's name behind it.
     """
     dynamic = sorted(set(dynamic) - set(skip))
-    fields = lambda x, c: sub_fields(F.coalesce(F.get(x, F.lit(c)), F.lit("")))
     rows = keyed_compare(a, b, keys, [*skip, *dynamic])
-    # both sides' sub-fields are cut once and written, as the registry and the rows need them
+    return by_sub_fields(rows, F.array(*map(F.lit, dynamic)).cast("array<int>"), about, items)
+
+
+def by_sub_fields(rows: DataFrame, dynamic: Column, about: DataFrame | None = None, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Result rows that don't compare the columns in ``dynamic`` (arrays of places), with those compared by sub-fields; as
+    ``keyed_compare_dynamic``."""
+    rows = rows.withColumn("__dynamic", dynamic)
+    # both sides' sub-fields are cut once, met by code, and written, as the registry and the rows need them
     for x in "ab":
-        rows = rows.withColumn(f"__{x}", F.array(*[fields(f"{x}_cols", c) for c in dynamic]))
-    rows = settle(rows)
+        cut = lambda c: sub_fields(F.coalesce(F.get(F.col(f"{x}_cols"), c), F.lit("")))  # noqa: B023, E731
+        rows = rows.withColumn(f"__{x}", F.transform("__dynamic", cut)).withColumn(f"__m{x}", F.transform(f"__{x}", lambda f: F.map_from_entries(f)))
 
-    def values(n: int, c: int) -> Column:
-        left, right = F.get("__a", F.lit(n)), F.get("__b", F.lit(n))
-        names = F.array_union(F.transform(left, lambda x: x["k"]), F.transform(right, lambda x: x["k"]))
-        at = lambda side, k: F.get(F.filter(side, lambda x: x["k"] == k), F.lit(0))["v"]
-        return F.transform(names, lambda k: F.struct(F.lit(c).alias("c"), k.alias("k"), at(left, k).alias("a"), at(right, k).alias("b")))
+    def values(c: Column, n: Column) -> Column:
+        codes = F.array_union(*[F.transform(F.get(f"__{x}", n), lambda f: f["k"]) for x in "ab"])
+        at = lambda x, k: F.try_element_at(F.get(f"__m{x}", n), k).alias(x)
+        return F.transform(codes, lambda k: F.struct(c.alias("c"), k.alias("k"), at("a", k), at("b", k)))
 
-    rows = rows.withColumn("__vals", F.concat(*[values(n, c) for n, c in enumerate(dynamic)]))
+    rows = settle(rows.withColumn("__vals", F.flatten(F.transform("__dynamic", values))).select(*RESULT, "__vals"))
     first = rows.select("pair_id", "seq", F.posexplode("__vals").alias("pos", "x")).groupBy("pair_id", F.col("x.c").alias("c"), F.col("x.k").alias("k")).agg(F.min(F.struct("seq", "pos")).alias("at"))
     # one row for each column and code of a pair, few by nature
     registry = first.select("pair_id", "c", "k", (F.lit(VIRTUAL) + F.row_number().over(Window.partitionBy("pair_id").orderBy("at"))).cast("int").alias("idx"))
-    named = registry.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", F.col("c").cast("string"), "k"), "idx"))).alias("__names"))
+    registry = settle(_named(registry, about, items))
+    entry = F.struct(F.concat_ws(":", F.col("c").cast("string"), "k"), F.struct("idx", "label", "name"))
+    named = registry.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(entry)).alias("__names"))
     rows = rows.join(named, "pair_id", "left")
-    index = lambda x: F.element_at("__names", F.concat_ws(":", x["c"].cast("string"), x["k"]))
-    rows = rows.withColumn("dyn", F.transform("__vals", lambda x: F.struct(index(x).alias("idx"), x["c"].alias("c"), x["k"].alias("k"), x["a"].alias("a"), x["b"].alias("b"))))
+
+    def told(x: Column) -> Column:
+        known = F.element_at("__names", F.concat_ws(":", x["c"].cast("string"), x["k"]))
+        return F.struct(known["idx"].alias("idx"), x["c"].alias("c"), x["k"].alias("k"), x["a"].alias("a"), x["b"].alias("b"), known["label"].alias("label"), known["name"].alias("name"))
+
+    rows = rows.withColumn("dyn", F.transform("__vals", told))
     two = F.col("status").isin("equal", "diff")
     more = F.transform(F.filter("dyn", lambda x: ~x["a"].eqNullSafe(x["b"])), lambda x: x["idx"])
     rows = rows.withColumn("diff_cols", F.when(two, F.concat("diff_cols", more)).otherwise(F.col("diff_cols")))
     status = F.when(two, F.when(F.size("diff_cols") > 0, "diff").otherwise("equal")).otherwise(F.col("status"))
     return rows.withColumn("status", status).select(*RESULT, "dyn"), registry
+
+
+def _named(registry: DataFrame, about: DataFrame | None, items: DataFrame | None) -> DataFrame:
+    """The registry with labels and names."""
+    registry = registry.withColumn("__base", F.when(~F.startswith("k", F.lit("#")), F.regexp_replace("k", r"\*[0-9]+$", "")))
+    none = F.lit(None).cast("string")
+    if about is not None:
+        one = about.groupBy("pair_id", F.col("col").alias("c")).agg(F.min_by("label", "label").alias("__label"), F.min_by("dyn_name", "label").alias("__dyn"))
+        registry = registry.join(one, ["pair_id", "c"], "left")
+    else:
+        registry = registry.withColumns({"__label": none, "__dyn": none})
+    if items is not None:
+        one = items.groupBy(F.col("dyn_name").alias("__dyn"), F.col("item_code").alias("__base")).agg(F.min("item_name").alias("__item"))
+        registry = registry.join(one, ["__dyn", "__base"], "left")
+    else:
+        registry = registry.withColumn("__item", none)
+    parent = F.coalesce("__label", (F.col("c") + 1).cast("string"))
+    label = F.concat(parent, F.lit("-"), F.regexp_replace("k", "^#", ""))
+    name = F.concat("label", F.when(F.coalesce(F.trim("__item"), F.lit("")) != "", F.concat(F.lit("（"), F.col("__item"), F.lit("）"))).otherwise(""))
+    return registry.withColumn("label", label).withColumn("name", name).select("pair_id", "c", "k", "idx", "label", "name")

@@ -5,39 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import column_name, diff_label, display_key, excel_safe, is_blank, status_text
+from ..functions.strings import display_key, excel_safe, is_blank, status_text
 from ..sources.settle import settle
+from .cells import Cells, registry_of
 from .monitor import TYPES
 
 PART = 20_000
 BOM = "﻿"
 
 
-def _names(names: list[str] | None) -> Column:
-    return F.array(*[F.lit(n) for n in names or []]).cast("array<string>")
-
-
 def export_full_csv(results: DataFrame, names: list[str] | None = None, src_a: str = "A", src_b: str = "B") -> DataFrame:
     """``pair_id, seq, line, key, status, diff, values``: a line for a record, two (A's, then B's) for one that differs.
 
-    ``values`` has as many columns as the widest record; ``full_csv_columns`` turns them into columns of their own.
+    ``values`` has as many columns as the widest record.  Rows of a dynamic comparison have ``virtual`` besides: the values of
+    all virtual columns of their pair, in the order of their numbers.  ``full_csv_columns`` turns both into columns of their own.
     """
-    label = diff_label(F.col("diff_cols"), _names(names))
-    line = lambda n, status, values: F.struct(F.lit(n).alias("line"), status.alias("status"), values.alias("values"))
+    cells = Cells(results, names)
     some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    merged = F.zip_with(some(F.col("a_cols")), some(F.col("b_cols")), lambda a, b: F.when(is_blank(F.coalesce(a, F.lit(""))), F.coalesce(b, F.lit(""))).otherwise(a))
+    both = lambda a, b: F.when(is_blank(F.coalesce(a, F.lit(""))), F.coalesce(b, F.lit(""))).otherwise(a)
+    merged = F.zip_with(some(F.col("a_cols")), some(F.col("b_cols")), both)
     merged = F.when(F.col("status") == "equal", F.col("a_cols")).otherwise(merged)
-    one = F.array(line(0, status_text(F.col("status"), src_a, src_b), merged))
-    two = F.array(line(0, F.lit(f"有差异·{src_a}"), F.col("a_cols")), line(1, F.lit(f"有差异·{src_b}"), F.col("b_cols")))
-    rows = results.select("pair_id", "seq", display_key(F.col("key")).alias("key"), label.alias("diff"), F.explode(F.when(F.col("status") == "diff", two).otherwise(one)).alias("x"))
-    return rows.select("pair_id", "seq", "x.line", "key", "x.status", "diff", F.transform("x.values", excel_safe).alias("values"))
-
-
-def full_csv_columns(full: DataFrame, width: int, names: list[str] | None = None) -> DataFrame:
-    """The lines with their Chinese headers, values as ``width`` columns ``NAME(n)`` or ``栏位n``."""
+    shown = ["pair_id", "seq", display_key(F.col("key")).alias("key"), cells.summary(F.col("diff_cols")).alias("diff")]
+    if cells.dynamic:
+        # one row a pair
+        every = registry_of(results).groupBy("pair_id").agg(F.array_sort(F.collect_list("idx")).alias("__idx"))
+        results = results.join(every, "pair_id", "left").withColumn("__at", F.map_from_entries(F.transform("dyn", lambda d: F.struct(d["idx"], F.struct(d["a"].alias("a"), d["b"].alias("b"))))))
+        virtual = lambda one: F.transform(some(F.col("__idx").cast("array<string>")), lambda i: F.coalesce(one(F.try_element_at("__at", i.cast("int"))), F.lit("")))
+        extra = {"one": virtual(lambda v: both(v["a"], v["b"])), "a": virtual(lambda v: v["a"]), "b": virtual(lambda v: v["b"])}
+    else:
+        extra = {}
+    line = lambda n, status, values, x: F.struct(F.lit(n).alias("line"), status.alias("status"), values.alias("values"), *([extra[x].alias("virtual")] if extra else []))
+    one = F.array(line(0, status_text(F.col("status"), src_a, src_b), merged, "one"))
+    two = F.array(line(0, F.lit(f"有差异·{src_a}"), F.col("a_cols"), "a"), line(1, F.lit(f"有差异·{src_b}"), F.col("b_cols"), "b"))
+    rows = results.select(*shown, F.explode(F.when(F.col("status") == "diff", two).otherwise(one)).alias("x"))
+    safe = [F.transform(f"x.{c}", excel_safe).alias(c) for c in ("values", "virtual")[: 1 + cells.dynamic]]
+    return rows.select("pair_id", "seq", "x.line", "key", "x.status", "diff", *safe)
+
+
+def full_csv_columns(full: DataFrame, width: int, names: list[str] | None = None, virtual: list[str] | None = None) -> DataFrame:
+    """The lines with their Chinese headers: values as ``width`` columns ``NAME(n)`` or ``栏位n``, then the virtual columns by the
+    full names in ``virtual`` (a pair's ``registry_of``, in the order of the numbers)."""
     names = names or []
     head = [f"{names[i]}({i + 1})" if i < len(names) and names[i].strip() else f"栏位{i + 1}" for i in range(width)]
-    return full.select(F.col("key").alias("键值"), F.col("status").alias("状态"), F.col("diff").alias("差异栏位"), *[F.coalesce(F.get("values", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(head)])
+    at = lambda c, i, h: F.coalesce(F.get(c, F.lit(i)), F.lit("")).alias(h)
+    return full.select(
+        F.col("key").alias("键值"), F.col("status").alias("状态"), F.col("diff").alias("差异栏位"), *[at("values", i, h) for i, h in enumerate(head)], *[at("virtual", i, h) for i, h in enumerate(virtual or [])]
+    )
 
 
 def _primary(side: str) -> Column:
@@ -58,8 +71,8 @@ def export_diff_records(results: DataFrame, monitor: DataFrame | None = None, sr
         rows = rows.join(kinds, "pair_id", "left")
         words = F.create_map(*[x for t, w in TYPES.items() for x in (F.lit(t), F.lit(f"[{t}-{w}"))])
         prefix = lambda i: F.coalesce(F.try_element_at(words, F.try_element_at("__kinds", i)), F.lit("[栏位不一致"))
-    value = lambda x, i: F.coalesce(F.get(x, i), F.lit(""))
-    cell = lambda i: F.concat(prefix(i) if callable(prefix) and monitor is not None else prefix, F.lit(" @"), (i + 1).cast("string"), F.lit("] A:'"), value("a_cols", i), F.lit("' B:'"), value("b_cols", i), F.lit("'"))
+    cells = Cells(rows)
+    cell = lambda i: F.concat(prefix(i) if monitor is not None else prefix, F.lit(" @"), cells.number(i), F.lit("] A:'"), cells.value("a", i), F.lit("' B:'"), cells.value("b", i), F.lit("'"))
     detail = (
         F.when(F.col("status") == "diff", F.array_join(F.transform("diff_cols", cell), "\n"))
         .when(F.col("status") == "unmatched_a", F.concat(F.lit("[仅A存在] A:'"), _primary("a"), F.lit("' B:''")))
@@ -70,10 +83,13 @@ def export_diff_records(results: DataFrame, monitor: DataFrame | None = None, sr
 
 
 def export_diff_fields(results: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """``pair_id, seq, key, no, name, a, b``: a line for each differing column; numbers count from 1."""
-    rows = results.where("status = 'diff'").select("pair_id", "seq", "key", "a_cols", "b_cols", F.explode("diff_cols").alias("i"))
-    value = lambda x: excel_safe(F.coalesce(F.get(x, F.col("i")), F.lit("")))
-    return rows.select("pair_id", "seq", display_key(F.col("key")).alias("key"), (F.col("i") + 1).alias("no"), column_name(_names(names), F.col("i")).alias("name"), value("a_cols").alias("a"), value("b_cols").alias("b"))
+    """``pair_id, seq, key, no, label, name, a, b``: a line for each differing column.
+
+    ``no`` counts from 1, ``label`` is what is shown: that number, or the short label of a virtual column.
+    """
+    cells, i = Cells(results, names), F.col("i")
+    rows = results.where("status = 'diff'").withColumn("i", F.explode("diff_cols"))
+    return rows.select("pair_id", "seq", display_key(F.col("key")).alias("key"), (i + 1).alias("no"), cells.number(i).alias("label"), cells.name(i).alias("name"), *[excel_safe(cells.value(x, i)).alias(x) for x in "ab"])
 
 
 # Dates in file names, the variable part of a pattern, and the columns of the case table.
@@ -108,10 +124,11 @@ def export_cases(results: DataFrame, pairs: DataFrame) -> DataFrame:
     whose content is its whole line.
 
     ``pairs`` has ``pair_id, batch, round, nickname, glob, file_a, file_b, team``, and perhaps ``type`` and ``delim`` (else " | ").  The
-    date comes from A's name, else B's, else from the trailer's DataStartDate.
+    date comes from A's name, else B's, else from the trailer's DataStartDate.  ``column`` is ``column_no`` as shown, a virtual column's label.
     """
     rows = results.where("section = 'data' and status <> 'equal'")
-    rows = rows.select("pair_id", "seq", "key", "status", "a_cols", "b_cols", F.explode(F.when(F.col("status") == "diff", F.col("diff_cols")).otherwise(F.array(F.lit(-1)))).alias("i"))
+    cells, i = Cells(rows), F.col("i")
+    rows = rows.withColumn("i", F.explode(F.when(F.col("status") == "diff", F.col("diff_cols")).otherwise(F.array(F.lit(-1)))))
     said = results.where("section = 'trailer' and key = 'DataStartDate'")
     said = said.groupBy("pair_id").agg(F.max(F.coalesce(*[F.nullif(F.regexp_extract(F.trim(F.replace(F.get(c, F.lit(0)), F.lit('"'), F.lit(""))), TRAILER_DATE, 1), F.lit("")) for c in ("a_cols", "b_cols")])).alias("trailer_date"))
     given = lambda c, other: F.col(c) if c in pairs.columns else F.lit(other)
@@ -119,17 +136,16 @@ def export_cases(results: DataFrame, pairs: DataFrame) -> DataFrame:
         "pair_id", "batch", "round", "nickname", "team", F.coalesce(file_date(F.col("file_a")), file_date(F.col("file_b")), "trailer_date", F.lit("")).alias("date"),
         wildcard(F.col("glob")).alias("wildcard"), extension(F.col("file_a"), F.col("glob")).alias("extension"), given("type", "").alias("type"), given("delim", " | ").alias("delim"),
     )
-    value = lambda x: F.coalesce(F.get(x, F.col("i")), F.lit(""))
     line = lambda x: F.concat(F.lit(f"{x.upper()}:'"), F.coalesce(F.expr(f"array_join({x}_cols, delim)"), F.lit("")), F.lit("'"))
-    text = F.when(F.col("i") >= 0, F.concat(F.lit("A:'"), value("a_cols"), F.lit("' B:'"), value("b_cols"), F.lit("'"))).when(F.col("status") == "unmatched_a", line("a")).otherwise(line("b"))
+    text = F.when(F.col("i") >= 0, F.concat(F.lit("A:'"), cells.value("a", i), F.lit("' B:'"), cells.value("b", i), F.lit("'"))).when(F.col("status") == "unmatched_a", line("a")).otherwise(line("b"))
     kind = F.when(F.col("status") == "diff", "栏位不一致").when(F.col("status") == "unmatched_a", "仅A存在").otherwise("仅B存在")
-    found = rows.join(about, "pair_id").select("*", display_key(F.col("key")).alias("shown"), kind.alias("kind"), (F.col("i") + 1).alias("column_no"), text.alias("content"))
-    return found.select("pair_id", "seq", F.col("shown").alias("key"), "kind", "column_no", "content", "batch", "round", "nickname", "team", "date", "wildcard", "extension", "type")
+    found = rows.join(about, "pair_id").select("*", display_key(F.col("key")).alias("shown"), kind.alias("kind"), (i + 1).alias("column_no"), F.when(i < 0, "0").otherwise(cells.number(i)).alias("column"), text.alias("content"))
+    return found.select("pair_id", "seq", F.col("shown").alias("key"), "kind", "column_no", "column", "content", "batch", "round", "nickname", "team", "date", "wildcard", "extension", "type")
 
 
 def case_table(cases: DataFrame) -> DataFrame:
     """Cases under the 20 headers of the collection table; what analysts fill in is empty."""
-    filled = dict(zip(CASE_COLUMNS, ("date", "batch", "round", "wildcard", "type", "nickname", "extension", "column_no", "content"), strict=False)) | {"分析团队": "team"}
+    filled = dict(zip(CASE_COLUMNS, ("date", "batch", "round", "wildcard", "type", "nickname", "extension", "column", "content"), strict=False)) | {"分析团队": "team"}
     return cases.select(*[(F.coalesce(F.col(filled[c]).cast("string"), F.lit("")) if c in filled else F.lit("")).alias(c) for c in CASE_COLUMNS])
 
 

@@ -22,7 +22,7 @@ def compare_summary(results: DataFrame, stats_a: DataFrame, stats_b: DataFrame,
     return out.fillna(0)
 
 
-def malformed(data: DataFrame, keys: list[int] | None) -> DataFrame:
+def malformed(data: DataFrame, keys: list[int] | Column | None) -> DataFrame:
     """``pair_id, malformed``: records too short for the key."""
     return data.groupBy("pair_id").agg(F.count_if(key_of(F.col("cols"), keys).isNull()).alias("malformed"))
 
@@ -41,7 +41,7 @@ def diff_concentration(results: DataFrame, most: int = 30) -> DataFrame:
     return out.select("pair_id", "rank", "col", "n", (F.col("n") * 100.0 / F.col("rows")).alias("percent"))
 
 
-def duplicate_keys(data: DataFrame, keys: list[int] | None) -> DataFrame:
+def duplicate_keys(data: DataFrame, keys: list[int] | Column | None) -> DataFrame:
     """``pair_id, duplicates``: records beyond the first of their key."""
     n = data.select("pair_id", key_of(F.col("cols"), keys).alias("key")).where("key is not null").groupBy("pair_id", "key").agg(F.count("*").alias("n"))
     return n.groupBy("pair_id").agg(F.sum(F.col("n") - 1).alias("duplicates"))

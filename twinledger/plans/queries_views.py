@@ -261,7 +261,7 @@ def export_diff_records(spark, sf_dir):
 
 @query(f"WITH {CELLS} SELECT key, CAST(col + 1 AS INTEGER) AS no, [{', '.join(f"'{n}'" for n in NAMES)}][col + 1] AS name, a, b FROM cells")
 def export_diff_fields(spark, sf_dir):
-    return export.export_diff_fields(order_results(spark, sf_dir), NAMES).drop("pair_id", "seq")
+    return export.export_diff_fields(order_results(spark, sf_dir), NAMES).drop("pair_id", "seq", "label")
 
 
 @query(f"""WITH {RESULTS}, x AS (SELECT key, status, ac, bc, unnest(CASE WHEN status = 'diff' THEN diff ELSE [-1] END) AS i FROM res WHERE status <> 'equal')
@@ -270,7 +270,7 @@ def export_diff_fields(spark, sf_dir):
     '20260231' AS date, '#DATE' AS wildcard, 'txt' AS extension, 'ORD' AS nickname, 'team 1' AS team, 'CTS' AS type FROM x""")
 def export_cases(spark, sf_dir):
     pairs = spark.createDataFrame([("orders", "b1", 1, "ORD", "orders_#DATE_.txt", "orders_20260231_20269999", "orders.txt", "team 1", "CTS")], "pair_id string, batch string, round int, nickname string, glob string, file_a string, file_b string, team string, type string")
-    return export.export_cases(order_results(spark, sf_dir), pairs).drop("pair_id", "seq", "batch", "round")
+    return export.export_cases(order_results(spark, sf_dir), pairs).drop("pair_id", "seq", "batch", "round", "column")
 
 
 @query(f"WITH {PAIR} SELECT seq, CAST((row_number() OVER (ORDER BY seq) - 1) // 20000 AS INTEGER) AS part FROM b")

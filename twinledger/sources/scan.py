@@ -53,19 +53,23 @@ def decode_text(data: Column, encoding: str) -> Column:
     return F.decode(data, CHARSETS[encoding.lower()])
 
 
-def scan_delimited(lines: DataFrame, delim: str = " | ", trailer_prefix: str = "|||||") -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_delimited(
+    lines: DataFrame, delim: str | Column = " | ", trailer_prefix: str | Column = "|||||", keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, trailer and statistics of delimited files.
 
     ``lines`` has ``pair_id, seq, value``.  The first line that starts with the prefix opens the trailer, and every
     later line belongs to it.  Returns data ``pair_id, seq, cols``; trailer ``pair_id, seq, key, value, meta``; statistics
-    ``pair_id, data_rows, trailer_rows, blank_lines`` for each pair.
+    ``pair_id, data_rows, trailer_rows, blank_lines`` for each pair.  Delimiter and prefix are texts, or columns of ``lines``, so
+    that files of several kinds are read together; the data keep the columns in ``keep``.
     """
-    opens = F.startswith("value", F.lit(trailer_prefix))
+    prefix = F.lit(trailer_prefix) if isinstance(trailer_prefix, str) else trailer_prefix
+    opens = F.startswith("value", prefix) & (F.length(prefix) > 0)
     starts = lines.groupBy("pair_id").agg(F.min(F.when(opens, F.col("seq"))).alias("__start"))
     marked = lines.join(starts, "pair_id").withColumn("__trailer", F.coalesce(F.col("seq") >= F.col("__start"), F.lit(False)))
     blank = F.col("value").isNull() | is_blank(F.col("value"))
-    data = marked.where(~F.col("__trailer") & ~blank).select("pair_id", "seq", split_columns(F.col("value"), delim).alias("cols"))
-    body = F.when(opens, F.substring("value", len(trailer_prefix) + 1, 2**30)).otherwise(F.col("value"))
+    data = marked.where(~F.col("__trailer") & ~blank).select("pair_id", "seq", split_columns(F.col("value"), delim).alias("cols"), *keep)
+    body = F.when(opens, F.substring("value", F.length(prefix) + 1, F.lit(2**30))).otherwise(F.col("value"))
     at = F.instr(body, "=")
     key = F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(body)
     value = F.when(at > 0, F.substring(body, at + 1, F.length(body))).otherwise("")
