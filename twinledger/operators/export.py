@@ -149,18 +149,21 @@ def case_table(cases: DataFrame) -> DataFrame:
     return cases.select(*[(F.coalesce(F.col(filled[c]).cast("string"), F.lit("")) if c in filled else F.lit("")).alias(c) for c in CASE_COLUMNS])
 
 
-def export_parts(rows: DataFrame, *order: str, size: int = PART) -> DataFrame:
-    """``rows`` with ``part``: a new one every ``size`` rows of a pair, in order.
+def export_parts(rows: DataFrame, *order: str, size: int = PART, begins: Column | None = None) -> DataFrame:
+    """``rows`` with ``part``: a new one every ``size`` records of a pair, in order.
 
-    Places are counted in ranges: each range of rows counts its own, and starts where the ranges before it end.
+    Every row is a record, or those where ``begins`` holds begin one and the rows behind it belong to it.  Places are counted in
+    ranges: each range of rows counts its own, and starts where the ranges before it end.
     """
     # the ranges are written once, so that both uses see the same
-    cut = settle(rows.repartitionByRange("pair_id", *order).withColumn("__part", F.spark_partition_id()))
-    counts = cut.groupBy("pair_id", "__part").agg(F.count("*").alias("__n"))
+    one = F.lit(1) if begins is None else begins.cast("int")
+    cut = settle(rows.withColumn("__one", one).repartitionByRange("pair_id", *order).withColumn("__part", F.spark_partition_id()))
+    counts = cut.groupBy("pair_id", "__part").agg(F.sum("__one").alias("__n"))
     ahead = Window.partitionBy("pair_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("pair_id", "__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
-    place = F.row_number().over(Window.partitionBy("pair_id", "__part").orderBy(*order)) - 1 + F.col("__start")
-    return cut.join(starts, ["pair_id", "__part"]).withColumn("part", F.floor(place / size).cast("int")).drop("__part", "__start")
+    upto = Window.partitionBy("pair_id", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.sum("__one").over(upto) - 1 + F.col("__start")
+    return cut.join(starts, ["pair_id", "__part"]).withColumn("part", F.floor(place / size).cast("int")).drop("__part", "__start", "__one")
 
 
 def write_csv(rows: DataFrame, path: str, header: list[str]) -> None:

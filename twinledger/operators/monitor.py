@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +32,49 @@ def load_monitor_fields(rows: DataFrame) -> DataFrame:
 def monitor_values(data: DataFrame, fields: DataFrame, cap: int = 1000) -> DataFrame:
     """``pair_id, col, values, truncated``: distinct stripped values of columns, in the order of their first appearance.
 
-    ``fields`` has ``pair_id, col``.  A missing column counts as empty.  At most ``cap`` values are listed.
+    ``fields`` has ``pair_id, col``.  A missing column counts as empty.  At most ``cap`` values are listed, and each task gives at most
+    one more of each column to the shuffle.
     """
     value = strip(F.coalesce(F.get("cols", F.col("col")), F.lit("")))
     rows = data.join(fields.select("pair_id", "col").distinct(), "pair_id").select("pair_id", "col", "seq", value.alias("value"))
-    first = rows.groupBy("pair_id", "col", "value").agg(F.min("seq").alias("first"))
-    # the values of a column are ranked where they lie first, so only cap + 1 of each task meet
+    parts = rows.mapInArrow(first_places(cap + 1), rows.schema)
+    first = parts.groupBy("pair_id", "col", "value").agg(F.min("seq").alias("first"))
     rank = F.row_number().over(Window.partitionBy("pair_id", "col").orderBy("first", "value"))
     top = first.withColumn("rank", rank).where(F.col("rank") <= cap + 1)
     listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= cap, F.struct("rank", "value")))), lambda x: x["value"])
     return top.groupBy("pair_id", "col").agg(listed.alias("values"), (F.max("rank") > cap).alias("truncated"))
 
 
+def first_places(k: int):
+    """A task's part of the first ``k`` distinct values of each column: ``pair_id, col, seq, value`` with each value's smallest place.
+
+    What is among the first k of all is among the first k of its task, so a task gives no more of each column.  Values beyond
+    are dropped on the way: one that comes again later has k others before it still.
+    """
+    import heapq
+
+    least = lambda own: heapq.nsmallest(k, own.items(), key=lambda x: (x[1], x[0].encode()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, dict[str, int]] = {}
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            # the smallest place of each value of the batch, found by Arrow
+            t = pa.Table.from_batches([batch]).group_by(["pair_id", "col", "value"]).aggregate([("seq", "min")]).to_pydict()
+            for pair, col, value, seq in zip(t["pair_id"], t["col"], t["value"], t["seq_min"], strict=True):
+                own = held.setdefault((pair, col), {})
+                if seq < own.get(value, seq + 1):
+                    own[value] = seq
+                    if len(own) > 4 * k:
+                        held[pair, col] = dict(least(own))
+        rows = [(*key, seq, value) for key, own in held.items() for value, seq in least(own)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return work
+
+
 def monitor_verdict(fields: DataFrame, values_a: DataFrame, values_b: DataFrame) -> DataFrame:
     """``fields`` (``pair_id, col, field_type``) with both sides' values, ``matched`` and its text.
 
@@ -64,3 +100,7 @@ def monitor_coverage(pairs: DataFrame, fields: DataFrame, verdicts: DataFrame) -
     """Every monitored column of every pair, also of pairs that failed or can't be monitored."""
     wanted = pairs.select("pair_id", F.lower("nickname").alias("__nick"), "state").join(fields.select(F.lower("nickname").alias("__nick"), (F.col("col_seq") - 1).alias("col"), "field_type"), "__nick")
     return wanted.drop("__nick").join(verdicts.select("pair_id", "col", "matched", "verdict"), ["pair_id", "col"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("—")))
+
+
+# tasks get this module's functions themselves, so workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

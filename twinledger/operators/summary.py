@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import key_of
+from ..sources.settle import settle
 
 
 def compare_summary(results: DataFrame, stats_a: DataFrame, stats_b: DataFrame, malformed_a: DataFrame, malformed_b: DataFrame) -> DataFrame:
@@ -47,18 +48,36 @@ def duplicate_keys(data: DataFrame, keys: list[int] | Column | None) -> DataFram
     return n.groupBy("pair_id").agg(F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-def duplicate_key_top(data: DataFrame, keys: list[int] | None, k: int = 10) -> DataFrame:
-    """``pair_id, rank, key, repeats``: the first ``k`` keys to repeat, and their records beyond the first."""
-    rows = data.select("pair_id", "seq", key_of(F.col("cols"), keys).alias("key")).where("key is not null")
-    # the two smallest places of each key: merging keeps them small, however common the key
-    n = rows.groupBy("pair_id", "key").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    again = rows.join(n.where("n > 1"), ["pair_id", "key"]).where(F.col("seq") > F.col("first"))
-    second = again.groupBy("pair_id", "key").agg(F.min("seq").alias("second"), F.count("*").alias("repeats"))
-    rank = F.row_number().over(Window.partitionBy("pair_id").orderBy("second"))
-    return second.withColumn("rank", rank).where(F.col("rank") <= k).select("pair_id", "rank", "key", "repeats")
-
+def duplicate_key_top(data: DataFrame, keys: list[int] | Column | None, k: int = 10, prefix: int = 65_536) -> DataFrame:
+    """``pair_id, rank, key, repeats``: the first ``k`` keys to repeat, and their records beyond the first.
 
-def duplicate_key_samples(a: DataFrame, b: DataFrame, keys: list[int] | None, k: int = 20) -> DataFrame:
+    A key that repeats early in a file is found in the file's beginning: places up to ``prefix`` are looked at, then 16 times as
+    many of those pairs that have fewer than ``k`` such keys there, and so on, so that all records are looked at only of a pair in which
+    hardly any key repeats.  The result is the same for any ``prefix``.  How often the keys found repeat is counted over all records.
+    """
+    rows = data.select("pair_id", "seq", key_of(F.col("cols"), keys).alias("key")).where("key is not null")
+    open_ = settle(rows.groupBy("pair_id").agg(F.max("seq").alias("last")))
+    found = None
+    while True:
+        part = rows.where(F.col("seq") < prefix).join(open_.select("pair_id"), "pair_id", "left_semi")
+        n = part.groupBy("pair_id", "key").agg(F.count("*").alias("n"), F.min("seq").alias("first")).where("n > 1")
+        again = part.join(n, ["pair_id", "key"]).where(F.col("seq") > F.col("first")).groupBy("pair_id", "key").agg(F.min("seq").alias("second"))
+        rank = F.row_number().over(Window.partitionBy("pair_id").orderBy("second"))
+        top = settle(again.withColumn("rank", rank).where(F.col("rank") <= k))
+        seen = open_.join(top.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id", "left")
+        seen = settle(seen.select("pair_id", "last", ((F.coalesce("n", F.lit(0)) >= k) | (F.col("last") < prefix)).alias("done")))
+        some = top.join(seen.where("done").select("pair_id"), "pair_id", "left_semi")
+        found = some if found is None else found.unionByName(some)
+        open_ = seen.where("not done").select("pair_id", "last")
+        if open_.isEmpty():
+            break
+        prefix *= 16
+    # at most k keys of each pair meet all records
+    counts = rows.join(found.select("pair_id", "key"), ["pair_id", "key"], "left_semi").groupBy("pair_id", "key").agg((F.count("*") - 1).alias("repeats"))
+    return found.join(counts, ["pair_id", "key"]).select("pair_id", "rank", "key", "repeats")
+
+
+def duplicate_key_samples(a: DataFrame, b: DataFrame, keys: list[int] | Column | None, k: int = 20) -> DataFrame:
     """The first ``k`` distinct keys that repeat, A's before B's: ``pair_id, rank, key``."""
     own = duplicate_key_top(a, keys, k).withColumn("side", F.lit(0)).unionByName(duplicate_key_top(b, keys, k).withColumn("side", F.lit(1)))
     first = own.groupBy("pair_id", "key").agg(F.min(F.struct("side", "rank")).alias("at"))

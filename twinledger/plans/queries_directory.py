@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cells, compare, directory, export, features, rules
+from ..sources import charset, parts, ranges, scan
 from ..sources.settle import settle
-from .pairs import RESULTS, lines_of, order_pair, table
-from .queries import dynamic_pair, joined, query
+from .pairs import RESULTS, lines_of, order_pair, scratch, table
+from .queries import dynamic_pair, joined, order_results, query
+from .queries_text import charsets
 
 # ---- dynamic columns: sub-field 1B, the date, and 1C, the priority ----
 
@@ -204,3 +206,80 @@ def directory_compare(spark, sf_dir):
 def directory_summary(spark, sf_dir):
     names = ["equal", "diff", "only_a", "only_b", "data_rows_a", "data_rows_b", "trailer_rows_a", "trailer_rows_b", "before_a", "before_b", "incremental"]
     return directory_job(spark, sf_dir).summary.select("pair_id", *names)
+
+
+# ---- files: export parts, host charsets, mixed charsets ----
+
+
+@query(f"""WITH {DYNAMIC}, d AS (SELECT key, '有差异' AS status, concat_ws(chr(10), CASE WHEN d1 THEN '[栏位不一致 @107-1B] A:''' || a1 || ''' B:''''' END, CASE WHEN d2 THEN '[栏位不一致 @107-1C] A:''' || a2 || ''' B:''' || b2 || '''' END) AS detail, seq FROM ds WHERE st = 'diff')
+  SELECT 'orders.' || printf('%05d', CAST((row_number() OVER (ORDER BY seq) - 1) // 50 AS INTEGER)) || '.csv' AS file, key, status, detail FROM d""")
+def export_files(spark, sf_dir):
+    """Differing records with cells of several lines, written in parts of 50 records and read back; a pair without any has a header alone."""
+    path = scratch(spark)
+    rows = export.export_diff_records(dynamic_results(spark, sf_dir)).where("status = '有差异'")
+    rows = export.export_parts(rows, "seq", size=50)
+    pairs = spark.createDataFrame([("orders",), ("empty/pair",)], "pair_id string")
+    parts.write_parts(rows.withColumn("line", export.csv_line(F.col("key"), F.col("status"), F.col("detail"))), path, ["键值", "状态", "差异明细"], [F.col("seq")], pairs)
+    back = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', schema="key string, status string, detail string", enforceSchema=True)
+    return back.select(F.col("_metadata.file_name").alias("file"), "key", "status", "detail")
+
+
+@query(f"""WITH {RESULTS}, cut AS (SELECT CASE WHEN status = 'diff' THEN 2 ELSE 1 END AS lines, (row_number() OVER (ORDER BY seq IS NULL, seq, al) - 1) // 1000 AS part
+    FROM res LEFT JOIN (SELECT c[1] AS key, max(seq) AS al FROM a GROUP BY 1) l USING (key)) SELECT CAST(part AS INTEGER) AS part, CAST(sum(lines) AS BIGINT) AS lines FROM cut GROUP BY 1""")
+def export_full_parts(spark, sf_dir):
+    """Lines in each part of 1,000 records: records that differ have two lines, which stay together."""
+    full = export.export_full_csv(order_results(spark, sf_dir))
+    cut = export.export_parts(full, "seq", "line", size=1000, begins=F.col("line") == 0)
+    return cut.groupBy("part").agg(F.count("*").alias("lines"))
+
+
+HOSTS = {"cp037": ("%", "CUSTOMER"), "cp1047": ("\x15", "[Kunde]"), "gb18030": ("\n", "客户")}
+
+
+def _host_files(spark, sf_dir) -> str:
+    """Files of customers in three charsets, their bytes written as they are."""
+    path = scratch(spark)
+    c = table(spark, sf_dir, "customer")
+    for name, (end, word) in HOSTS.items():
+        text = F.concat_ws(" | ", F.col("c_custkey").cast("string"), F.lit(word), "c_mktsegment")
+        raw = c.select(F.encode(text, scan.CHARSETS[name]).cast("string").alias("value"))
+        raw.repartition(2).write.option("lineSep", end).text(f"{path}/{name}")
+    return path
+
+
+@query("SELECT charset, c_custkey || ' | ' || word || ' | ' || c_mktsegment AS value FROM customer, (VALUES ('cp037', 'CUSTOMER'), ('cp1047', '[Kunde]'), ('gb18030', '客户')) t(charset, word)")
+def scan_host_charsets(spark, sf_dir):
+    with charsets(spark):
+        path = _host_files(spark, sf_dir)
+        out = None
+        for name in HOSTS:
+            some = scan.scan_lines(spark, f"{path}/{name}", name).select(F.lit(name).alias("charset"), "value")
+            out = some if out is None else out.unionByName(some)
+        return out
+
+
+@query("SELECT folder, encoding FROM (VALUES ('cp037', 'cp037'), ('cp1047', 'cp037'), ('gb18030', 'gb18030'), ('packed', 'utf-8')) t(folder, encoding) WHERE (SELECT count(*) FROM customer) > 0")
+def detect_file_encodings(spark, sf_dir):
+    """From the heads of real files, one of them an archive; nothing else of them is read.  The two host charsets tie on these texts,
+    and the first candidate wins full ties."""
+    with charsets(spark):
+        path = _host_files(spark, sf_dir)
+        table(spark, sf_dir, "customer").select(F.concat_ws(" | ", F.col("c_custkey").cast("string"), F.lit("é"), "c_name").alias("value")).write.option("compression", "gzip").text(f"{path}/packed")
+        found = charset.detect_encoding(spark, [f"{path}/{x}" for x in (*HOSTS, "packed")])
+        return found.select(F.regexp_extract("file_path", "/([a-z0-9]+)/[^/]*$", 1).alias("folder"), "encoding").distinct()
+
+
+@query("SELECT c_custkey % 3 AS file, c_custkey || ' | Ċ' || c_name || ' | 客户 | ' || CASE WHEN c_custkey % 2 = 0 THEN 'ĊĊ文' ELSE '' END AS value FROM customer")
+def read_mixed_files(spark, sf_dir):
+    """Real files with UTF-16 columns of declared length, whose characters hold line feed bytes, by ranges of 16 KiB."""
+    with charsets(spark):
+        path = scratch(spark)
+        c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+        plain = lambda x: F.encode(x, "GB18030")
+        wide = F.encode(F.rpad(F.concat(F.lit("Ċ"), "c_name"), 30, " "), "UTF-16BE")
+        extra = F.when(k % 2 == 0, F.encode(F.lit("ĊĊ文"), "UTF-16BE")).otherwise(F.encode(F.lit("   "), "UTF-16BE"))
+        sep = plain(F.lit(" | "))
+        raw = F.concat(plain(k.cast("string")), sep, wide, sep, plain(F.lit("客户")), sep, extra)
+        c.select((k % 3).alias("file"), raw.cast("string").alias("value")).repartition("file").write.partitionBy("file").text(path)
+        back = ranges.read_mixed(spark, [f"{path}/file={i}" for i in range(3)], "gb18030", " | ", {1: 30, 3: 3}, size=1 << 14)
+        return back.select(F.regexp_extract("file_path", "file=([0-9]+)/", 1).cast("long").alias("file"), "value")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import sys
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import Mixed, _Bytes, heads, listing
 from .scan import CHARSETS
 
 #: Candidates in the order that decides full ties.
@@ -24,9 +27,7 @@ def detect_encoding(spark: SparkSession, path: str, delim: str = " | ") -> DataF
     delimiters, then by the printable share; a space byte rules the host charsets out, and UTF-16 joins where every fifth
     byte is zero.  The JVM decodes, so that all candidates are those the readers know.
     """
-    head = F.substring("content", 1, HEAD)
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), head.alias("h"))
-    return choose_encoding(files, delim)
+    return choose_encoding(heads(listing(spark, path), HEAD), delim)
 
 
 def choose_encoding(files: DataFrame, delim: str = " | ") -> DataFrame:
@@ -76,49 +77,14 @@ def transcode_fields(data: DataFrame, host: str, columns: dict[int, str]) -> Dat
 
 
 def normalize_mixed_charset(files: DataFrame, charset: str, delim: str, columns: dict[int, int]) -> DataFrame:
-    """``file_path, seq, value``: lines of files in which some columns are UTF-16 inside another charset.
-
-    ``files`` has ``file_path, content``.  ``columns`` gives each such column's declared length, 0 if unknown: a cell of twice that many bytes
-    is trusted, any other is UTF-16 if its bytes don't fit the main charset and its text looks better so.  Files are whole units here,
-    because a line feed byte may be part of a character.
-    """
-    mark, codec = delim.encode(CHARSETS[charset].replace("IBM", "cp")), CHARSETS[charset].replace("IBM", "cp")
-
-    def shown(text: str) -> float:
-        return sum(c.isprintable() or c in "\t " for c in text) / max(1, len(text))
-
-    def cell(raw: bytes, size: int) -> str:
-        wide = [raw.decode(c, "replace").rstrip("\x00 　") for c in ("utf-16-be", "utf-16-le")] if len(raw) % 2 == 0 and raw else []
-        best = max(wide, key=shown, default="")
-        if wide and size and len(raw) == 2 * size:
-            return best
-        try:
-            text = raw.decode(codec)
-            dirty = any(ord(c) < 32 and c != "\t" for c in text)
-        except UnicodeDecodeError:
-            text, dirty = raw.decode(codec, "replace"), True
-        return best if wide and dirty and shown(best) > shown(text) else text
-
-    def lines(content: bytes) -> Iterator[str]:
-        at, cells, n = 0, [], 0
-        while at < len(content):
-            size = columns.get(n, -1)
-            stop = content.find(mark, at)
-            end = content.find(b"\n", at + (2 * size if size > 0 else 0))
-            end = len(content) if end < 0 else end
-            if 0 <= stop < end:
-                cells.append(cell(content[at:stop], size) if size >= 0 else content[at:stop].decode(codec, "replace"))
-                at, n = stop + len(mark), n + 1
-                continue
-            raw = content[at:end].removesuffix(b"\r") if size < 0 else content[at:end]
-            cells.append(cell(raw, size) if size >= 0 else raw.decode(codec, "replace"))
-            yield delim.join(cells)
-            at, cells, n = end + 1, [], 0
+    """``file_path, seq, value``: as ``read_mixed``, for small contents that lie in a table already (``file_path, content``).  Files are
+    read by ``read_mixed``, which never holds one."""
+    mixed = Mixed(files.sparkSession, charset, delim, columns)
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["file_path"], part["content"], strict=True):
-                out = list(lines(bytes(content)))
+                out = list(mixed.lines(_Bytes(bytes(content), 0), 0, 1 << 62))
                 yield pd.DataFrame({"file_path": path, "seq": range(len(out)), "value": out})
 
     return files.select("file_path", "content").mapInPandas(work, "file_path string, seq long, value string")
@@ -137,3 +103,7 @@ def unzip(files: DataFrame) -> DataFrame:
             yield part.assign(content=[one(bytes(c)) for c in part["content"]])
 
     return files.select("file_path", "content").mapInPandas(work, "file_path string, content binary")
+
+
+# tasks get this module's functions themselves, so workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -29,23 +29,44 @@ def number_lines(lines: DataFrame, by: list[str], block: str, place: str, name:
     return numbered.join(starts, [*by, block]).withColumn(name, (F.col("__row") + F.col("__start")).cast("long")).drop("__row", "__start")
 
 
+#: The bytes that end lines in host charsets; in the first two both do.
+HOST_ENDS = {"IBM037": (0x15, 0x25), "IBM500": (0x15, 0x25), "IBM1047": (0x15,)}
+
+
+def _host_end(spark: SparkSession, path: str | list[str], charset: str) -> str:
+    """The byte that ends most lines in the beginnings of host files."""
+    from .ranges import heads, listing
+
+    ends = HOST_ENDS[charset]
+    if len(ends) == 1:
+        return chr(ends[0])
+    hexed = F.regexp_replace(F.hex("h"), "(..)", "$1 ")
+    counts = heads(listing(spark, path), 65_536).agg(*[F.sum(F.regexp_count(hexed, F.lit(f"{b:02X} "))) for b in ends]).first()
+    return chr(max(zip(ends, counts, strict=True), key=lambda x: x[1] or 0)[0])
+
+
 def scan_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
     """``file_path, seq, value``: the lines of text files, numbered from 0 in file order.
 
-    Any of the usual line ends; a byte order mark goes; bytes that the charset doesn't know are replaced.
+    Any of the usual line ends; a byte order mark goes; bytes that the charset doesn't know are replaced.  Host files are cut at
+    the byte that ends most lines of their beginnings, and at other line ends where they are decoded.
     For charsets other than UTF-8 the session needs ``SETTINGS``.
     """
     charset = CHARSETS[encoding.lower()]
-    reader = spark.read
-    if charset.startswith("IBM"):
-        reader = reader.option("lineSep", "\n").option("encoding", charset)
+    reader, host = spark.read, charset in HOST_ENDS
+    if host:
+        reader = reader.option("lineSep", _host_end(spark, path, charset))
     lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__place"), "value"
     )
     if charset != "UTF-8":
         lines = lines.withColumn("value", decode_text(F.col("value").cast("binary"), encoding))
+    if host:
+        pieces = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r\n|\n", -1)
+        lines = lines.select("file_path", "__block", "__place", F.posexplode(pieces).alias("__i", "value"))
+        lines = lines.withColumn("__place", F.struct("__place", "__i")).drop("__i")
     lines = number_lines(lines, ["file_path"], "__block", "__place")
-    value = F.when(F.col("seq") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))
+    value = F.when(F.col("seq") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
     return lines.select("file_path", "seq", F.regexp_replace(value, r"\r$", "").alias("value"))
 
 
