@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import nth_occurrence, running_sum
+from ..functions.ordered import last_before, nth_occurrence, running_sum
 from ..functions.strings import UNIT, diff_columns, is_blank, pipe_label_like, quoted, strip
 from ..sources.settle import settle
 
@@ -96,6 +96,35 @@ def blank_run(template: list[str], least: int = 5) -> tuple[int, int] | None:
     return None
 
 
+def blocks_apart(found: DataFrame) -> DataFrame:
+    """The blocks that stay of ``pair_id, p, h``, each of the ``h`` lines that end at ``p``: in order, one that overlaps the last that stays goes.
+
+    Where a block is clear of the one before it, the choice begins anew, so only runs of overlapping blocks need it.  In a run each
+    block points at the first behind it that is clear of it, and the blocks that are reached from the run's first one stay.  They are
+    found by doubling the pointers: as many rounds as the logarithm of the longest run, and nothing of a report in one row.
+    """
+    before = last_before(found.withColumn("q", F.col("p")), ["pair_id"], "p", F.col("q"), "prev").drop("q")
+    marked = running_sum(before, ["pair_id"], "p", F.when(F.coalesce(F.col("p") - F.col("h") >= F.col("prev"), F.lit(True)), 1).otherwise(0), "run")
+    marked = settle(marked)
+    first = F.coalesce(F.col("p") - F.col("h") >= F.col("prev"), F.lit(True))
+    close = marked.where(~first).select("pair_id", "run").distinct()
+    reached = marked.where(first).select("pair_id", "p", "h")
+    if close.isEmpty():
+        return reached
+    some = settle(marked.join(close, ["pair_id", "run"], "left_semi").select("pair_id", "run", "p", "h"))
+    # the first block at or behind p + h: places run backwards, and a block stands before the question at its place
+    blocks = some.select("pair_id", "run", "p", (-(F.col("p") * 2 + 1)).alias("at"), F.struct("run", "p").alias("block"))
+    asked = some.select("pair_id", "run", "p", (-((F.col("p") + F.col("h")) * 2)).alias("at"), F.lit(None).cast(blocks.schema["block"].dataType).alias("block"))
+    seen = last_before(blocks.unionByName(asked), ["pair_id"], "at", F.col("block"), "next").where("block is null and next.run = run")
+    jump = settle(seen.select("pair_id", "p", F.col("next.p").alias("to")))
+    on = settle(some.join(marked.where(first).select("pair_id", "p"), ["pair_id", "p"], "left_semi").select("pair_id", "p"))
+    while not jump.isEmpty():
+        on = settle(on.unionByName(on.join(jump, ["pair_id", "p"]).select("pair_id", F.col("to").alias("p"))).distinct())
+        further = jump.select("pair_id", F.col("p").alias("to"), F.col("to").alias("then"))
+        jump = settle(jump.join(further, ["pair_id", "to"]).select("pair_id", "p", F.col("then").alias("to")))
+    return reached.unionByName(some.join(on, ["pair_id", "p"], "left_semi").select("pair_id", "p", "h")).distinct()
+
+
 def scan_report_template(lines: DataFrame, template: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reports cut by a template.
 
@@ -143,11 +172,9 @@ def scan_report_template(lines: DataFrame, template: list[str]) -> tuple[DataFra
     loose = lines.where("h > 0").join(exact.select("pair_id").distinct(), "pair_id", "left_anti")
     placed = loose.withColumn("start", F.explode(hint)).where(F.get(fits, (F.col("seq") - F.col("start")).cast("int")))
     whole = placed.groupBy("pair_id", "start", "h").agg(F.count("*").alias("n")).where("n = h and start >= 0").select("pair_id", (F.col("start") + F.col("h") - 1).alias("p"))
-    found = exact.unionByName(whole).groupBy("pair_id").agg(F.array_sort(F.collect_list("p")).alias("ps")).join(heads, "pair_id")
-    # of overlapping blocks the first stays
-    kept = F.aggregate("ps", F.array().cast("array<bigint>"), lambda acc, p: F.when((F.size(acc) == 0) | (p - F.col("h") >= F.try_element_at(acc, F.lit(-1))), F.concat(acc, F.array(p))).otherwise(acc))
-    found = settle(found.withColumn("kept", kept))
-    starts = found.select("pair_id", F.explode("kept").alias("p"), "h").select("pair_id", (F.col("p") - F.col("h") + 1).alias("seq"), F.lit(1).alias("opens"))
+    found = settle(exact.unionByName(whole).distinct().join(heads, "pair_id"))
+    kept = blocks_apart(found)
+    starts = kept.select("pair_id", (F.col("p") - F.col("h") + 1).alias("seq"), F.lit(1).alias("opens"))
     lines = running_sum(lines.join(starts, ["pair_id", "seq"], "left"), ["pair_id"], "seq", F.coalesce("opens", F.lit(0)), "section")
     lines = settle(lines.withColumn("section", F.col("section") - 1))
     first = lines.where("section >= 0").groupBy("pair_id", "section").agg(F.min("seq").alias("block_start"), F.max(F.when(~is_blank(F.col("value")), F.col("seq"))).alias("end"))
@@ -174,8 +201,9 @@ def scan_report_template(lines: DataFrame, template: list[str]) -> tuple[DataFra
     rows = _rows(body.where(~in_foot).select(cols).unionByName(stray.select(cols)))
     warn = lambda d, text: d.select("pair_id", F.lit(0).alias("section"), F.lit(text).alias("warning"))
     warnings = warn(heads.where("h = 0"), "no header line of the template is in the report: all lines are rows")
-    warnings = warnings.unionByName(warn(heads.where("h > 0").join(found.select("pair_id"), "pair_id", "left_anti"), "no section found: all lines are rows"))
-    warnings = warnings.unionByName(warn(found.where(F.size("ps") > F.size("kept")), "overlapping header blocks left out"))
+    warnings = warnings.unionByName(warn(heads.where("h > 0").join(found.select("pair_id").distinct(), "pair_id", "left_anti"), "no section found: all lines are rows"))
+    left_out = found.join(kept.select("pair_id", "p"), ["pair_id", "p"], "left_anti").select("pair_id").distinct()
+    warnings = warnings.unionByName(warn(left_out, "overlapping header blocks left out"))
     return rows, blocks.select("pair_id", "section", "kind", "signature", "lines"), warnings
 
 

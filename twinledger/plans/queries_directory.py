@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cells, compare, directory, export, features, rules
+from ..operators import cells, compare, directory, export, features, rules, segments
 from ..sources import charset, parts, ranges, scan
 from ..sources.settle import settle
 from .pairs import RESULTS, lines_of, order_pair, scratch, table
 from .queries import dynamic_pair, joined, order_results, query
-from .queries_text import charsets
+from .queries_text import CHATS, charsets, chat_lines
 
 # ---- dynamic columns: sub-field 1B, the date, and 1C, the priority ----
 
@@ -283,3 +283,31 @@ def read_mixed_files(spark, sf_dir):
         c.select((k % 3).alias("file"), raw.cast("string").alias("value")).repartition("file").write.partitionBy("file").text(path)
         back = ranges.read_mixed(spark, [f"{path}/file={i}" for i in range(3)], "gb18030", " | ", {1: 30, 3: 3}, size=1 << 14)
         return back.select(F.regexp_extract("file_path", "file=([0-9]+)/", 1).cast("long").alias("file"), "value")
+
+
+# ---- segments that no row holds ----
+
+
+def _chats_in_lines(spark, sf_dir):
+    """Conversations by number; every fifth text is without keys."""
+    sides = []
+    for changed in (False, True):
+        heads, lines, _ = segments.segment_lines(chat_lines(spark, sf_dir, changed), "^##", None, r"^##([0-9]+)")
+        sides.append((heads.withColumn("key", F.when(F.col("key").cast("long") % 5 != 0, F.col("key"))), lines))
+    return segments.compare_segment_lines(*sides)
+
+
+LINES_APART = f"""{CHATS}, s AS (SELECT conv_id, sa.l AS a, sb.l AS b FROM sa LEFT JOIN sb USING (conv_id)),
+k AS (SELECT *, conv_id % 5 <> 0 AS keyed, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id AS VARCHAR) ELSE '##' || conv_id || ' @' || (conv_id * 100000 + 1) END AS key FROM s),
+e AS (SELECT key, CASE WHEN b IS NULL THEN 'unmatched_a' WHEN a = b THEN 'equal' ELSE 'diff' END AS status, a, b FROM k WHERE keyed OR a = b
+  UNION ALL SELECT key, 'unmatched_a', a, NULL FROM k WHERE NOT keyed AND (b IS NULL OR a <> b) UNION ALL SELECT key, 'unmatched_b', NULL, b FROM k WHERE NOT keyed AND a <> b)"""
+
+
+@query(f"WITH {LINES_APART} SELECT key, status, CAST(len(a) AS BIGINT) AS n_a, CAST(len(b) AS BIGINT) AS n_b, CASE status WHEN 'diff' THEN CAST(len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS BIGINT) ELSE 0 END AS n_diff FROM e")
+def segment_compare_by_print(spark, sf_dir):
+    return _chats_in_lines(spark, sf_dir)[0].select("key", "status", "n_a", "n_b", "n_diff")
+
+
+@query(f"WITH {LINES_APART}, d AS (SELECT *, unnest(range(1, greatest(coalesce(len(a), 0), coalesce(len(b), 0)) + 1)) AS line_no FROM e WHERE status <> 'equal') SELECT key, status, line_no, a[line_no] AS a, b[line_no] AS b FROM d WHERE a[line_no] IS DISTINCT FROM b[line_no]")
+def segment_lines_apart(spark, sf_dir):
+    return _chats_in_lines(spark, sf_dir)[1].select("key", "status", "line_no", "a", "b")
