@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import glob_match, is_blank
+from ..functions.strings import is_blank
+from ..sources.settle import settle
+from .patterns import fitting
 
 
 def stem(name: Column) -> Column:
@@ -15,17 +17,17 @@ def stem(name: Column) -> Column:
 def pair_files(files_a: DataFrame, files_b: DataFrame, rules: DataFrame) -> DataFrame:
     """``name, path_a, path_b`` and the rule's columns for every name that both sides have and a rule's ``glob`` fits.
 
-    Files have ``name, path``.  Names meet in an equi-join; the rules, few and small, are matched as patterns.
+    Files have ``name, path``.  Names meet in an equi-join, and the rules' patterns by their index.
     """
     both = files_a.select("name", F.col("path").alias("path_a")).join(files_b.select("name", F.col("path").alias("path_b")), "name")
-    return both.join(rules, glob_match(F.col("name"), F.col("glob")))
+    return fitting(both, rules, "name", "glob")
 
 
 def unpaired_files(files_a: DataFrame, files_b: DataFrame, rules: DataFrame) -> DataFrame:
     """``kind, name``: files of one side alone, paired files without a rule, and rules that paired nothing."""
     a, b = files_a.select("name").distinct(), files_b.select("name").distinct()
     both = a.join(b, "name")
-    fits = both.join(rules, glob_match(F.col("name"), F.col("glob")))
+    fits = settle(fitting(both, rules, "name", "glob"))
     kind = lambda d, k: d.select(F.lit(k).alias("kind"), "name")
     out = kind(a.join(b, "name", "left_anti"), "only_a").unionByName(kind(b.join(a, "name", "left_anti"), "only_b"))
     out = out.unionByName(kind(both.join(fits.select("name").distinct(), "name", "left_anti"), "no_rule"))
@@ -55,11 +57,9 @@ def file_to_report(files: DataFrame, types: DataFrame, wide: bool = True) -> Dat
     if wide:
         rest = low.join(exact.select("name").distinct(), "name", "left_anti")
         loose = t.where(F.col("__p").rlike(r"[*?#]"))
-        tier = (
-            F.when(F.contains("__p", F.lit("#")), F.when(glob_match(F.col("__n"), F.col("__p")), 4))
-            .when(glob_match(F.col("__n"), F.col("__p")), 2).when(glob_match(F.col("__s"), stem(F.col("__p"))), 3)
-        )
-        found = exact.unionByName(rest.join(loose, F.regexp_like(F.substring(F.col("__n"), 1, 1), F.lit("(?s).*")) & tier.isNotNull()).withColumn("tier", tier))
+        tiers = [(rest, loose, F.when(F.contains("__p", F.lit("#")), 4).otherwise(2)), (rest.withColumn("__n", F.col("__s")), loose.where(~F.contains("__p", F.lit("#"))).withColumn("__p", stem(F.col("__p"))), F.lit(3))]
+        for names, marks, tier in tiers:
+            found = found.unionByName(fitting(names, marks, "__n", "__p").withColumn("tier", tier))
     return found.groupBy("name").agg(F.min_by("report_id", F.struct("tier", "import_order")).alias("report_id"))
 
 

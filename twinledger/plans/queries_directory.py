@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cells, compare, directory, export, features, rules, segments
-from ..sources import charset, parts, ranges, scan
+from ..sources import charset, pages, parts, ranges, scan
 from ..sources.settle import settle
 from .pairs import RESULTS, lines_of, order_pair, scratch, table
 from .queries import dynamic_pair, joined, order_results, query
@@ -311,3 +311,28 @@ def segment_compare_by_print(spark, sf_dir):
 @query(f"WITH {LINES_APART}, d AS (SELECT *, unnest(range(1, greatest(coalesce(len(a), 0), coalesce(len(b), 0)) + 1)) AS line_no FROM e WHERE status <> 'equal') SELECT key, status, line_no, a[line_no] AS a, b[line_no] AS b FROM d WHERE a[line_no] IS DISTINCT FROM b[line_no]")
 def segment_lines_apart(spark, sf_dir):
     return _chats_in_lines(spark, sf_dir)[1].select("key", "status", "line_no", "a", "b")
+
+
+# ---- pages of written results, and patterns without number ----
+
+
+@query(f"WITH {RESULTS} SELECT key, status, (SELECT count(*) FROM res WHERE status = 'diff') AS total FROM res WHERE status = 'diff' ORDER BY seq LIMIT 50 OFFSET 120")
+def read_page(spark, sf_dir):
+    """A page is the feature here: it is read from the files that it spans."""
+    path = scratch(spark)
+    pages.write_paged(order_results(spark, sf_dir).withColumn("seq", F.struct("seq.part", "seq.seq")), path)
+    return pages.read_page(spark, path, "orders", 120, 50, "diff").select("key", "status", "total")
+
+
+@query("SELECT o.o_orderkey AS k, c.c_custkey AS pattern FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND (c.c_custkey % 3 <> 1 OR o.o_orderkey >= 1000)")
+def fitting_patterns(spark, sf_dir):
+    """File names of all orders against a pattern for each customer: with stars, with single characters, with a place holder."""
+    from ..operators import patterns
+
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    id_ = F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    names = o.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("ORD_"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.lit("_"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.when(F.col("o_orderkey") < 1000, ".dat").otherwise(".txt")).alias("name"))
+    kind = F.col("c_custkey") % 3
+    text = F.when(kind == 0, F.concat(F.lit("*_"), id_, F.lit("_*"))).when(kind == 1, F.concat(F.lit("ord_"), id_, F.lit("_??????????.TXT"))).otherwise(F.concat(F.lit("ORD#X"), id_, F.lit("_#SEQ.*")))
+    text = F.when(kind == 2, F.concat(F.lit("ord_"), id_, F.lit("_#SEQ"))).otherwise(text)
+    return patterns.fitting(names, c.select(F.col("c_custkey").alias("pattern"), text.alias("glob")), "name", "glob").select("k", "pattern")

@@ -46,28 +46,35 @@ class _Bytes:
         self.file, self.piece = BytesIO(path) if isinstance(path, bytes) else _open(path), piece
         self.packed = zlib.decompressobj(31) if self.file.read(2) == b"\x1f\x8b" else None
         self.file.seek(0 if self.packed else start)
-        self.at, self.held, self.done = 0 if self.packed else start, bytearray(), False
+        self.at, self.held, self.done, self.rest = 0 if self.packed else start, bytearray(), False, b""
 
     def more(self) -> bool:
         """Read a piece; false at the end."""
-        while not self.done:
-            raw = self.file.read(self.piece)
-            if not self.packed:
-                self.done = not raw
-                self.held += raw
-                return bool(raw)
-            try:
-                got = self.packed.decompress(self.packed.unconsumed_tail + raw, self.piece)
-                while self.packed.eof and self.packed.unused_data[:2] == b"\x1f\x8b" and not got:
-                    rest, self.packed = self.packed.unused_data, zlib.decompressobj(31)
-                    got = self.packed.decompress(rest, self.piece)
-            except zlib.error:
-                got, raw = b"", b""
-            self.held += got
-            if got:
-                return True
-            self.done = not raw and not self.packed.unconsumed_tail
-        return False
+        if self.done:
+            return False
+        got = self.file.read(self.piece) if not self.packed else self._unpacked()
+        self.done = not got
+        self.held += got
+        return bool(got)
+
+    def _unpacked(self) -> bytes:
+        """The next piece of an archive, which may have several members; what is no member ends it."""
+        try:
+            while True:
+                self.rest = self.rest or self.file.read(self.piece)
+                if not self.rest:
+                    return b"" if self.packed.eof else self.packed.flush()
+                if self.packed.eof:
+                    self.rest += self.file.read(self.piece) if len(self.rest) < 2 else b""
+                    if self.rest[:2] != b"\x1f\x8b":
+                        return b""
+                    self.packed = zlib.decompressobj(31)
+                got = self.packed.decompress(self.rest, self.piece)
+                self.rest = self.packed.unused_data if self.packed.eof else self.packed.unconsumed_tail
+                if got:
+                    return got
+        except zlib.error:
+            return b""
 
     def find(self, what: bytes, at: int) -> int:
         """The place of the next ``what``, or -1."""
