@@ -275,6 +275,11 @@ def opcodes(pairs: list[tuple[str, str]], most: int = 40_000) -> list[list[dict]
     return [_spans(t) for t in tags]
 
 
+def _opcodes(a: str, b: str, most: int = 40_000) -> list[dict]:
+    """The spans of one pair."""
+    return opcodes([(a, b)], most)[0]
+
+
 def cell_diff_spans(results: DataFrame, most: int = 40_000) -> DataFrame:
     """``pair_id, col, a, b, n, spans``: how each different pair of cell values differs, and how often it occurs.
 
