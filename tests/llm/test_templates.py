@@ -1,6 +1,7 @@
 import html as H
 import re
 
+from twinledger.llm import templates
 from twinledger.llm.templates import Page, extract
 
 SCHEMA = "page_id long, url string, html string, n_chars string"
@@ -87,3 +88,20 @@ def test_large_host_with_many_layouts(spark):
     # eight layouts, each with its own menu on an eighth of the host's pages, and no article
     rows = [(i, f"http://a.example.com/{i}", f"<body><div><p>Menu {i % 8}</p></div><div><p>Story {i}</p></div></body>", "x") for i in range(960)]
     assert all(r.text == f"Story {r.page_id}" for r in extract(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_weak_marks_and_counted_blocks(spark):
+    for mark in "reader-comments userComments comment_thread cookie-law-info ad-label subscribe-now share-this author-sidebar mobile-menu-toggle related-stories".split():
+        page = templates.Page(f'<article><h1>Title here</h1><p>Some text.</p><div class="{mark}"><p>BAD</p></div></article>')
+        assert page.main_text(set()) == "Title here\nSome text."
+    for mark in ("has-comments", "no-sidebar", "story-share-body", "content-with-sidebar"):
+        # a box around the article, and one that holds most of it
+        assert templates.Page(f'<div class="{mark}"><article><p>The text of this page.</p></article></div>').main_text(set()) == "The text of this page."
+        assert templates.Page(f'<article><div class="{mark}"><p>The text of this page.</p></div><p>end</p></article>').main_text(set()) == "The text of this page.\nend"
+    # no name and no mark tells these blocks apart: only how often they occur on the host
+    page = lambda i: f"<article><p>Own text {i}.</p><div><p>Read more on our site.</p></div><p>Printed with care.</p><p>Rare {i % 9}.</p></article>"
+    rows = [(i, f"http://a.net/{i}", page(i)) for i in range(30)] + [(100 + i, f"http://b.net/{i}", page(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own text {i}.\nRare {i % 9}." for i in range(30))
+    # few pages: the container goes, the article's own text blocks stay
+    assert all(got[100 + i] == f"Own text {i}.\nPrinted with care.\nRare {i % 9}." for i in range(8))

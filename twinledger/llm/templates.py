@@ -5,8 +5,11 @@ hash.  Subtrees that recur across many pages of their host are its template and
 left of the page outside menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles is its text.  Inside a page's article only containers can be template: a
 paragraph, a heading or an item there is text however often it recurs, and so is what stands in
-inline elements, unless their names or marks say otherwise.  Of a header inside an article
+inline elements, unless their names or marks say otherwise, or unless it recurs on most of many pages of the host.  Of a header inside an article
 only the headings stay.
+
+A mark that only has one of the words among others (``reader-comments``) is weaker: such an element is left out if it
+holds less than half of the text that the page has otherwise, so no article is lost to the name of a box around it.
 """
 
 from __future__ import annotations
@@ -51,6 +54,12 @@ JOINS = frozenset(
     "article area bar block bottom box button buttons card column container content form global header holder icon icons inner item items left link links list main "
     "media message page panel post posts primary right section secondary site slot top unit wrap wrapper".split()
 )
+#: One of these words among others of a class, id or role is a weak mark, unless a word before it says that the page has or lacks it.
+WEAK_WORDS = frozenset(
+    "advert adverts advertisement ad ads breadcrumb breadcrumbs comment comments consent cookie cookies disqus menu navbar navigation newsletter pagination popup promo related "
+    "share sharing sidebar sponsored subscribe toolbar".split()
+)
+SAYS = frozenset("has have is no not with without hide hidden show enable enabled disable disabled".split())
 COMMENTS = frozenset("comment comments commentlist disqus reply respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts into which the pages of a host are dealt.
@@ -72,13 +81,23 @@ def marked(mark: str) -> set[str]:
     return out
 
 
+def weakly_marked(mark: str) -> bool:
+    """Whether a class, id or role has one of the words among others."""
+    for token in mark.split():
+        parts = [p.lower() for p in _PART.findall(token)]
+        if any(p in WEAK_WORDS and not SAYS.intersection(parts[:k]) for k, p in enumerate(parts)):
+            return True
+    return False
+
+
 class Frame:
     """An open element: what of it is left out (``dropped`` for good, ``soft`` by its marks only), and where it stands."""
 
-    __slots__ = ("name", "dropped", "soft", "comments", "outer", "byline", "article", "main", "inline", "depth", "content", "first", "mark")
+    __slots__ = ("name", "dropped", "soft", "comments", "outer", "byline", "article", "main", "inline", "depth", "content", "first", "mark", "weak")
 
     def __init__(self, name: str, above: Frame | None, first: int, mark: str):
         self.name, self.first, self.mark, self.inline, self.depth = name, first, mark, False, 0
+        self.weak = False
         self.content: list[str] = []
         for k in ("dropped", "soft", "comments", "outer", "byline", "article", "main"):
             setattr(self, k, bool(above and getattr(above, k)))
@@ -88,13 +107,15 @@ class Page:
     """Blocks of a page and the hashed subtrees around them.
 
     ``blocks`` has (text, left out, in article, in main, outer): outer is what stands in an article or main element inside an
-    element that its marks leave out.  ``subtrees`` has (hash, first block, end, text container inside an
-    article or any block element outside).
+    element that its marks leave out.  ``subtrees`` has (hash, first block, end) of containers inside an article and of any block
+    element outside; ``texts`` those of an article's text blocks, ``weak`` the first block and end of weakly marked elements.
     """
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, bool, bool, bool, bool]] = []
         self.subtrees: list[tuple[int, int, int]] = []
+        self.texts: list[tuple[int, int, int]] = []
+        self.weak: list[tuple[int, int]] = []
         self._text: list[str] = []
         self._stack = [Frame("", None, 0, "")]
         at, n = 0, len(html)
@@ -183,6 +204,7 @@ class Page:
             f.soft, f.outer = False, True  # it may be what the page is about, if nothing else is
         f.dropped |= name in DROP or hidden or (name == "header" and not f.article)
         f.soft |= bool(words)
+        f.weak = bool(mark) and not words and name not in ("html", "body", "main", "article") and weakly_marked(mark)
         f.comments |= bool(words & COMMENTS)
         f.byline = name not in HEADINGS and (f.byline or (name == "header" and f.article))
         gone = f.dropped or f.soft
@@ -220,33 +242,48 @@ class Page:
         known = "\x1f".join((f.name, f.mark, *f.content))
         digest = xxhash.xxh64_intdigest(known.encode("utf-8", "surrogatepass"))
         top.content.append(f"{digest:x}")
-        if f.content and f.name not in ("html", "body", "head", "main", "article") and not (f.article and f.name in TEXT_BLOCKS):
-            self.subtrees.append((digest - (1 << 63), f.first, len(self.blocks)))
+        if f.weak and f.first < len(self.blocks):
+            self.weak.append((f.first, len(self.blocks)))
+        if f.content and f.name not in ("html", "body", "head", "main", "article"):
+            # a hash's last bit says which of the two it is
+            inside = f.article and f.name in TEXT_BLOCKS
+            (self.texts if inside else self.subtrees).append(((digest | 1 if inside else digest & ~1) - (1 << 63), f.first, len(self.blocks)))
 
     def hashes(self) -> list[int]:
-        return list(dict.fromkeys(h for h, _, _ in self.subtrees))
+        return list(dict.fromkeys(h for h, _, _ in [*self.subtrees, *self.texts]))
 
     def main_text(self, template: set[int]) -> str:
         gone = set()
-        for h, first, end in self.subtrees:
+        for h, first, end in [*self.subtrees, *self.texts]:
             if h in template:
                 gone.update(range(first, end))
-        left = [b for i, b in enumerate(self.blocks) if i not in gone and not b[1]]
-        for place, outer in ((2, False), (3, False), (2, True), (3, True)):  # an article, else a main element, else the whole page
+        chosen = self._chosen(gone)
+        # weakly marked elements go, the smallest first, while each holds less than half of what would stay without it
+        for first, end in sorted(self.weak, key=lambda x: x[1] - x[0]):
+            inside = sum(len(self.blocks[i][0]) for i in range(first, end) if i in chosen)
+            if inside and 2 * inside < sum(len(self.blocks[i][0]) for i in chosen):
+                chosen.difference_update(range(first, end))
+        return "\n".join(self.blocks[i][0] for i in sorted(chosen))
+
+    def _chosen(self, gone: set[int]) -> set[int]:
+        """The blocks of the page's article, else of its main element, else of the whole page."""
+        left = [(i, b) for i, b in enumerate(self.blocks) if i not in gone and not b[1]]
+        for place, outer in ((2, False), (3, False), (2, True), (3, True)):
             if any(b[place] and b[4] == outer and not b[1] for b in self.blocks):
-                return "\n".join(b[0] for b in left if b[place] and b[4] == outer)
-        return "\n".join(b[0] for b in left if not b[4])
+                return {i for i, b in left if b[place] and b[4] == outer}
+        return {i for i, b in left if not b[4]}
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def site_templates(pages: DataFrame, share: float = 0.2, least: int = 5, many: int = 100) -> DataFrame:
+def site_templates(pages: DataFrame, share: float = 0.2, least: int = 5, many: int = 100, strict: tuple[float, int] = (0.5, 20)) -> DataFrame:
     """``host, template``: hashes of the subtrees that recur on many different pages of their host.
 
     Many is ``least`` pages or more that are ``share`` of the host's, or ``many`` pages however large the
-    host, which may have several layouts.  Pages with the same html count as one page.
+    host, which may have several layouts.  An article's text blocks need more: ``strict`` has the share of the host's pages and the
+    number of pages.  Pages with the same html count as one page.
     """
 
     def make():
@@ -256,7 +293,9 @@ def site_templates(pages: DataFrame, share: float = 0.2, least: int = 5, many: i
     seen = add_columns(own, [T.StructField("trees", T.ArrayType(T.LongType()))], make).select("host", "page", "trees")
     trees = seen.select("host", "page", F.explode("trees").alias("tree")).distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     hosts = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return trees.join(hosts, "host").where((F.col("n") >= many) | (F.col("n") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list("tree").alias("template"))
+    usual = (F.col("n") >= many) | (F.col("n") >= share * F.col("pages"))
+    text = (F.col("n") >= strict[1]) & (F.col("n") >= strict[0] * F.col("pages"))
+    return trees.join(hosts, "host").where(F.when(F.col("tree") % 2 == 0, usual).otherwise(text)).groupBy("host").agg(F.collect_list("tree").alias("template"))
 
 
 def extract(pages: DataFrame, share: float = 0.2, least: int = 5, small: int = 8 << 20, many: int = 100) -> DataFrame:
@@ -264,7 +303,8 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 5, small: int = 8
 
     The table of templates is broadcast if it is no larger than ``small`` bytes, else joined in salted parts of hosts.
     Null html counts as empty, and pages without a readable host share the empty host.  Rows are extracted each on
-    their own, so repeated rows don't matter; input columns named like an output are replaced.
+    their own, so repeated rows don't matter; input columns named like an output are replaced.  An empty table gives no rows; a page
+    is parsed whole, whatever its length.
     """
     prepare(pages.sparkSession)
     names = fresh(pages, "text", "n_chars").columns
