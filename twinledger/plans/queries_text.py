@@ -123,6 +123,19 @@ def report_blocks(spark, sf_dir):
     return report(spark, sf_dir, False)[1].select("section", "kind", joined("lines", "/").alias("lines"))
 
 
+ZONED = [*TEMPLATE[:4], "", " ", "", "", "", "TOTAL-COUNT:"]
+
+
+@query(f"""WITH {REPORTS} SELECT CAST(section AS INTEGER) AS section, 'header' AS kind, 'CUSTOMERS OF THE NATION/NATION: ' || n || '/NO| NAME| SEGMENT|/------------------' AS lines, 0::BIGINT AS n FROM na
+  UNION ALL SELECT CAST(section AS INTEGER), 'footer', 'TOTAL-COUNT: ' || (m + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END), 0 FROM na UNION ALL SELECT CAST(section AS INTEGER), 'rows', string_agg(name, '/' ORDER BY k), count(*) FROM ca JOIN na USING (n) GROUP BY section""")
+def scan_report_zoned(spark, sf_dir):
+    """A template whose header and footer stand before and behind a run of blank lines."""
+    rows, blocks, _ = reports.scan_report_template(report_lines(spark, sf_dir, False), ZONED)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.get("fields", F.lit(1)).alias("name")))), lambda x: x["name"]), "/")
+    rows = rows.groupBy("section").agg(F.lit("rows").alias("kind"), names.alias("lines"), F.count("*").alias("n"))
+    return blocks.select("section", "kind", joined("lines", "/").alias("lines"), F.lit(0).cast("long").alias("n")).unionByName(rows.select("section", "kind", "lines", "n"))
+
+
 @query(f"WITH {REPORTS} SELECT CAST(section AS INTEGER) AS section, CAST(m + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS declared, m AS counted, n % 3 <> 0 AS ok FROM na")
 def count_checks(spark, sf_dir):
     rows, blocks, _ = report(spark, sf_dir, False)
@@ -209,6 +222,12 @@ def scan_report_control(spark, sf_dir):
     return reports.scan_report_control(control_lines(spark, sf_dir))[0].select("section", joined("fields").alias("fields"), F.size("display").alias("fold"))
 
 
+@query("SELECT CAST(pos AS INTEGER) AS pos, name FROM (VALUES (0, 'ACCOUNT'), (1, 'NAME'), (2, '行2·SEGMENT')) t(pos, name) WHERE (SELECT count(*) FROM customer) > 0")
+def report_column_names(spark, sf_dir):
+    """From the folded header of the first section."""
+    return reports.report_column_names(reports.scan_report_control(control_lines(spark, sf_dir))[1]).select("pos", "name")
+
+
 @query(f"""WITH {REPORTS}, k AS (SELECT *, unnest(['header', 'footer']) AS kind FROM na)
   SELECT 'P' || n || '·' || (section + 1) AS key, kind, CASE WHEN n % 5 = 0 THEN 'unmatched_a' WHEN kind = 'footer' AND n % 4 = 1 THEN 'diff' ELSE 'equal' END AS status FROM k
   UNION ALL SELECT 'Q' || n || '·' || (section + 1) || 'B', kind, 'unmatched_b' FROM k WHERE n % 5 = 0""")
