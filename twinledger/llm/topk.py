@@ -109,7 +109,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shards: int = 12, shard: int = 8192, block: int = 32768) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shards: int | None = None, shard: int = 8192, block: int = 32768) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest inner products.
 
     Queries are the vectors whose id is divisible by ``every``, candidates all rows but those with the query's own
@@ -117,12 +117,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
     takes its first in array order.  Vectors of unlike lengths meet as if the shorter ended in zeros.  Scores are
     exact below 2**53, far above what ``scale`` times unit vectors reach.
 
-    The vectors are dealt over ``shards`` parts and the queries over blocks of ``block``; a task holds one block and the
-    part's vectors stream by, ``shard`` of them at a time, so a task returns ``k`` rows a query at most.
+    The vectors are dealt over ``shards`` parts (by default one for each 262,144 of them, 12 at least) and the queries over blocks of
+    ``block``; a task holds one block and the part's vectors stream by, ``shard`` of them at a time, so a task returns ``k`` rows
+    a query at most.  An empty table gives no rows; null vectors and those with null or non-finite components take no part.
     """
     spark = prepare(vectors.sparkSession)
     rows = checkpoint(integers(vectors, scale))
-    asked = rows.agg(F.count_if(F.col("vec_id") % every == 0)).first()[0]
+    asked, total = rows.agg(F.count_if(F.col("vec_id") % every == 0), F.count("*")).first()
+    shards = shards or max(12, -(-total // 262_144))
     blocks = -(-asked // block) or 1
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     as_query = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))

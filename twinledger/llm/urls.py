@@ -63,7 +63,7 @@ def bloom(keys: DataFrame, blocks: int) -> np.ndarray:
     return out
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: int = 4096, url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: int | None = None, url: str = "url") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``.
 
     ``rules`` has ``rule_host, rule_path, verdict`` (allow or block), ``listed`` has
@@ -72,7 +72,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: in
     the longer host, then a block.  Without a rule, a URL that fits a listed entry is
     blocked and any other allowed; ``rule`` is then null.  Null or unreadable URLs have
     an empty host and path and fit nothing.  Of a rule given twice with different verdicts, block wins.  Repeated pages and rules change nothing; input columns
-    named like an output are replaced.  ``blocks`` fixes the filter's size at 64 bytes each.
+    named like an output are replaced.  ``blocks`` fixes the filter's size at 64 bytes each; by default
+    it follows the list: 16 bits an entry, from 256 KB to 32 MB.  An empty table gives no rows; a url is looked at whole.
     """
     prepare(pages.sparkSession)
     host, path = host_and_path(F.col(f"row.`{url}`"))
@@ -85,6 +86,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, blocks: in
         .groupBy("rule_host", "rule_path", "ruled").agg(F.max("verdict").alias("verdict"))
     )
     keyed = entries.withColumn("h", F.xxhash64("rule_host", "rule_path"))
+    blocks = blocks or min(1 << 19, max(4096, -(-keyed.count() // 32)))
     filter_words = bloom(keyed, blocks)
     labels = F.size(F.split("rule_host", r"\.")).alias("labels")
     shapes = entries.select(labels, F.length("rule_path").alias("length")).agg(F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("length"))).first()
