@@ -294,7 +294,7 @@ def near_duplicates(
     linked directly, ``component_id`` is the smallest id reachable, ``kept`` tells whether it is the row's own.
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows
     without an id (component null, kept).  Rows that repeat are rows of their own that link with each
-    other.  Vectors of different lengths don't link.
+    other.  Vectors of different lengths don't link.  An empty table gives no rows.
 
     There are ``shards`` shards or more, of ``shard_size`` vectors and ``shard_bytes`` of doubles at most on average.
     Of two shards one asks the other, each asks itself.  A shard's graph is built once for each ``asked_together`` vectors of

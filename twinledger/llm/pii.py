@@ -410,7 +410,8 @@ def find(docs: DataFrame, name: str = "pii") -> DataFrame:
 
     Offsets count code points, the end is exclusive.  ``base`` tells the patterns' spans from those the
     field adds; the field adds only where no base span is.  Null and empty texts have none.  Rows are
-    looked at each on their own, so repeated rows and null ids don't matter; a column of that name is replaced.
+    looked at each on their own, so repeated rows and null ids don't matter; a column of that name is replaced.  An empty
+    table gives no rows, and texts are looked at whole, whatever their length.
     """
     model = field()
 
@@ -444,7 +445,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in capitals; ``n_chars`` follows where it exists.
 
-    Overlapping spans go as one, under the first one's name.  Texts without spans stay as they are.
+    Overlapping spans go as one, under the first one's name.  Texts without spans stay as they are, null ones null.
+    An empty table stays empty; a text is redacted whole, whatever its length.
     """
     names, spans, clean = docs.columns, unused(docs, "pii"), unused(docs, "clean")
     found = find(docs, spans)

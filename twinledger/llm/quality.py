@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
 def score_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
-    ``held_out`` of a null id is false; such rows are scored like any other.
+    ``held_out`` of a null id is false; such rows are scored like any other.  Null texts are scored as empty ones.  An empty
+    table gives no rows; a text is scored whole, whatever its length.
     """
     out = score(pick(docs, "doc_id", "text"), fit(docs, labels, bound), "score")
     held = F.coalesce(crc_bucket(F.col("doc_id"), MODULUS) == HELD, F.lit(False))

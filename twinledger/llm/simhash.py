@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest id in the component.  Null and empty texts have fingerprint 0 and
     link like any other.  Rows that repeat an id keep their own fingerprint and row.  A null id gets a
-    component like any other row, and is never the smallest unless all are null.
+    component like any other row, and is never the smallest unless all are null.  An empty table gives no rows.  A text
+    of any length is hashed whole, by the task that reads it.
     """
     marked = checkpoint(add_fingerprint(pick(docs, "doc_id", "text")).select("doc_id", "fp"))
     # a node carries its smallest id and sorts by it, so a component's root tells the component's smallest id

@@ -286,7 +286,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     """``doc_id, held_out, score, predicted, toxic_spans`` of every row of ``docs``.
 
     At most ``bound`` labelled rows, none of them held out, train the model.  Without labelled
-    rows the scores say nothing but the prior.  ``held_out`` of a null id is false.
+    rows the scores say nothing but the prior.  ``held_out`` of a null id is false.  Null texts are scored as empty ones, repeated
+    rows each on their own.  An empty table gives no rows; a text is tagged whole, whatever its length.
     """
     model = train(labelled_sample(docs, labels, "toxic", MODULUS, HELD, bound))
     out = tag(pick(docs, "doc_id", "text"), model)
