@@ -133,7 +133,7 @@ def test_ranges_give_the_same_records(spark, tmp_path):
     for k, v in scan.SETTINGS.items():
         spark.conf.set(k, v)
     try:
-        for size in (1 << 20, 997, 61):
+        for size in (1 << 20, 997, 331):
             got = ranges.read_mixed(spark, str(tmp_path), "gb18030", " | ", {1: 6}, size=size, piece=64)
             by_file = {}
             for r in got.collect():
