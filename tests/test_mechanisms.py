@@ -248,6 +248,54 @@ def test_a_segment_as_long_as_its_file(spark):
     assert [(r.line_no, r.a, r.b) for r in apart.collect()] == [(n, "old", "new")]
 
 
+def test_blocks_by_fingerprint_are_those_of_the_held_ones(spark):
+    rng = random.Random(12)
+
+    def control(seed):
+        own = random.Random(seed)
+        out = []
+        for s in range(5):
+            out += [f"{s}@OD@|PRODUCT:{'XYZ'[own.randrange(3)]}|", "BRCH : 1", "NO  NAME"] if own.random() < 0.8 else [f"{s}@OD@|PRODUCT:X|"]
+            out += [f"{i}  n{i}" for i in range(own.randrange(4))] + [own.choice(["END", "", "no more"]) for _ in range(own.randrange(4))]
+        return out
+
+    template = ["TITLE", "DATE:", "NO| NAME|", "----", "", "", "TOTAL:"]
+
+    def plain(seed):
+        own = random.Random(seed)
+        return [v for s in range(own.randrange(1, 5)) for v in ["TITLE", f"DATE: {own.randrange(2)}", "NO| NAME|", "----", f"{s}| a|", "", f"TOTAL: {own.randrange(2)}"][own.random() < 0.1 :]]
+
+    frame = lambda texts: spark.createDataFrame([(f"p{p}", i, v) for p, t in enumerate(texts) for i, v in enumerate(t)], LINES)
+    statuses = set()
+    for make, hold, keep, signed in ((control, reports.scan_report_control, reports.report_control_lines, True), (control, reports.scan_report_control, reports.report_control_lines, False),
+                                     (plain, lambda d: reports.scan_report_template(d, template), lambda d: reports.report_template_lines(d, template), False)):
+        seeds = [rng.randrange(1000) for _ in range(5)]
+        a, b = frame([make(s) for s in seeds]), frame([make(s + (i % 2)) for i, s in enumerate(seeds)])
+        whole = (reports.block_compare_signature if signed else reports.block_compare_positional)(hold(a)[1], hold(b)[1]).collect()
+        results, apart = reports.compare_block_lines(keep(a)[1:3], keep(b)[1:3], signed)
+        size = lambda x: None if x is None else len(x)
+        want = sorted((r.pair_id, r.key, r.section, r.status, str(size(r.a_cols)), str(size(r.b_cols)), len(r.diff_cols)) for r in whole)
+        assert want == sorted((r.pair_id, r.key, r.section, r.status, str(r.n_a), str(r.n_b), r.n_diff) for r in results.collect())
+        at = lambda x, i: x[i] if x is not None and i < len(x) else None
+        lines = [(r.pair_id, r.key, r.section, i + 1, str(at(r.a_cols, i)), str(at(r.b_cols, i))) for r in whole for i in (r.diff_cols if r.status == "diff" else range(len(r.a_cols or r.b_cols or [])) if r.status != "equal" else [])]
+        assert sorted(lines) == sorted((r.pair_id, r.key, r.section, r.line_no, str(r.a), str(r.b)) for r in apart.collect())
+        assert "collect_list" not in plan_of(keep(a)[1])
+        statuses |= {r.status for r in whole}
+    assert statuses == {"equal", "diff", "unmatched_a", "unmatched_b"}
+
+
+def test_a_broken_page_as_long_as_its_report(spark):
+    n = 300_000
+    head = ["1@OD@|PRODUCT:X|", "BRCH : 1", "NO  NAME", "1  ann", "no record"]
+    text = F.get(F.array(*map(F.lit, head)), F.col("id").cast("int"))
+    side = lambda last: spark.range(n).select(F.lit("p").alias("pair_id"), F.col("id").alias("seq"), F.coalesce(text, F.when(F.col("id") == n - 1, last), F.concat(F.lit("line "), F.col("id").cast("string"))).alias("value"))
+    (rows, a, la, _), (_, b, lb, _) = (reports.report_control_lines(side(x)) for x in ("old", "new"))
+    assert rows.count() == 1
+    results, apart = reports.compare_block_lines((a, la), (b, lb), by_signature=True)
+    assert sorted((r.key, r.section, r.status, r.n_a, r.n_diff) for r in results.collect()) == [("X·1", "footer", "diff", n - 4, 1), ("X·1", "header", "equal", 3, 0)]
+    assert [(r.line_no, r.a, r.b) for r in apart.collect()] == [(n - 4, "old", "new")]
+
+
 def test_blocks_apart_are_the_greedy_choice(spark):
     rng = random.Random(5)
     found, want = [], set()

@@ -2,7 +2,8 @@
 
 Lines are ``pair_id, seq, value`` with ``seq`` from 0.  Scans return rows ``pair_id, section, line_no, raw, fields, sort_key, display``
 (``line_no`` from 1, ``display`` the physical lines of a folded record), blocks ``pair_id, section, kind, signature, lines``, and
-warnings ``pair_id, section, warning``.
+warnings ``pair_id, section, warning``.  Where a block may be too long for a row, ``report_template_lines`` and ``report_control_lines``
+leave its lines in rows of their own.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import last_before, nth_occurrence, running_sum
+from ..functions.ordered import last_before, nth_occurrence, ordered_print, running_sum
 from ..functions.strings import UNIT, diff_columns, is_blank, pipe_label_like, quoted, strip
 from ..sources.settle import settle
+from .segments import lines_apart
 
 # The marks of self-describing reports.
 CONTROL = r"^\s*[0-9]+@OD@\|"
@@ -125,14 +127,47 @@ def blocks_apart(found: DataFrame) -> DataFrame:
     return reached.unionByName(some.join(on, ["pair_id", "p"], "left_semi").select("pair_id", "p", "h")).distinct()
 
 
+_BLOCK = ["pair_id", "section", "kind"]
+
+
+def _held(lines: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Blocks with their lines in one row; those of ``every`` (``pair_id, section, kind, signature``) come without lines too."""
+    own = lines.groupBy(*_BLOCK).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("lines"))
+    if every is None:
+        return own.select(*_BLOCK, F.lit(None).cast("string").alias("signature"), "lines")
+    return every.join(own, _BLOCK, "left").select(*_BLOCK, "signature", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
+
+
+def _printed(lines: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Blocks with the number of their lines and a fingerprint of these, ``n_lines, print``."""
+    own = lines.groupBy(*_BLOCK).agg(F.count("*").alias("n_lines"), ordered_print(F.col("pos"), F.col("value")).alias("print"))
+    if every is None:
+        return own.select(*_BLOCK, F.lit(None).cast("string").alias("signature"), "n_lines", "print")
+    return every.join(own, _BLOCK, "left").select(*_BLOCK, "signature", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "print")
+
+
 def scan_report_template(lines: DataFrame, template: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reports cut by a template.
+    """Reports cut by a template, each block with its lines in one row; see ``report_template_lines`` for how they are cut."""
+    rows, block_lines, warnings = _cut_by_template(lines, template)
+    return rows, _held(block_lines), warnings
+
+
+def report_template_lines(lines: DataFrame, template: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reports cut by a template: rows, blocks ``pair_id, section, kind, signature, n_lines, print``, their lines ``pair_id, section,
+    kind, pos, value`` (``pos`` from 0) and warnings.  No row holds a block.
 
     A template with five or more blank lines inside has the header before and the footer behind them.  Otherwise the header ends with
     the last line that is the same in both at the same place and has a blank or the end behind it in the template.  Lines equal to the header's last
     one end header blocks; without any, blocks are looked for by the whole skeleton.  At a section's end the footer's lines are
     taken off if they fit, with as many blank lines before as the template has.
     """
+    rows, block_lines, warnings = _cut_by_template(lines, template)
+    block_lines = settle(block_lines)
+    return rows, _printed(block_lines), block_lines, warnings
+
+
+def _cut_by_template(lines: DataFrame, template: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, lines of blocks and warnings."""
     size = len(template)
     texts = F.array(*map(F.lit, template)).cast("array<string>") if template else F.array().cast("array<string>")
     run = blank_run(template)
@@ -194,8 +229,8 @@ def scan_report_template(lines: DataFrame, template: list[str]) -> tuple[DataFra
     blanks = blanks.select("pair_id", "section", F.coalesce(F.col("text") + 1, F.col("low")).alias("foot"))
     body = body.join(blanks, ["pair_id", "section"], "left").withColumn("foot", F.coalesce("foot", "core_start"))
     in_foot = F.coalesce(F.col("seq") >= F.col("foot"), F.lit(False))
-    listed = lambda d, kind: d.groupBy("pair_id", F.col("section").cast("int").alias("section")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("lines")).withColumns({"kind": F.lit(kind), "signature": F.lit(None).cast("string")})
-    blocks = listed(header, "header").unionByName(listed(body.where(in_foot), "footer"))
+    placed = lambda d, kind, begin: d.select("pair_id", F.col("section").cast("int").alias("section"), F.lit(kind).alias("kind"), (F.col("seq") - F.col(begin)).alias("pos"), "value")
+    block_lines = placed(header, "header", "block_start").unionByName(placed(body.where(in_foot), "footer", "foot"))
     cols = ["pair_id", "section", "seq", "value"]
     stray = lines.where("section < 0").withColumn("section", F.lit(0).cast("long"))
     rows = _rows(body.where(~in_foot).select(cols).unionByName(stray.select(cols)))
@@ -204,16 +239,30 @@ def scan_report_template(lines: DataFrame, template: list[str]) -> tuple[DataFra
     warnings = warnings.unionByName(warn(heads.where("h > 0").join(found.select("pair_id").distinct(), "pair_id", "left_anti"), "no section found: all lines are rows"))
     left_out = found.join(kept.select("pair_id", "p"), ["pair_id", "p"], "left_anti").select("pair_id").distinct()
     warnings = warnings.unionByName(warn(left_out, "overlapping header blocks left out"))
-    return rows, blocks.select("pair_id", "section", "kind", "signature", "lines"), warnings
+    return rows, block_lines, warnings
 
 
 def scan_report_control(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Self-describing reports: control lines open sections.
+    """Self-describing reports, each block with its lines in one row; see ``report_control_lines`` for how they are cut."""
+    rows, block_lines, every, warnings = _cut_by_control(lines)
+    return rows, _held(block_lines, every), warnings
+
+
+def report_control_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Self-describing reports: rows, blocks, their lines and warnings, as ``report_template_lines``.  Control lines open sections.
 
     In a section the branch line is among the first 15; behind it come up to five blank or label lines, then up to eight lines of column
     names: as many lines has a record.  The first column line again begins a page, and what looks like a page's head before it is left out.
-    Records go on as long as their first line is one of data; what is left is footer.
+    Records go on as long as their first line is one of data; what is left is footer, however much that is.  A section without a
+    footer has one of no lines.
     """
+    rows, block_lines, every, warnings = _cut_by_control(lines)
+    block_lines = settle(block_lines)
+    return rows, _printed(block_lines, every), block_lines, warnings
+
+
+def _cut_by_control(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, lines of blocks, all blocks with their signatures, and warnings."""
     rows = running_sum(lines, ["pair_id"], "seq", F.col("value").rlike(CONTROL).cast("int"), "section").where("section > 0").withColumn("section", F.col("section") - 1)
     rows = settle(rows)
     by = ["pair_id", "section"]
@@ -262,14 +311,13 @@ def scan_report_control(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     out = out.unionByName(_rows(plain.where("pos > 0")))
 
     foot = inner.where(~F.col("in_rec") & ((F.col("page") == F.col("pages")) | ~is_blank(F.col("value"))))
-    listed = lambda d: F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("lines")
-    header = folded.where("pos < body").unionByName(folded.where("false")).groupBy(by).agg(listed(folded)).unionByName(plain.where("pos = 0").groupBy(by).agg(listed(plain)))
-    footer = heads.select(by).join(foot.groupBy(by).agg(listed(foot)), by, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
-    named = lambda d, kind: d.join(heads.select(*by, "signature"), by).select("pair_id", F.col("section").cast("int").alias("section"), F.lit(kind).alias("kind"), "signature", "lines")
-    blocks = named(header, "header").unionByName(named(footer, "footer"))
+    foot = nth_occurrence(foot.select(*by, "seq", "value"), by, "seq", "pos")
+    placed = lambda d, kind: d.select("pair_id", F.col("section").cast("int").alias("section"), F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), "value")
+    block_lines = placed(folded.where("pos < body"), "header").unionByName(placed(plain.where("pos = 0"), "header")).unionByName(placed(foot, "footer"))
+    every = heads.select("pair_id", F.col("section").cast("int").alias("section"), F.explode(F.array(F.lit("header"), F.lit("footer"))).alias("kind"), "signature")
     warn = lambda d, text: d.select("pair_id", F.col("section").cast("int").alias("section"), F.lit(text).alias("warning")).distinct()
     warnings = warn(plain, "no column names found: all lines are rows").unionByName(warn(pages.where("pages > 1"), "several pages: repeated heads left out")).unionByName(warn(stops.where("broken"), "incomplete folded record: the rest is footer"))
-    return out, blocks, warnings
+    return out, block_lines, every, warnings
 
 
 def report_column_names(blocks: DataFrame) -> DataFrame:
@@ -317,6 +365,34 @@ def block_compare_signature(a: DataFrame, b: DataFrame) -> DataFrame:
     return _blocks(met, label("sa", "")).unionByName(_blocks(rest.withColumn("a", F.lit(None).cast("array<string>")), label("sb", "B")))
 
 
+def compare_block_lines(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame], by_signature: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Blocks of both sides, each side as blocks and lines of ``report_template_lines`` or ``report_control_lines``, without holding any.
+
+    Blocks meet as in ``block_compare_positional``, or ``by_signature`` as in ``block_compare_signature``, and are compared by their
+    fingerprints; only those that differ meet line by line.  Returns ``pair_id, key, section, status, n_a, n_b, n_diff`` and, for
+    each differing line and each line of a block of one side, ``pair_id, key, section, status, line_no, a, b``; ``section`` is header or
+    footer, ``line_no`` counts from 1, and what a side lacks is null.
+    """
+    side = lambda blocks, x: blocks.select("pair_id", "kind", "signature", F.col("section").alias(f"section_{x}"), F.col("n_lines").alias(f"n_{x}"), F.col("print").alias(f"print_{x}"))
+    left, right = side(a[0], "a"), side(b[0], "b")
+    if by_signature:
+        mine = F.struct("section_b", "n_b", "print_b")
+        first = right.groupBy("pair_id", "kind", "signature").agg(F.min_by(mine, "section_b").alias("x")).select("pair_id", "kind", "signature", "x.*")
+        met = settle(left.join(first, ["pair_id", "kind", "signature"], "left"))
+        used = met.where("section_b is not null").select("pair_id", "kind", "section_b").distinct()
+        both = met.unionByName(right.join(used, ["pair_id", "kind", "section_b"], "left_anti"), allowMissingColumns=True)
+        key = F.concat(section_label(F.col("signature")), F.lit("·"), (F.coalesce("section_a", "section_b") + 1).cast("string"), F.when(F.col("section_a").isNull(), "B").otherwise(""))
+    else:
+        nth = lambda d, x: nth_occurrence(d.drop("signature"), ["pair_id", "kind"], f"section_{x}")
+        both = nth(left, "a").join(nth(right, "b"), ["pair_id", "kind", "nth"], "full")
+        key = F.concat(F.when(F.col("kind") == "header", "H").otherwise("T"), (F.col("nth") + 1).cast("string"))
+    alike = (F.col("n_a") == F.col("n_b")) & F.col("print_a").eqNullSafe(F.col("print_b"))
+    status = F.when(F.col("section_a").isNull(), "unmatched_b").when(F.col("section_b").isNull(), "unmatched_a").when(alike, "equal").otherwise("diff")
+    kind = [F.when(F.col(f"section_{x}").isNotNull(), F.col("kind")).alias(f"kind_{x}") for x in "ab"]
+    met = both.select("pair_id", key.alias("key"), F.col("kind").alias("section"), status.alias("status"), "n_a", "n_b", "section_a", "section_b", *kind)
+    return lines_apart(met, a[1], b[1], ["section", "kind"], ["section"])
+
+
 def _row_key(raw: Column, display: Column) -> Column:
     return F.when(display.isNotNull(), F.substring(strip(F.get(display, F.lit(0))), 1, 80)).otherwise(strip(raw))
 

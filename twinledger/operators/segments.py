@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import last_before, nth_occurrence, running_sum
+from ..functions.ordered import last_before, nth_occurrence, ordered_print, running_sum
 from ..functions.strings import diff_columns, strip
 from ..sources.settle import settle
 
@@ -97,10 +97,8 @@ def segment_lines(lines: DataFrame, start: str, end: str | None = None, key: str
     inner = rows.where("__in")
     begins = inner.groupBy("pair_id", "seg_no").agg(F.min("seq").alias("__begin"))
     inner = settle(inner.join(begins, ["pair_id", "seg_no"]).withColumn("pos", F.col("seq") - F.col("__begin")))
-    # a sum of 64-bit numbers: decimals don't overflow
-    mark = lambda salt: F.sum(F.xxhash64(F.lit(salt), "pos", "value").cast("decimal(38,0)"))
     heads = inner.groupBy("pair_id", "seg_no").agg(
-        _key_of(key).alias("key"), (F.min("seq") + 1).alias("start_line"), F.count("*").alias("n_lines"), F.struct(mark(1).alias("x"), mark(2).alias("y")).alias("print"),
+        _key_of(key).alias("key"), (F.min("seq") + 1).alias("start_line"), F.count("*").alias("n_lines"), ordered_print(F.col("pos"), F.col("value")).alias("print"),
         F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("first_line"), F.max("seq").alias("__end"), F.max("__cut").alias("cut"),
     )
     heads = settle(heads)
@@ -125,25 +123,34 @@ def compare_segment_lines(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, Da
         cols = ["pair_id", "seg_no", "key", "n_lines", "print", "start_line", "first_line"]
         keyed = nth_occurrence(heads.where("key is not null").select(*cols), ["pair_id", "key"], "seg_no")
         plain = nth_occurrence(heads.where("key is null").select(*cols), ["pair_id", "print", "n_lines"], "seg_no")
-        shared = lambda d, same: d.select("pair_id", same.alias("__same"), "nth", F.col("key").alias(f"key_{x}"), F.col("seg_no").alias(f"seg_{x}"), F.col("n_lines").alias(f"n_{x}"), F.col("print").alias(f"print_{x}"), _segment_label(F.col("start_line"), F.col("first_line")).alias(f"label_{x}"))
+        shared = lambda d, same: d.select("pair_id", same.alias("__same"), "nth", F.col("key").alias(f"key_{x}"), F.col("seg_no").alias(f"seg_no_{x}"), F.col("n_lines").alias(f"n_{x}"), F.col("print").alias(f"print_{x}"), _segment_label(F.col("start_line"), F.col("first_line")).alias(f"label_{x}"))
         text = lambda c: F.concat_ws(",", F.lit("p"), F.col("n_lines").cast("string"), c["x"].cast("string"), c["y"].cast("string"))
         return shared(keyed, F.concat(F.lit("k"), F.col("key"))).unionByName(shared(plain, text(F.col("print"))))
 
     both = side(a[0], "a").join(side(b[0], "b"), ["pair_id", "__same", "nth"], "full")
     alike = (F.col("n_a") == F.col("n_b")) & (F.col("print_a") == F.col("print_b"))
-    status = F.when(F.col("seg_a").isNull(), "unmatched_b").when(F.col("seg_b").isNull(), "unmatched_a").when(alike, "equal").otherwise("diff")
+    status = F.when(F.col("seg_no_a").isNull(), "unmatched_b").when(F.col("seg_no_b").isNull(), "unmatched_a").when(alike, "equal").otherwise("diff")
     key = F.coalesce("key_a", "key_b", "label_a", "label_b")
-    met = settle(both.select("pair_id", key.alias("key"), status.alias("status"), "n_a", "n_b", "seg_a", "seg_b", F.monotonically_increasing_id().alias("__id")))
+    return lines_apart(both.select("pair_id", key.alias("key"), status.alias("status"), "n_a", "n_b", "seg_no_a", "seg_no_b"), a[1], b[1], ["seg_no"])
+
+
+def lines_apart(met: DataFrame, a: DataFrame, b: DataFrame, place: list[str], more: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Parts of texts that have met, with the number of lines that differ, and the differing lines of those that aren't equal.
+
+    ``met`` has ``pair_id, key, status, n_a, n_b``, the columns of ``more``, and for each column of ``place`` that of side A and of side B
+    (``_a``, ``_b``; null on a side that a part lacks); ``a`` and ``b`` have ``pair_id``, those of ``place``, ``pos`` and ``value``.
+    """
+    met = settle(met.withColumn("__id", F.monotonically_increasing_id()))
     apart = met.where("status <> 'equal'")
 
     def lines(rows: DataFrame, x: str) -> DataFrame:
-        wanted = apart.where(F.col(f"seg_{x}").isNotNull()).select("__id", "pair_id", F.col(f"seg_{x}").alias("seg_no"))
-        return rows.join(wanted, ["pair_id", "seg_no"]).select("__id", "pos", F.col("value").alias(x))
+        wanted = apart.where(F.col(f"{place[0]}_{x}").isNotNull()).select("__id", "pair_id", *[F.col(f"{c}_{x}").alias(c) for c in place])
+        return rows.join(wanted, ["pair_id", *place]).select("__id", "pos", F.col("value").alias(x))
 
-    differ = settle(lines(a[1], "a").join(lines(b[1], "b"), ["__id", "pos"], "full").where(~F.col("a").eqNullSafe(F.col("b"))))
+    differ = settle(lines(a, "a").join(lines(b, "b"), ["__id", "pos"], "full").where(~F.col("a").eqNullSafe(F.col("b"))))
     n = differ.groupBy("__id").agg(F.count("*").alias("n_diff"))
-    results = met.join(n, "__id", "left").select("pair_id", "key", "status", "n_a", "n_b", F.when(F.col("status") == "diff", F.coalesce("n_diff", F.lit(0))).otherwise(0).alias("n_diff"))
-    shown = differ.join(apart.select("__id", "pair_id", "key", "status"), "__id").select("pair_id", "key", "status", (F.col("pos") + 1).alias("line_no"), "a", "b")
+    results = met.join(n, "__id", "left").select("pair_id", "key", *more, "status", "n_a", "n_b", F.when(F.col("status") == "diff", F.coalesce("n_diff", F.lit(0))).otherwise(0).alias("n_diff"))
+    shown = differ.join(apart.select("__id", "pair_id", "key", *more, "status"), "__id").select("pair_id", "key", *more, "status", (F.col("pos") + 1).alias("line_no"), "a", "b")
     return results, shown
 
 

@@ -236,6 +236,25 @@ def block_compare_signature(spark, sf_dir):
     return reports.block_compare_signature(a, b).select("key", F.col("section").alias("kind"), "status")
 
 
+@query(f"""WITH {REPORTS}, t AS (SELECT section, 'header' AS kind, 1 AS pos, 'NATION: ' || n AS a, 'NATION: ' || (n + CASE WHEN n % 4 = 0 THEN 100 ELSE 0 END) AS b FROM na
+  UNION ALL SELECT na.section, 'footer', 1, 'TOTAL-COUNT: ' || (na.m + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END), 'TOTAL-COUNT: ' || (nb.m + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END) FROM na JOIN nb USING (n))
+  SELECT CASE kind WHEN 'header' THEN 'H' ELSE 'T' END || (section + 1) AS key, kind, CAST(pos + 1 AS BIGINT) AS line_no, a, b FROM t WHERE a <> b""")
+def template_lines_apart(spark, sf_dir):
+    """Differing lines of headers and footers, which no row holds."""
+    sides = [reports.report_template_lines(report_lines(spark, sf_dir, x), TEMPLATE)[1:3] for x in (False, True)]
+    return reports.compare_block_lines(*sides)[1].select("key", F.col("section").alias("kind"), "line_no", "a", "b")
+
+
+@query(f"""WITH {REPORTS}, k AS (SELECT *, unnest(['header', 'footer']) AS kind FROM na), s AS (SELECT n, m, section, kind, CASE kind WHEN 'header' THEN 7 ELSE 1 END AS n_lines FROM k)
+  SELECT 'P' || n || '·' || (section + 1) AS key, kind, CASE WHEN n % 5 = 0 THEN 'unmatched_a' WHEN kind = 'footer' AND n % 4 = 1 THEN 'diff' ELSE 'equal' END AS status, CAST(n_lines AS BIGINT) AS n_a,
+    CASE WHEN n % 5 <> 0 THEN CAST(n_lines AS BIGINT) END AS n_b, CAST(CASE WHEN n % 5 <> 0 AND kind = 'footer' AND n % 4 = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_diff FROM s
+  UNION ALL SELECT 'Q' || n || '·' || (section + 1) || 'B', kind, 'unmatched_b', NULL, CAST(n_lines AS BIGINT), 0 FROM s WHERE n % 5 = 0""")
+def control_blocks_by_print(spark, sf_dir):
+    """Blocks of self-describing reports by their control lines, compared by fingerprints."""
+    sides = [reports.report_control_lines(control_lines(spark, sf_dir, x))[1:3] for x in (False, True)]
+    return reports.compare_block_lines(*sides, by_signature=True)[0].select("key", F.col("section").alias("kind"), "status", "n_a", "n_b", "n_diff")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS pair_id, CASE c_custkey % 5 WHEN 0 THEN 'zoned' WHEN 1 THEN 'control' WHEN 2 THEN 'control' WHEN 3 THEN 'template' END AS format, CASE WHEN c_custkey % 5 = 4 THEN 'no template' END AS error FROM customer")
 def report_format(spark, sf_dir):
     """A pair for each customer, with templates, control lines or neither."""
