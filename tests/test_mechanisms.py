@@ -267,20 +267,22 @@ def test_blocks_by_fingerprint_are_those_of_the_held_ones(spark):
 
     frame = lambda texts: spark.createDataFrame([(f"p{p}", i, v) for p, t in enumerate(texts) for i, v in enumerate(t)], LINES)
     statuses = set()
-    for make, hold, keep, signed in ((control, reports.scan_report_control, reports.report_control_lines, True), (control, reports.scan_report_control, reports.report_control_lines, False),
-                                     (plain, lambda d: reports.scan_report_template(d, template), lambda d: reports.report_template_lines(d, template), False)):
+    for make, hold, keep, ways in ((control, reports.scan_report_control, reports.report_control_lines, (True, False)),
+                                   (plain, lambda d: reports.scan_report_template(d, template), lambda d: reports.report_template_lines(d, template), (False,))):
         seeds = [rng.randrange(1000) for _ in range(5)]
-        a, b = frame([make(s) for s in seeds]), frame([make(s + (i % 2)) for i, s in enumerate(seeds)])
-        whole = (reports.block_compare_signature if signed else reports.block_compare_positional)(hold(a)[1], hold(b)[1]).collect()
-        results, apart = reports.compare_block_lines(keep(a)[1:3], keep(b)[1:3], signed)
-        size = lambda x: None if x is None else len(x)
-        want = sorted((r.pair_id, r.key, r.section, r.status, str(size(r.a_cols)), str(size(r.b_cols)), len(r.diff_cols)) for r in whole)
-        assert want == sorted((r.pair_id, r.key, r.section, r.status, str(r.n_a), str(r.n_b), r.n_diff) for r in results.collect())
-        at = lambda x, i: x[i] if x is not None and i < len(x) else None
-        lines = [(r.pair_id, r.key, r.section, i + 1, str(at(r.a_cols, i)), str(at(r.b_cols, i))) for r in whole for i in (r.diff_cols if r.status == "diff" else range(len(r.a_cols or r.b_cols or [])) if r.status != "equal" else [])]
-        assert sorted(lines) == sorted((r.pair_id, r.key, r.section, r.line_no, str(r.a), str(r.b)) for r in apart.collect())
-        assert "collect_list" not in plan_of(keep(a)[1])
-        statuses |= {r.status for r in whole}
+        sides = [frame([make(s) for s in seeds]), frame([make(s + (i % 2)) for i, s in enumerate(seeds)])]
+        held, kept = [hold(x)[1].checkpoint() for x in sides], [keep(x)[1:3] for x in sides]
+        assert "collect_list" not in plan_of(kept[0][0])
+        for signed in ways:
+            whole = (reports.block_compare_signature if signed else reports.block_compare_positional)(*held).collect()
+            results, apart = reports.compare_block_lines(*kept, signed)
+            size = lambda x: None if x is None else len(x)
+            want = sorted((r.pair_id, r.key, r.section, r.status, str(size(r.a_cols)), str(size(r.b_cols)), len(r.diff_cols)) for r in whole)
+            assert want == sorted((r.pair_id, r.key, r.section, r.status, str(r.n_a), str(r.n_b), r.n_diff) for r in results.collect())
+            at = lambda x, i: x[i] if x is not None and i < len(x) else None
+            lines = [(r.pair_id, r.key, r.section, i + 1, str(at(r.a_cols, i)), str(at(r.b_cols, i))) for r in whole for i in (r.diff_cols if r.status == "diff" else range(len(r.a_cols or r.b_cols or [])) if r.status != "equal" else [])]
+            assert sorted(lines) == sorted((r.pair_id, r.key, r.section, r.line_no, str(r.a), str(r.b)) for r in apart.collect())
+            statuses |= {r.status for r in whole}
     assert statuses == {"equal", "diff", "unmatched_a", "unmatched_b"}
 
 
