@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinledger.operators import cells, compare, directory, export, features, monitor, patterns, reports, rules, segments, summary
+from twinledger.plans.queries_text import charsets
 from twinledger.sources import charset, pages, parts, ranges, scan
 
 LINES = "pair_id string, seq long, value string"
@@ -344,3 +345,17 @@ def test_many_patterns_and_names(spark):
     globs = spark.range(4000).select(F.col("id").alias("j"), F.concat(F.lit("rep?"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("_*.TXT")).alias("glob"))
     out = patterns.fitting(names, globs, "name", "glob")
     assert out.count() == 40_000 and "NestedLoop" not in plan_of(out)
+
+
+# ---- the end of a file's beginning ----
+
+
+@pytest.mark.parametrize("name, text", [("gb18030", "7 | 客户"), ("utf-8", "7 | é")])
+def test_a_character_cut_at_the_end_is_no_mark_against_its_charset(spark, name, text):
+    raw = (text + "\n").encode(name)
+    found = set()
+    for shift in range(len(raw)):
+        head = (b"x" * shift + raw * (charset.HEAD // len(raw) + 2))[: charset.HEAD]
+        with charsets(spark):
+            found |= {(r.encoding,) for r in charset.choose_encoding(spark.createDataFrame([("f", head)], "file_path string, h binary")).collect()}
+    assert found == {(name,)}

@@ -42,9 +42,10 @@ def choose_encoding(files: DataFrame, delim: str = " | ") -> DataFrame:
 
     def trial(name: str, order: int) -> Column:
         text = F.decode("h", CHARSETS[name])
-        # a cut character at the end of the piece is no error
-        bad = F.contains(F.substring(text, F.lit(1), F.length(text) - F.when(F.length("h") >= HEAD, 4).otherwise(0)), F.lit("�"))
-        solid = F.replace(text, F.lit("\x00"), F.lit(""))
+        # a cut character at the end of the piece is no error, nor less printable
+        whole = F.substring(text, F.lit(1), F.length(text) - F.when(F.length("h") >= HEAD, 4).otherwise(0))
+        bad = F.contains(whole, F.lit("�"))
+        solid = F.replace(whole, F.lit("\x00"), F.lit(""))
         shown = F.length(F.regexp_replace(solid, r"[\p{Cntrl}&&[^\t\r\n]]|\x{FFFD}", "")) / F.greatest(F.length(solid), F.lit(1))
         n = (F.length(text) - F.length(F.replace(text, F.lit(delim), F.lit("")))) / len(delim)
         out = ~bad & (shown >= 0.5)
