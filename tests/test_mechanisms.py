@@ -347,6 +347,25 @@ def test_many_patterns_and_names(spark):
     assert out.count() == 40_000 and "NestedLoop" not in plan_of(out)
 
 
+@pytest.mark.parametrize("crowd", [2, 50_000])
+def test_long_runs_and_crowded_grams(spark, crowd):
+    rng = random.Random(8)
+    names = sorted({f"{rng.choice('ab')}{rng.choice(['x' * 40, 'report-of-the-day-', 'r'])}{rng.randint(0, 30):03}.txt" for _ in range(120)})
+    globs = sorted({rng.choice(["*", "?", "a", "b"]) + rng.choice(["x" * 40, "x" * 33 + "*", "REPORT-of-the-day-", "r", "*"]) + rng.choice(["*", f"{rng.randint(0, 30):03}*", "0*.txt"]) for _ in range(80)})
+    left = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    right = spark.createDataFrame([(j, g) for j, g in enumerate(globs)], "j int, glob string")
+    out = patterns.fitting(left, right, "name", "glob", crowd=crowd)
+    fits = lambda n, g: __import__("re").fullmatch("".join(".*" if c == "*" else "." if c == "?" else __import__("re").escape(c) for c in g.lower()), n) is not None
+    assert sorted((r.i, r.j) for r in out.collect()) == [(i, j) for i, n in enumerate(names) for j, g in enumerate(globs) if fits(n, g)]
+
+
+def test_neither_names_nor_patterns_are_sent_to_all_tasks(spark):
+    names = spark.range(1000).select(F.concat(F.lit("REP_"), F.col("id").cast("string")).alias("name"))
+    globs = spark.range(100).select(F.col("id").alias("j"), F.concat(F.lit("rep_"), F.col("id").cast("string"), F.lit("?")).alias("glob"))
+    # the crowded grams alone are
+    assert plan_of(patterns.fitting(names, globs, "name", "glob")).count("BroadcastExchange") == 1
+
+
 # ---- the end of a file's beginning ----
 
 
