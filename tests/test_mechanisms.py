@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twinledger.operators import cells, compare, directory, export, features, monitor, patterns, reports, rules, segments, summary
+from twinledger.operators import cells, compare, directory, export, features, monitor, pairing, patterns, reports, rules, segments, summary
 from twinledger.plans.queries_text import charsets
 from twinledger.sources import charset, pages, parts, ranges, scan
 
@@ -366,6 +366,15 @@ def test_neither_names_nor_patterns_are_sent_to_all_tasks(spark):
     assert plan_of(patterns.fitting(names, globs, "name", "glob")).count("BroadcastExchange") == 1
 
 
+def test_types_with_one_pattern_meet_names_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pairing, "fitting", lambda names, marks, *a: seen.append(marks.count()) or patterns.fitting(names, marks, *a))
+    files = spark.createDataFrame([("r1_a.txt",), ("R2_b.TXT",), ("r3",)], "name string")
+    types = spark.createDataFrame([(f"R{i:03}", f"{'rR'[i % 2]}{i % 3}_*.txt", 300 - i // 3) for i in range(600)] + [("X", "r3.txt", 9), ("Y", "R3.dat", 8)], "report_id string, pattern string, import_order int")
+    got = {r.name: r.report_id for r in pairing.file_to_report(files, types).collect()}
+    assert got == {"r1_a.txt": "R598", "R2_b.TXT": "R599", "r3": "Y"} and max(seen) == 3
+
+
 # ---- the end of a file's beginning ----
 
 

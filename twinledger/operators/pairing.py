@@ -48,16 +48,20 @@ def file_to_report(files: DataFrame, types: DataFrame, wide: bool = True) -> Dat
     """``name, report_id`` of each file: by exact name, stem, pattern, the stem's pattern, ``#`` pattern, in this order;
     of equals the first in import order.
 
-    ``types`` has ``report_id, pattern, import_order``.  Exact tiers are equi-joins; only what they leave meets patterns.
+    ``types`` has ``report_id, pattern, import_order``; of a pattern's types with one order the smallest id counts.  Exact tiers are
+    equi-joins; only what they leave meets patterns, each different one once.
     """
     low = files.select("name", F.lower("name").alias("__n"), F.lower(stem(F.col("name"))).alias("__s"))
-    t = types.select("report_id", "import_order", F.lower("pattern").alias("__p"))
-    exact = low.join(t, F.col("__n") == F.col("__p")).withColumn("tier", F.lit(0)).unionByName(low.join(t, F.col("__s") == stem(F.col("__p"))).withColumn("tier", F.lit(1)))
+    # of types with one pattern only the first can be a file's: very many may share one
+    first = lambda d: d.groupBy("__p").agg(F.min(F.struct("import_order", "report_id")).alias("x")).select("__p", "x.import_order", "x.report_id")
+    t = settle(first(types.select("report_id", "import_order", F.lower("pattern").alias("__p"))))
+    stems = first(t.withColumn("__p", stem(F.col("__p"))))
+    exact = low.join(t.hint("merge"), F.col("__n") == F.col("__p")).withColumn("tier", F.lit(0)).unionByName(low.join(stems.hint("merge"), F.col("__s") == F.col("__p")).withColumn("tier", F.lit(1)))
     found = exact
     if wide:
-        rest = low.join(exact.select("name").distinct(), "name", "left_anti")
+        rest = low.join(exact.select("name").distinct().hint("merge"), "name", "left_anti")
         loose = t.where(F.col("__p").rlike(r"[*?#]"))
-        tiers = [(rest, loose, F.when(F.contains("__p", F.lit("#")), 4).otherwise(2)), (rest.withColumn("__n", F.col("__s")), loose.where(~F.contains("__p", F.lit("#"))).withColumn("__p", stem(F.col("__p"))), F.lit(3))]
+        tiers = [(rest, loose, F.when(F.contains("__p", F.lit("#")), 4).otherwise(2)), (rest.withColumn("__n", F.col("__s")), first(loose.where(~F.contains("__p", F.lit("#"))).withColumn("__p", stem(F.col("__p")))), F.lit(3))]
         for names, marks, tier in tiers:
             found = found.unionByName(fitting(names, marks, "__n", "__p").withColumn("tier", tier))
     return found.groupBy("name").agg(F.min_by("report_id", F.struct("tier", "import_order")).alias("report_id"))
