@@ -375,6 +375,17 @@ def test_types_with_one_pattern_meet_names_once(spark, monkeypatch):
     assert got == {"r1_a.txt": "R598", "R2_b.TXT": "R599", "r3": "Y"} and max(seen) == 3
 
 
+# ---- one row a pair meets its rows where they are ----
+
+
+def test_no_pair_is_one_task(spark):
+    rows, _ = dynamic(spark)
+    data, trailer, _ = scan.scan_delimited(lines(spark, "a | b\n|||||x=1"))
+    for d in (rows, data, trailer, export.export_full_csv(rows)):
+        plan = plan_of(d)
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # ---- the end of a file's beginning ----
 
 

@@ -71,7 +71,7 @@ def compare_directories(lines_a: DataFrame, lines_b: DataFrame, pairs: DataFrame
     about = settle(about)
 
     def side(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        rows = settle(lines.select("pair_id", "seq", "value").join(about, "pair_id"))
+        rows = settle(lines.select("pair_id", "seq", "value").join(F.broadcast(about), "pair_id"))  # a rule a pair goes to all tasks, so a large file is many tasks'
         data, trailer, stats = scan_delimited(rows, F.col("delim"), F.col("trailer"), keep=("keys", "omit", "ignore", "dynamic", "incremental", "conds"))
         keep = _wanted(F.col("cols"), F.col("incremental"), F.col("conds"))
         counts = data.groupBy("pair_id").agg(F.count("*").alias("before"), F.count_if(keep).alias("after"))
@@ -83,7 +83,7 @@ def compare_directories(lines_a: DataFrame, lines_b: DataFrame, pairs: DataFrame
     registry = None
     if dynamic is not None:
         given = about.select("pair_id", F.col("dynamic").alias("__own"))
-        rows, registry = by_sub_fields(rows.join(given, "pair_id"), F.col("__own"), dynamic, items)
+        rows, registry = by_sub_fields(rows.join(F.broadcast(given), "pair_id"), F.col("__own"), dynamic, items)
     rows = settle(rows.unionByName(trailer_compare(ta, tb), allowMissingColumns=True))
     kept = lambda s, n: s.join(n, "pair_id", "left").withColumn("data_rows", F.coalesce("after", F.lit(0))).drop("before", "after")
     counted = summary.compare_summary(rows, kept(sa, na), kept(sb, nb), summary.malformed(a, keys), summary.malformed(b, keys))

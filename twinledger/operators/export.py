@@ -29,7 +29,7 @@ def export_full_csv(results: DataFrame, names: list[str] | None = None, src_a: s
     if cells.dynamic:
         # one row a pair
         every = registry_of(results).groupBy("pair_id").agg(F.array_sort(F.collect_list("idx")).alias("__idx"))
-        results = results.join(every, "pair_id", "left").withColumn("__at", F.map_from_entries(F.transform("dyn", lambda d: F.struct(d["idx"], F.struct(d["a"].alias("a"), d["b"].alias("b"))))))
+        results = results.join(F.broadcast(every), "pair_id", "left").withColumn("__at", F.map_from_entries(F.transform("dyn", lambda d: F.struct(d["idx"], F.struct(d["a"].alias("a"), d["b"].alias("b"))))))
         virtual = lambda one: F.transform(some(F.col("__idx").cast("array<string>")), lambda i: F.coalesce(one(F.try_element_at("__at", i.cast("int"))), F.lit("")))
         extra = {"one": virtual(lambda v: both(v["a"], v["b"])), "a": virtual(lambda v: v["a"]), "b": virtual(lambda v: v["b"])}
     else:
@@ -68,7 +68,7 @@ def export_diff_records(results: DataFrame, monitor: DataFrame | None = None, sr
     prefix = F.lit("[栏位不一致")
     if monitor is not None:
         kinds = monitor.where(F.col("field_type").between(1, 4)).groupBy("pair_id").agg(F.map_from_entries(F.collect_set(F.struct("col", "field_type"))).alias("__kinds"))
-        rows = rows.join(kinds, "pair_id", "left")
+        rows = rows.join(F.broadcast(kinds), "pair_id", "left")
         words = F.create_map(*[x for t, w in TYPES.items() for x in (F.lit(t), F.lit(f"[{t}-{w}"))])
         prefix = lambda i: F.coalesce(F.try_element_at(words, F.try_element_at("__kinds", i)), F.lit("[栏位不一致"))
     cells = Cells(rows)
@@ -139,7 +139,7 @@ def export_cases(results: DataFrame, pairs: DataFrame) -> DataFrame:
     line = lambda x: F.concat(F.lit(f"{x.upper()}:'"), F.coalesce(F.expr(f"array_join({x}_cols, delim)"), F.lit("")), F.lit("'"))
     text = F.when(F.col("i") >= 0, F.concat(F.lit("A:'"), cells.value("a", i), F.lit("' B:'"), cells.value("b", i), F.lit("'"))).when(F.col("status") == "unmatched_a", line("a")).otherwise(line("b"))
     kind = F.when(F.col("status") == "diff", "栏位不一致").when(F.col("status") == "unmatched_a", "仅A存在").otherwise("仅B存在")
-    found = rows.join(about, "pair_id").select("*", display_key(F.col("key")).alias("shown"), kind.alias("kind"), (i + 1).alias("column_no"), F.when(i < 0, "0").otherwise(cells.number(i)).alias("column"), text.alias("content"))
+    found = rows.join(F.broadcast(about), "pair_id").select("*", display_key(F.col("key")).alias("shown"), kind.alias("kind"), (i + 1).alias("column_no"), F.when(i < 0, "0").otherwise(cells.number(i)).alias("column"), text.alias("content"))
     return found.select("pair_id", "seq", F.col("shown").alias("key"), "kind", "column_no", "column", "content", "batch", "round", "nickname", "team", "date", "wildcard", "extension", "type")
 
 
