@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinledger.operators import partial, reports, segments
 
@@ -225,6 +226,20 @@ def test_partial_match_is_the_greedy_scan(spark):
     assert {p: sorted(v) for p, v in got.items()} == {p: plain_partial(a[p], b[p]) for p in a if plain_partial(a[p], b[p])}
 
 
+def test_a_crowded_value_is_cut_into_blocks(spark):
+    rng = random.Random(7)
+    make = lambda: [(i, ["nation", rng.choice(["aa", "ab", "abc"]) + str(i % 9), rng.choice(["x1", "x2", "y22"])]) for i in range(60)]
+    a, b = make(), make()
+    side = lambda rows: spark.createDataFrame([("p", i, i, f, "|".join(f)) for i, f in rows], "pair_id string, id long, ord long, fields array<string>, raw string")
+    whole = sorted(map(tuple, partial.candidates(side(a), side(b)).collect()))
+    cut = partial.candidates(side(a), side(b), block=100)
+    assert sorted(map(tuple, cut.collect())) == whole and whole
+    # all 3,600 pairs share a value, and no task has them all
+    sizes = [r["n"] for r in cut.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) < len(whole) / 4
+    assert sorted((r.a_id, r.b_id) for r in partial.assign(cut).collect()) == plain_partial(a, b)
+
+
 def test_filled_like():
     import re
 

@@ -9,12 +9,35 @@ from ..functions.strings import diff_columns, similarity, similarity_bound
 from ..sources.settle import settle
 
 
-def candidates(left_a: DataFrame, left_b: DataFrame, skip: list[int] = (), threshold: float = 0.6, max_value_len: int = 64) -> DataFrame:
+#: Pairs of rows with one value that are compared together.
+BLOCK = 250_000
+
+
+def _blocks(a: DataFrame, b: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``i`` and ``j``, dealt out by ``pair_id, v, i, j``: rows with one value meet in a grid of blocks of about
+    ``block`` pairs, each pair in one.  A value that many rows share is so the work of many tasks, none of which holds all its rows."""
+    n = lambda d, x: d.groupBy("pair_id", "v").agg(F.count("*").alias(x))
+    cuts = n(a, "na").join(n(b, "nb"), ["pair_id", "v"]).select("pair_id", "v", F.ceil(F.sqrt(F.col("na") * F.col("nb") / block)).cast("int").alias("cuts"))
+    cuts = settle(cuts)
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, cuts.agg(F.sum(F.col("cuts") * F.col("cuts"))).first()[0] or 0))
+    # values with more than ``block`` pairs: few, as one side has very many rows of each
+    crowded = F.broadcast(cuts.where("cuts > 1"))
+
+    def deal(d: DataFrame, own: str, other: str, id_: str) -> DataFrame:
+        d = d.join(crowded, ["pair_id", "v"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+        d = d.withColumn(own, F.pmod(F.xxhash64(id_), F.col("cuts")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        return d.drop("cuts").repartition(tasks, "pair_id", "v", "i", "j")
+
+    return deal(a, "i", "j", "a_id"), deal(b, "j", "i", "b_id")
+
+
+def candidates(left_a: DataFrame, left_b: DataFrame, skip: list[int] = (), threshold: float = 0.6, max_value_len: int = 64, block: int = BLOCK) -> DataFrame:
     """``pair_id, a_id, b_id, score, first_col, a_ord, b_ord`` of rows that share a value in any column and are similar enough.
 
     Values are at most ``max_value_len`` characters and not empty.  Rows have ``pair_id, id, ord, fields``; ``ord`` orders a side,
     ``id`` is a row's own.  Rows meet at each value that they share, but count only where A's first shared column is.  Lengths and then
     the similarity decide there, so of a value that many rows share only the similar pairs leave the join.
+    Rows of such a value meet in blocks of about ``block`` pairs.
     """
     kept = F.filter("fields", lambda x, i: ~i.isin(*skip)) if skip else F.col("fields")
     usable = lambda v: (v != "") & (F.length(v) <= max_value_len)
@@ -22,7 +45,8 @@ def candidates(left_a: DataFrame, left_b: DataFrame, skip: list[int] = (), thres
     a = side(left_a, "a").select("pair_id", "a_id", "a_ord", "a_f", F.posexplode("a_f").alias("first_col", "v")).where(usable(F.col("v")))
     b = side(left_b, "b").withColumn("v", F.explode(F.array_distinct("b_values")))
     earlier = F.coalesce(F.arrays_overlap(F.slice("a_f", F.lit(1), F.col("first_col")), "b_values"), F.lit(False))
-    met = a.join(b, ["pair_id", "v"]).where(~earlier)
+    a, b = _blocks(settle(a), settle(b), block)
+    met = a.join(b.hint("merge"), ["pair_id", "v", "i", "j"]).where(~earlier)
     score = F.when(similarity_bound(F.col("a_f"), F.col("b_f")) >= threshold, similarity(F.col("a_f"), F.col("b_f")))
     return met.withColumn("score", score).where(F.col("score") >= threshold).select("pair_id", "a_id", "b_id", "score", "first_col", "a_ord", "b_ord")
 
