@@ -66,3 +66,17 @@ def test_run(spark, tmp_path, n):
     rows = out.collect()
     assert bool(rows) == bool(n) and all(r.exact for r in rows)
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, rows))
+
+
+def test_copies_have_encodings_of_their_own(spark):
+    rows = [(1, "s", "some words that go two ways"), (2, "s", "other words"), (1, "s", "some words that go two ways"), (3, "t", ""), (3, "t", ""), (None, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows) and all(r.exact for r in out)
+    one, two = (r.pieces for r in out if r.doc_id == 1)
+    assert one != two
+    want = {(r.doc_id, r.rank): tuple(r.pieces) for r in pieces.encode(docs.distinct(), k=2).collect()}
+    assert {tuple(one), tuple(two)} == {want[1, 1], want[1, 2]}
+    # a document taken once is one sample, whatever stands beside it
+    alone = pieces.encode(docs.where("doc_id = 2"), k=1).collect()[0]
+    assert next((r.pieces, r.log_prob, r.log_inclusion) for r in out if r.doc_id == 2) == (alone.pieces, alone.log_prob, alone.log_inclusion)

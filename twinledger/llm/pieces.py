@@ -361,9 +361,12 @@ class Sampler:
         out.find_tops()
         return out
 
-    def __call__(self, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[Round], np.ndarray]:
-        """Rounds of samples, in falling order of perturbed value, and for each text the value that would come next."""
+    def __call__(self, texts: list[str], keys: np.ndarray, k: int | np.ndarray) -> tuple[list[Round], np.ndarray]:
+        """Rounds of samples, in falling order of perturbed value, and for each text the value that would come next.
+
+        ``k`` is the number of samples, for all texts or for each."""
         lattice = self.lattice
+        wanted = np.broadcast_to(np.asarray(k), (len(texts),))
         own = [_CHUNK.findall(" " + t) if t else [] for t in texts]
         cut = _ends(np.fromiter(map(len, own), np.int64, len(own)))
         chunk = lattice.numbers(own)
@@ -376,11 +379,11 @@ class Sampler:
         at = _ends(by_chunk)[cut]
         value = self._gumbel(keys, 0, np.zeros(len(texts)))
         rounds = [self._round(0, edges, at, by_chunk, value, at[:-1], {}, np.zeros(0))]
-        for number in range(1, k):
+        for number in range(1, int(wanted.max(initial=1))):
             tops = np.stack([r.top for r in rounds])
             best = tops.argmax(axis=0)
             value = tops.max(axis=0)
-            todo = np.flatnonzero(np.isfinite(value))
+            todo = np.flatnonzero(np.isfinite(value) & (wanted > number))
             if not len(todo):
                 break
             salt = np.uint64(0xD1342543DE82EF95 * number & (1 << 64) - 1)
@@ -497,7 +500,7 @@ def read_model(path: str = MODEL) -> bytes:
     return Path(path).read_bytes()
 
 
-def _rows(sampler: Sampler, texts: list[str], keys: np.ndarray, k: int) -> tuple[np.ndarray, list[pa.Array]]:
+def _rows(sampler: Sampler, texts: list[str], keys: np.ndarray, k: int | np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
     """The place of each sample's text, and the columns of SAMPLE; samples of a text by rank."""
     rounds, bound = sampler(texts, keys, k)
     text, rank, log_p, log_q, exact, lists = [], [], [], [], [], []
@@ -519,7 +522,7 @@ def _rows(sampler: Sampler, texts: list[str], keys: np.ndarray, k: int) -> tuple
     return text, [pa.array(rank), pieces, pa.array(log_p), pa.array(log_q), pa.array(exact)]
 
 
-def encode(docs: DataFrame, k: int = 2, alpha: float = 0.5, key: str = "doc_id", path: str = MODEL, kept: int = 3 << 19) -> DataFrame:
+def encode(docs: DataFrame, k: int = 2, alpha: float = 0.5, key: str = "doc_id", path: str = MODEL, kept: int = 3 << 19, copies: str | None = None) -> DataFrame:
     """One row for each sampled encoding: the columns of ``docs`` without ``text``, then ``rank`` (from 1), ``pieces``,
     ``log_prob``, ``log_inclusion`` and ``exact`` (the pieces decode to the text).
 
@@ -529,11 +532,14 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 0.5, key: str = "doc_id",
     pieces that cross a space behind a letter or a line feed have no edges (``Vocabulary.left_out`` counts them;
     the default model has none), so both probabilities are those of segmentations without them.  A task keeps lattices of
     ``kept`` nodes for later batches (some 60 bytes each); fewer take less memory and more time, and change no result.
+
+    With ``copies``, a column of numbers, a row stands for so many copies of a document and gives one row for each: the n-th has the n-th
+    of at most ``k`` samples, from the first again where there are no more.  A text has no more samples than copies.
     """
     proto = read_model(path)
-    rest = fresh(docs, "text", *SAMPLE.names).columns
+    rest = [c for c in fresh(docs, "text", *SAMPLE.names).columns if c != copies]
     hashed = unused(docs, "key")
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("text"), F.coalesce(F.xxhash64(key), F.lit(0).cast("long")).alias(hashed))
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("text"), F.coalesce(F.xxhash64(key), F.lit(0).cast("long")).alias(hashed), *([F.col(f"`{copies}`").cast("long")] if copies else []))
     schema = T.StructType([*[f for f in docs.schema.fields if f.name in rest], *SAMPLE.fields])
     names = schema.names
 
@@ -544,13 +550,20 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 0.5, key: str = "doc_id",
                 batch = whole.slice(first, ROWS)
                 texts = [x or "" for x in batch.column(len(rest)).to_pylist()]
                 keys = batch.column(len(rest) + 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                often = batch.column(len(rest) + 2).to_numpy() if copies else None
                 at = 0
                 while at < len(texts):
                     end, room = at, _ROOM
                     while end < len(texts) and (room > 0 or end == at):
                         room -= len(texts[end])
                         end += 1
-                    text, columns = _rows(sampler, texts[at:end], keys[at:end], k)
+                    text, columns = _rows(sampler, texts[at:end], keys[at:end], k if often is None else np.minimum(often[at:end], k))
+                    if often is not None:
+                        have = np.bincount(text, minlength=end - at)
+                        owner = np.repeat(np.arange(end - at), often[at:end])
+                        nth = np.arange(len(owner)) - np.repeat(_ends(often[at:end])[:-1], often[at:end])
+                        taken = _ends(have)[owner] + nth % have[owner]
+                        text, columns = text[taken], [c.take(pa.array(taken)) for c in columns]
                     place = pa.array(text + at)
                     yield pa.RecordBatch.from_arrays([*[batch.column(i).take(place) for i in range(len(rest))], *columns], names=names)
                     at = end
