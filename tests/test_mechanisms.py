@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinledger.operators import cells, compare, directory, export, features, monitor, pairing, patterns, reports, rules, segments, summary
+from twinledger.plans import pairs
 from twinledger.plans.queries_text import charsets
 from twinledger.sources import charset, pages, parts, ranges, scan
 
@@ -386,6 +387,19 @@ def test_no_pair_is_one_task(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_sub_fields_are_cut_once(spark):
+    d = spark.createDataFrame([("~~1Bd~~1Cx~~1By~~q",), ("x~~",), (None,)], "t string").select(compare.sub_fields(F.col("t")).alias("x"))
+    assert plan_of(d).count("RLIKE(") == 1
+    assert [[tuple(f) for f in r.x] for r in d.collect()] == [[("1B", "d"), ("1C", "x"), ("1B*2", "y"), ("#1", "q")], [("#1", "x")], []]
+
+
+def test_orders_are_dealt_by_key(spark):
+    """However few splits their file is read in."""
+    for d in pairs.order_pair(spark, "/root/testdata/sf0.001"):
+        plan = plan_of(d)
+        assert "hashpartitioning(k#" in plan and plan.index("Generate explode") < plan.index("hashpartitioning(k#")
+
+
 # ---- the end of a file's beginning ----
 
 
