@@ -412,3 +412,43 @@ def test_a_character_cut_at_the_end_is_no_mark_against_its_charset(spark, name,
         with charsets(spark):
             found |= {(r.encoding,) for r in charset.choose_encoding(spark.createDataFrame([("f", head)], "file_path string, h binary")).collect()}
     assert found == {(name,)}
+
+
+def test_both_joins_share_the_last_records_of_a(spark):
+    rows = lambda v: spark.createDataFrame([("p", i, [str(i % 7), f"{v}{i % 3}"]) for i in range(20)], "pair_id string, seq long, cols array<string>")
+    rows = [rows("x").where(f"cols[0] <> '{n}'").withColumn("pair_id", F.lit("p")).localCheckpoint() for n in (5, 6)]  # no pair_id is null
+    out = compare.keyed_compare(*rows, [0])
+    assert {r.key for r in out.where("status = 'unmatched_a'").collect()} == {"6"}
+    assert {r.key for r in out.where("status = 'unmatched_b'").collect()} == {"5"}
+    out.collect()
+    assert "ReusedExchange" in plan_of(out)
+
+
+def test_sub_fields_of_odd_texts(spark):
+    texts = ["", "~~", "head", "~~1Ba~~1Cb", "~~1Ba~~1Bb~~1B", "x~~1Ba~~ y~~~~é9z", "~~~1B~~1", "~~1Ba~~x", "~~#1a~~##b~~1B~~1B"]
+
+    def expected(text):
+        out, seen = [], {}
+        for i, s in enumerate(text.split("~~")):
+            if s:
+                c = s[:2] if i and len(s) > 1 and s[:2].isalnum() else None
+                n = seen[c] = seen.get(c, 0) + 1
+                out.append((f"#{n}" if c is None else c if n == 1 else f"{c}*{n}", s if c is None else s[2:]))
+        return out
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", compare.sub_fields(F.col("t")).alias("f")).collect()
+    assert {r.t: [tuple(x) for x in r.f] for r in got} == {t: expected(t) for t in texts}
+
+
+def test_a_directory_settles_no_lines_with_their_rules(spark, monkeypatch):
+    settled, settle = [], directory.settle
+    monkeypatch.setattr(directory, "settle", lambda df: settled.append(df.columns) or settle(df))
+    pairs = spark.createDataFrame(
+        [("p", [1, 0, 1], [2], [], "|", "", [1], [" b , c"]), ("q", [0], [], [1], ";", "#", [], [])],
+        "pair_id string, keys array<int>, omit array<int>, ignore array<int>, delim string, trailer string, incremental array<int>, conds array<string>",
+    )
+    lines = lambda x: spark.createDataFrame([("p", 0, f"1|b|{x}"), ("p", 1, f"2|d|{x}"), ("p", 2, f"3|c|0|{x}"), ("q", 0, f"1;{x};k"), ("q", 1, f"2;{x};{x}"), ("q", 2, "#T=1"), ("none", 0, "z")], "pair_id string, seq long, value string")
+    out = directory.compare_directories(lines("x"), lines("y"), pairs)
+    got = {(r.pair_id, r.key.replace("\x1f", ":"), r.status, tuple(r.diff_cols)) for r in out.results.where("section = 'data'").collect()}
+    assert got == {("p", "1:b", "equal", ()), ("p", "3:c", "diff", (3,)), ("q", "1", "equal", ()), ("q", "2", "diff", (2,))}
+    assert not any("value" in c for c in settled)

@@ -49,16 +49,21 @@ def plan_pairs(files_a: DataFrame, files_b: DataFrame, rules: DataFrame, conditi
     return best.join(conditions.select("nickname", F.col("conds").alias("__conds")), "nickname", "left").withColumn("conds", F.coalesce("__conds", none)).drop("__conds")
 
 
-def _wanted(cols: Column, fields: Column, conds: Column) -> Column:
-    """Whether a record has one of the values asked for in each incremental column; blank lists ask for nothing."""
+def _asked(fields: Column, conds: Column) -> Column:
+    """The values asked for in each incremental column; blank lists ask for nothing."""
     asked = F.transform(F.slice(conds, F.lit(1), F.size(fields)), lambda c, i: F.struct(F.get(fields, i).alias("col"), F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip), lambda v: v != "").alias("values")))
-    return F.forall(F.filter(asked, lambda x: F.size(x["values"]) > 0), lambda x: F.array_contains(x["values"], F.coalesce(F.get(cols, x["col"]), F.lit(""))))
+    return F.filter(asked, lambda x: F.size(x["values"]) > 0)
+
+
+def _wanted(cols: Column, asked: Column) -> Column:
+    """Whether a record has one of the values asked for in each column."""
+    return F.when(F.size(asked) == 0, True).otherwise(F.forall(asked, lambda x: F.array_contains(x["values"], F.coalesce(F.get(cols, x["col"]), F.lit("")))))
 
 
 def compare_directories(lines_a: DataFrame, lines_b: DataFrame, pairs: DataFrame, dynamic: DataFrame | None = None, items: DataFrame | None = None) -> Compared:
     """All pairs of ``plan_pairs`` compared at once.
 
-    Lines have ``pair_id`` (the file's name), ``seq`` and ``value``.  ``dynamic`` has ``pair_id, col, label, dyn_name`` of columns with
+    Lines have ``pair_id`` (the file's name), ``seq`` and ``value``; they are read several times, so what is costly to make should be settled.  ``dynamic`` has ``pair_id, col, label, dyn_name`` of columns with
     sub-fields, ``items`` their names.  Summaries have ``before_* / after_*``, the records before and after the incremental
     filter, and ``incremental``, its label where the pair has one.
     """
@@ -68,18 +73,21 @@ def compare_directories(lines_a: DataFrame, lines_b: DataFrame, pairs: DataFrame
         about = about.join(found, "pair_id", "left").withColumn("dynamic", F.array_except(F.coalesce("dynamic", F.array().cast("array<int>")), F.array_union("omit", "ignore")))
     else:
         about = about.withColumn("dynamic", F.array().cast("array<int>"))
+    # what a rule says is worked out once a pair, not for each of its records
+    about = about.withColumn("skip", F.array_union(F.array_union("omit", "ignore"), "dynamic")).withColumn("asked", _asked(F.col("incremental"), F.col("conds")))
     about = settle(about)
+    rule = F.broadcast(about.select("pair_id", "keys", "skip", "delim", "trailer", "asked"))
 
     def side(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        rows = settle(lines.select("pair_id", "seq", "value").join(F.broadcast(about), "pair_id"))  # a rule a pair goes to all tasks, so a large file is many tasks'
-        data, trailer, stats = scan_delimited(rows, F.col("delim"), F.col("trailer"), keep=("keys", "omit", "ignore", "dynamic", "incremental", "conds"))
-        keep = _wanted(F.col("cols"), F.col("incremental"), F.col("conds"))
+        rows = lines.select("pair_id", "seq", "value").join(rule, "pair_id")  # a rule a pair goes to all tasks, so a large file is many tasks'
+        data, trailer, stats = scan_delimited(rows, F.col("delim"), F.col("trailer"), keep=("keys", "skip", "asked"))
+        keep = _wanted(F.col("cols"), F.col("asked"))
         counts = data.groupBy("pair_id").agg(F.count("*").alias("before"), F.count_if(keep).alias("after"))
         return data.where(keep), trailer, stats, counts
 
     (a, ta, sa, na), (b, tb, sb, nb) = side(lines_a), side(lines_b)
     keys = F.col("keys")
-    rows = keyed_compare(a, b, keys, F.array_union(F.array_union("omit", "ignore"), "dynamic"))
+    rows = keyed_compare(a, b, keys, F.col("skip"))
     registry = None
     if dynamic is not None:
         given = about.select("pair_id", F.col("dynamic").alias("__own"))
