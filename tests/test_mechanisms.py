@@ -424,6 +424,14 @@ def test_both_joins_share_the_last_records_of_a(spark):
     assert "ReusedExchange" in plan_of(out)
 
 
+def test_counts_share_the_last_records_of_a(spark):
+    """Keys alone would be shuffled once more, millions to a task."""
+    rows = lambda n: spark.createDataFrame([("p", i, [str(i % n), f"x{i % 4}"]) for i in range(20)], "pair_id string, seq long, cols array<string>").withColumn("pair_id", F.lit("p")).localCheckpoint()
+    out = summary.zone_counts(compare.keyed_compare(rows(7), rows(6), [0]))
+    assert {(r.zone, r.n) for r in out.collect()} == {("diff", 12), ("equal", 8), ("unmatched", 1)}
+    assert plan_of(out).count("ReusedExchange") > 0
+
+
 def test_sub_fields_of_odd_texts(spark):
     texts = ["", "~~", "head", "~~1Ba~~1Cb", "~~1Ba~~1Bb~~1B", "x~~1Ba~~ y~~~~é9z", "~~~1B~~1", "~~1Ba~~x", "~~#1a~~##b~~1B~~1B"]
 
