@@ -432,6 +432,11 @@ def test_counts_share_the_last_records_of_a(spark):
     assert plan_of(out).count("ReusedExchange") > 0
 
 
+def test_last_records_without_a_place_stay(spark):
+    rows = lambda seq, key: spark.createDataFrame([("p", seq, [key])], "pair_id string, seq long, cols array<string>")
+    assert {(r.key, r.status) for r in compare.keyed_compare(rows(None, "k"), rows(0, "z"), [0]).collect()} == {("k", "unmatched_a"), ("z", "unmatched_b")}
+
+
 def test_sub_fields_of_odd_texts(spark):
     texts = ["", "~~", "head", "~~1Ba~~1Cb", "~~1Ba~~1Bb~~1B", "x~~1Ba~~ y~~~~é9z", "~~~1B~~1", "~~1Ba~~x", "~~#1a~~##b~~1B~~1B"]
 
