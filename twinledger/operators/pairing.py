@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import is_blank
+from ..functions.strings import glob_pattern, is_blank
 from ..sources.settle import settle
 from .patterns import fitting
 
 
 def stem(name: Column) -> Column:
-    return F.regexp_replace(name, r"\.[^.]*$", "")
+    """A name without its extension; a dot in front begins none."""
+    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", "")
 
 
 def pair_files(files_a: DataFrame, files_b: DataFrame, rules: DataFrame) -> DataFrame:
@@ -51,6 +52,15 @@ def file_to_report(files: DataFrame, types: DataFrame, wide: bool = True) -> Dat
     ``types`` has ``report_id, pattern, import_order``; of a pattern's types with one order the smallest id counts.  Exact tiers are
     equi-joins; only what they leave meets patterns, each different one once.
     """
+    return _by_report(_reports_found(files, types, wide))
+
+
+def _by_report(found: DataFrame) -> DataFrame:
+    return found.groupBy("name").agg(F.min_by("report_id", F.struct("tier", "import_order")).alias("report_id"))
+
+
+def _reports_found(files: DataFrame, types: DataFrame, wide: bool = True) -> DataFrame:
+    """``name, report_id, import_order`` of what each ``tier`` finds: 0 name, 1 stem, 2 pattern, 3 the stem's pattern, 4 ``#`` pattern."""
     low = files.select("name", F.lower("name").alias("__n"), F.lower(stem(F.col("name"))).alias("__s"))
     # of types with one pattern only the first can be a file's: very many may share one
     first = lambda d: d.groupBy("__p").agg(F.min(F.struct("import_order", "report_id")).alias("x")).select("__p", "x.import_order", "x.report_id")
@@ -64,18 +74,38 @@ def file_to_report(files: DataFrame, types: DataFrame, wide: bool = True) -> Dat
         tiers = [(rest, loose, F.when(F.contains("__p", F.lit("#")), 4).otherwise(2)), (rest.withColumn("__n", F.col("__s")), first(loose.where(~F.contains("__p", F.lit("#"))).withColumn("__p", stem(F.col("__p")))), F.lit(3))]
         for names, marks, tier in tiers:
             found = found.unionByName(fitting(names, marks, "__n", "__p").withColumn("tier", tier))
-    return found.groupBy("name").agg(F.min_by("report_id", F.struct("tier", "import_order")).alias("report_id"))
+    return found
 
 
 def file_to_table(files: DataFrame, charset_map: DataFrame, types: DataFrame) -> DataFrame:
-    """``name, table_name``: by exact name, stem, a word of the stem, else the file's report id."""
-    tables = charset_map.select("table_name", F.lower("table_name").alias("__t")).distinct()
-    low = files.select("name", F.lower("name").alias("__n"), F.lower(stem(F.col("name"))).alias("__s"))
-    words = low.select("name", F.explode(F.split("__s", r"[^\p{L}\p{Nd}]+")).alias("__w"))
-    ids = file_to_report(files, types).select("name", F.lower("report_id").alias("__w"))
-    tier = lambda d, on, k: d.join(tables, on == F.col("__t")).select("name", "table_name", F.lit(k).alias("tier"))
-    found = tier(low, F.col("__n"), 0).unionByName(tier(low, F.col("__s"), 1)).unionByName(tier(words, F.col("__w"), 2)).unionByName(tier(ids, F.col("__w"), 3))
-    return found.groupBy("name").agg(F.min_by("table_name", F.struct("tier", "table_name")).alias("table_name"))
+    """``name, table_name``: by name, stem, pattern (the name or its stem fits the table's), a word of the stem, else the file's report id;
+    in each of these the table that was imported first, or the first by name if ``charset_map`` has no ``import_order``.
+
+    Names but for report ids meet whatever their case.  A word is a run of ``A-Z``, ``a-z`` and digits.  A report is found by name, stem or
+    pattern, not by a ``#`` pattern, and counts if a table has just its name.  What one step finds doesn't go to the next.
+    """
+    order = F.min("import_order") if "import_order" in charset_map.columns else F.lit(0)
+    tables = settle(charset_map.groupBy("table_name").agg(order.alias("__o")).withColumn("__t", F.lower("table_name")))
+    # of tables with one key only the first can be a file's
+    first = lambda d: d.groupBy("__t").agg(F.min(F.struct("__o", "table_name")).alias("x")).select("__t", "x.*")
+    keys, stems = first(tables), first(tables.withColumn("__t", stem(F.col("__t"))))
+    low = settle(files.select("name", F.lower("name").alias("__n"), F.lower(stem(F.col("name"))).alias("__s")).distinct())
+    meet = lambda d, on, t, k: d.join(t.hint("merge"), F.col(on) == F.col("__t")).select("name", "table_name", "__o", F.lit(k).alias("tier"))
+    best = lambda d: d.groupBy("name").agg(F.min_by("table_name", F.struct("tier", "__o", "table_name")).alias("table_name"))
+    left = lambda d: settle(low.join(d.select("name").hint("merge"), "name", "left_anti"))
+
+    out = settle(best(meet(low, "__n", keys, 0).unionByName(meet(low, "__s", stems, 1))))
+    rest = left(out)
+    fits = meet(rest, "__s", keys, 2)
+    patterns = keys.where(F.col("__t").rlike("[*?]"))
+    if not patterns.isEmpty():
+        either = rest.select("name", F.explode(F.array_distinct(F.array("__n", "__s"))).alias("__x"))
+        loose = fitting(either, patterns, "__x", "__t").where(F.regexp_like("__x", glob_pattern(F.col("__t"), marks=False)))
+        fits = fits.unionByName(loose.select("name", "table_name", "__o", F.lit(2).alias("tier")))
+    words = rest.select("name", F.explode(F.array_distinct(F.split(stem(F.col("name")), r"[^A-Za-z0-9]+"))).alias("__w")).where("__w <> ''")
+    out = settle(out.unionByName(best(fits.unionByName(meet(words.withColumn("__w", F.lower("__w")), "__w", keys, 3)))))
+    ids = _by_report(_reports_found(left(out).select("name"), types).where("tier < 4"))
+    return out.unionByName(ids.join(tables, F.col("report_id") == F.col("table_name")).select("name", "table_name"))
 
 
 def file_to_dynamic_report(files: DataFrame, applicability: DataFrame, types: DataFrame) -> DataFrame:

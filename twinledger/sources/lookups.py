@@ -27,8 +27,10 @@ def load_report_fields(rows: DataFrame) -> DataFrame:
 
 
 def load_charset_map(rows: DataFrame) -> DataFrame:
-    """``table_name, col_index, charset, field_name, field_length``: rows of the host's own charset (``E``) are left out."""
-    out = rows.select(strip(F.col("table_name")).alias("table_name"), F.trim("col_index").try_cast("int").alias("col_index"), F.upper(strip(F.col("charset"))).alias("charset"), "field_name", F.trim("field_length").try_cast("int").alias("field_length"))
+    """``table_name, col_index, charset, field_name, field_length``, and ``import_order`` where rows have a ``row_no``; rows of
+    the host's own charset (``E``) are left out."""
+    order = [F.col("row_no").alias("import_order")] if "row_no" in rows.columns else []
+    out = rows.select(*order, strip(F.col("table_name")).alias("table_name"), F.trim("col_index").try_cast("int").alias("col_index"), F.upper(strip(F.col("charset"))).alias("charset"), "field_name", F.trim("field_length").try_cast("int").alias("field_length"))
     return out.where((F.col("table_name") != "") & (F.col("col_index") >= 1) & (F.col("charset") != "E"))
 
 
